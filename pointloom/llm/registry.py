@@ -37,6 +37,44 @@ def op4_systematic_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixed.select("doc_id", "size", "source_size", "target", (F.col("copies") * F.col("size")).alias("taken"))
 
 
+def op5_decision_list(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from pointloom.llm.common import materialize
+    from pointloom.llm.rules import apply_rules, fit_rules, text_statistics
+
+    stats = materialize(text_statistics(read_table(spark, sf_dir, "documents").select("doc_id", "text")).drop("text"), "statistics")
+    rules = fit_rules(stats, read_table(spark, sf_dir, "labels"))
+    counts = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
+    return apply_rules(stats, rules).select("doc_id", *counts, "base_failed", "kept")
+
+
+def op9_external_shuffle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from pointloom.llm.common import shared_path
+    from pointloom.llm.external_shuffle import external_shuffle
+
+    docs = read_table(spark, sf_dir, "documents")
+    out = external_shuffle(docs, shared_path(spark, "shuffled"))
+    return out.select(
+        "doc_id",
+        (F.octet_length(text_or_empty()) + 1).cast("long").alias("size"),
+        F.crc32(text_or_empty().cast("binary")).alias("text_crc32"),
+        F.lit("rows").alias("law"),
+        "shard",
+        "slot",
+        F.lit(None).cast("int").alias("grown_shard"),
+    )
+
+
+def op10_subword_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from pointloom.llm.subword import fit, score
+
+    docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
+    fold = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 3
+    model = fit(docs, read_table(spark, sf_dir, "labels").where(fold != 1))
+    # The text goes through the scorer only as its input.
+    scored = score(docs.select("doc_id", (fold == 1).alias("held_out"), "text"), model)
+    return scored.select("doc_id", "held_out", "score", "predicted")
+
+
 def queries() -> dict[str, Query]:
     found = {k: v for k, v in globals().items() if k.startswith("op") and callable(v)}
     return dict(sorted(found.items(), key=lambda x: int(x[0][2:].split("_")[0])))
