@@ -12,6 +12,14 @@ from pointloom.llm.common import read_table, text_or_empty
 Query = Callable[[SparkSession, str], DataFrame]
 
 
+def op1_weak_supervision_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from pointloom.llm.pii import BASE_KINDS, find_personal_data, joined
+
+    found = find_personal_data(read_table(spark, sf_dir, "documents").select("doc_id", "text"))
+    count = lambda kind: F.size(F.filter("base", lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
+    return found.select("doc_id", *map(count, BASE_KINDS), F.sha2(joined(F.col("base")), 256).alias("base_sha256"), joined(F.col("spans")).alias("spans"))
+
+
 def op2_block_naming_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from pointloom.llm.dedup_blocks import exact_dedup
 
