@@ -89,10 +89,60 @@ def op6_parity_sketch_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_components(read_table(spark, sf_dir, "documents"), k=4, percent=85)
 
 
+def op3_preference_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from pointloom.llm.preference import format_preferences, pairs_by_id
+
+    turns = read_table(spark, sf_dir, "conversations")
+    return format_preferences(turns, pairs_by_id(turns))
+
+
+OP3_SQL = """
+WITH t AS (
+  SELECT conv_id, turn * 65536 + row_number() OVER (PARTITION BY conv_id, turn ORDER BY role, text) - 1 AS place, role, text
+  FROM (SELECT DISTINCT conv_id, coalesce(turn, -1) AS turn, coalesce(role, '') AS role, coalesce(text, '') AS text
+        FROM conversations WHERE conv_id IS NOT NULL)),
+both_sides AS (
+  SELECT coalesce(c.conv_id // 2, r.conv_id // 2) AS pair_id, coalesce(c.place, r.place) AS place,
+         c.role AS c_role, c.text AS c_text, r.role AS r_role, r.text AS r_text,
+         c.conv_id IS NOT NULL AS has_c, r.conv_id IS NOT NULL AS has_r
+  FROM (SELECT * FROM t WHERE conv_id % 2 = 0) c
+  FULL JOIN (SELECT * FROM t WHERE conv_id % 2 = 1) r ON r.conv_id = c.conv_id + 1 AND r.place = c.place),
+marked AS (
+  SELECT *, min(CASE WHEN coalesce(c_role = r_role AND c_text = r_text, false) THEN NULL ELSE place END)
+              OVER (PARTITION BY pair_id) AS first_place
+  FROM both_sides),
+parts AS (
+  SELECT pair_id, 'prompt' AS part, place, c_role AS role, c_text AS text FROM marked WHERE first_place IS NULL OR place < first_place
+  UNION ALL SELECT pair_id, 'chosen', place, c_role, c_text FROM marked WHERE has_c AND place >= first_place
+  UNION ALL SELECT pair_id, 'rejected', place, r_role, r_text FROM marked WHERE has_r AND place >= first_place),
+rendered AS (
+  SELECT pair_id, part, place, role, '<|' || role || '|>' || chr(10) AS head,
+         '<|' || role || '|>' || chr(10) || text || '<|end|>' || chr(10) AS rendered FROM parts)
+SELECT pair_id, part, place, role, rendered,
+       CAST(CASE WHEN part <> 'prompt' AND role = 'assistant' THEN length(head) ELSE 0 END AS BIGINT) AS train_from,
+       CAST(CASE WHEN part <> 'prompt' AND role = 'assistant' THEN length(rendered) ELSE 0 END AS BIGINT) AS train_to
+FROM rendered
+"""
+
+
+def op7_variable_best_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from pointloom.llm.packing import pack
+
+    return pack(read_table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
+def op8_secret_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from pointloom.llm.secrets import scan_secrets
+
+    found = scan_secrets(read_table(spark, sf_dir, "documents").select("doc_id", "text", "source"))
+    spans = F.transform("secrets", lambda s: F.concat_ws(":", F.lit("secret"), s["start"].cast("string"), s["end"].cast("string")))
+    return found.select("doc_id", "n_candidates", "n_secrets", F.array_join(spans, ",").alias("spans"))
+
+
 def queries() -> dict[str, Query]:
     found = {k: v for k, v in globals().items() if k.startswith("op") and callable(v)}
     return dict(sorted(found.items(), key=lambda x: int(x[0][2:].split("_")[0])))
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_block_naming_dedup": OP2_SQL}
+    return {"op2_block_naming_dedup": OP2_SQL, "op3_preference_formatting": OP3_SQL}
