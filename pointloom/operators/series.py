@@ -128,6 +128,7 @@ def clock_regression(samples: DataFrame, device_ns: str = "stamp_ns", log_ns: st
     """Slope, drift and residual RMS of log time against device time; times are centred to keep digits."""
     low = samples.agg(F.min(device_ns).alias("_d"), F.min(log_ns).alias("_l"))
     df = samples.crossJoin(F.broadcast(low)).select((F.col(device_ns) - F.col("_d")).cast("double").alias("d"), (F.col(log_ns) - F.col("_l")).cast("double").alias("l"))  # one row
-    fit = df.agg(F.regr_slope("l", "d").alias("slope"), F.regr_intercept("l", "d").alias("intercept"), F.regr_syy("l", "d").alias("_yy"), F.regr_sxy("l", "d").alias("_xy"), F.count("*").alias("n"))
-    rms = F.sqrt(F.greatest(F.lit(0.0), F.col("_yy") - F.col("slope") * F.col("_xy")) / F.col("n"))
-    return fit.select("slope", "intercept", rms.alias("rms"), "n")
+    fit = df.agg(F.regr_slope("l", "d").alias("slope"), F.regr_intercept("l", "d").alias("intercept"))
+    off = F.col("l") - F.col("slope") * F.col("d") - F.col("intercept")
+    both = df.crossJoin(F.broadcast(fit))  # one row; residuals themselves, since differences of sums lose digits
+    return both.agg(F.first("slope").alias("slope"), F.first("intercept").alias("intercept"), F.sqrt(F.avg(off * off)).alias("rms"), F.count("*").alias("n"))
