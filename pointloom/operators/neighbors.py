@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from pointloom.functions.geometry import doubles, xyz
+from pointloom.functions.storage import materialize
 
 CELLS = ("cx", "cy", "cz")
 
@@ -63,10 +64,11 @@ def knn(points: DataFrame, k: int, key: Sequence[str], start: float, by: Sequenc
         pairs = near_pairs(left, points, radius, key, key, by)
         w = Window.partitionBy(*by, *key).orderBy("d2", *(f"t_{c}" for c in key))
         ranked = pairs.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k).withColumn("_n", F.count("*").over(Window.partitionBy(*by, *key)))
-        ranked = ranked.persist()
+        ranked = materialize(ranked, "neighbours")
         full = ranked.where(F.col("_n") >= want).drop("_n")
         done = full if done is None else done.union(full)
-        left = left.join(full.select(*by, *key).distinct(), [*by, *key], "left_anti").persist()
+        left = left.join(full.select(*by, *key).distinct(), [*by, *key], "left_anti")
+        left = materialize(left, "open-points")
         if left.limit(1).count() == 0:
             return done
         radius *= growth
