@@ -86,8 +86,8 @@ cells AS (SELECT *, {", ".join(f"CAST(floor({c} / CAST({MAP_VOXEL} AS FLOAT)) AS
 firsts AS (SELECT *, row_number() OVER (PARTITION BY kx, ky, kz ORDER BY frame_id, pt_idx) AS rn FROM cells)
 SELECT kx, ky, kz, frame_id, pt_idx, {", ".join(R(c, c, 4) for c in "xyz")} FROM firsts WHERE rn = 1"""
 )
-def world_map(spark, d):
-    cfg = MapConfig(voxel=float(MAP_VOXEL), gate_ns=GATE_NS)
+def world_map(spark, d, gate_ns: int = GATE_NS):
+    cfg = MapConfig(voxel=float(MAP_VOXEL), gate_ns=gate_ns)
     return pipelines.world_map(S.scan(spark, d), S.encoder(spark, d), cfg).select("kx", "ky", "kz", "frame_id", "pt_idx", *rounded(digits=4))
 
 
