@@ -77,15 +77,15 @@ def interpolate(queries: DataFrame, samples: DataFrame, t: str = "t", sample_t:
     bucket = lambda c: F.floor(c / width)
     seg = seg.withColumn("_bk", F.explode(F.sequence(bucket(F.col("_a")), bucket(F.col("_z")))))
     q = queries.join(F.broadcast(ends), list(by)) if by else queries.crossJoin(F.broadcast(ends))  # one row per series
-    q = q.withColumn("_q", F.greatest(F.col("_t0"), F.least(F.col("_t1"), F.col(t))))
-    inner = q.where((F.col("_q") > F.col("_t0")) & (F.col("_q") < F.col("_t1"))).withColumn("_bk", bucket(F.col("_q")))
-    met = inner.join(seg, [*by, "_bk"]).where((F.col("_q") >= F.col("_a")) & (F.col("_q") < F.col("_z")))
+    q = q.where("_n > 0").withColumn("_q", F.greatest(F.col("_t0"), F.least(F.col("_t1"), F.col(t)))).withColumn("_bk", bucket(F.col("_q")))
+    # At most one segment holds a time, so the outer join keeps each query once.
+    seg = seg.select(*(F.col(c).alias(f"_s{c}") for c in [*by, "_bk"]), "_a", "_va", "_z", "_vz")
+    same = [q[c] == seg[f"_s{c}"] for c in [*by, "_bk"]]
+    met = q.join(seg, [*same, q["_q"] >= seg["_a"], q["_q"] < seg["_z"]], "left")
     share = (F.col("_q") - F.col("_a")) / (F.col("_z") - F.col("_a"))
-    met = met.withColumn(out, F.col("_va") + share * (F.col("_vz") - F.col("_va")))
-    held = q.where((F.col("_q") <= F.col("_t0")) | (F.col("_q") >= F.col("_t1")))
-    held = held.withColumn(out, F.when(F.col("_q") >= F.col("_t1"), F.col("_v1")).otherwise(F.col("_v0")))
-    kept = [*queries.columns, out]
-    return met.select(*kept).union(held.select(*kept))
+    inner = F.col("_va") + share * (F.col("_vz") - F.col("_va"))
+    theta = F.when(F.col("_q") >= F.col("_t1"), F.col("_v1")).when(F.col("_q") <= F.col("_t0"), F.col("_v0")).otherwise(inner)
+    return met.withColumn(out, theta).select(*queries.columns, out)
 
 
 def select_encoder(joint_state: DataFrame, platform_angle: DataFrame, min_joint: int = 10, min_angle: int = 2) -> tuple[DataFrame, str]:

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from pointloom.config import DeskewConfig, MapConfig
 from pointloom.functions import geometry as G
+from pointloom.functions.storage import materialize
 from pointloom.operators import deskew as D
 from pointloom.operators import filters, imu, neighbors, outliers, planes, registration, series, slicing, voxel
 from pointloom.plans import pipelines
@@ -49,7 +50,7 @@ XYZ = ", ".join(R(c, c) for c in "xyz")
 
 
 def _series(spark, d) -> DataFrame:
-    return series.unwrap(S.encoder(spark, d), ties=["event_id"]).select("event_id", "t_ns", F.col("unwrapped").alias("angle"))
+    return materialize(series.unwrap(S.encoder(spark, d), ties=["event_id"]).select("event_id", "t_ns", F.col("unwrapped").alias("angle")), "encoder")
 
 
 def _theta(spark, d) -> DataFrame:
