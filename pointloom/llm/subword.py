@@ -77,10 +77,9 @@ def _featurise(batches):
             for t in token_ids(text):
                 total += np.bincount(t, minlength=TOKENS)
             on = np.flatnonzero(total)
-            index.append(pa.array(on.astype(np.int32)))
-            weight.append(pa.array((total[on] / total.sum()).astype(np.float32)))
-        lists = lambda kind, x: pa.array([v.to_numpy() for v in x], pa.list_(kind))
-        yield pa.RecordBatch.from_arrays([ids, label, lists(pa.int32(), index), lists(pa.float32(), weight)], ["id", "label", "index", "weight"])
+            index.append(on.astype(np.int32).tobytes())
+            weight.append((total[on] / total.sum()).astype(np.float32).tobytes())
+        yield pa.RecordBatch.from_arrays([ids, label, pa.array(index, pa.binary()), pa.array(weight, pa.binary())], ["id", "label", "index", "weight"])
 
 
 def train(rows: list[tuple[np.ndarray, np.ndarray, int]], epochs: int = EPOCHS, rate: float = RATE, seed: int = 5, dim: int = DIM) -> np.ndarray:
@@ -118,9 +117,10 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     known = known.dropDuplicates(["id"]).orderBy(F.xxhash64("id"), "id").limit(max_train)
     texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     chosen = texts.join(F.broadcast(known), "id").select("id", "text", "label")  # max_train ids at most
-    schema = f"id {dict(docs.dtypes)[id_col]}, label int, index array<int>, weight array<float>"
+    schema = f"id {dict(docs.dtypes)[id_col]}, label int, index binary, weight binary"
+    # Packed, since lists of Python numbers would take the driver twenty times the memory.
     rows = chosen.mapInArrow(_featurise, schema).orderBy(F.xxhash64("id"), "id").collect()
-    return train([(np.array(r["index"], np.int64), np.array(r["weight"], np.float32), r["label"]) for r in rows])
+    return train([(np.frombuffer(r["index"], np.int32), np.frombuffer(r["weight"], np.float32), r["label"]) for r in rows])
 
 
 def score(docs: DataFrame, model: np.ndarray, text_col: str = "text") -> DataFrame:
