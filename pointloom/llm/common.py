@@ -46,6 +46,14 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(out)
 
 
+def discard(df: DataFrame) -> None:
+    """Delete the files that ``df``, which ``materialize`` returned, reads."""
+    spark = df.sparkSession
+    for name in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
+        path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(name)
+        path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def stable(docs: DataFrame) -> DataFrame:
     """``docs`` as a source whose rows come in the same order each time it is read.
 
@@ -71,6 +79,11 @@ def word_count(text: Column) -> Column:
     return F.length(F.regexp_replace(marks, BLANKS, "")).cast("long")
 
 
+def few_tasks(df: DataFrame, rows: int, per_task: int = 100_000) -> DataFrame:
+    """``df`` of about ``rows`` small rows in as many tasks as they need, whatever its shuffles deal."""
+    return df.coalesce(max(4, -(-rows // per_task)))
+
+
 def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """Connected components of undirected edges by alternating large-star and small-star rounds.
 
@@ -84,13 +97,13 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
         totals = e.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if totals == seen or not totals[0]:
             break
-        seen = totals
+        seen, few = totals, lambda df, n=totals[0]: few_tasks(df, 2 * n)
         both = e.union(e.select("v", "u"))
-        least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = both.where("v > u").join(least, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
-        large = materialize(large, "large-star")
-        low = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(low, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).union(low).distinct()
-        e = materialize(small, "small-star")
+        least = few(both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")))
+        large = few(both.where("v > u").join(least, "u").where("v <> m")).select(F.col("v").alias("u"), F.col("m").alias("v"))
+        large = few(large.distinct())
+        low = few(large.groupBy("u").agg(F.min("v").alias("m")))
+        small = few(large.join(low, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).union(low))
+        e = materialize(few(small.distinct()), "small-star")
     ends = e.select(F.col("u").alias("node"), F.col("v").alias("comp"))
-    return ends.union(e.select(F.col("v"), F.col("v")).distinct())
+    return ends.union(few_tasks(e.select(F.col("v"), F.col("v")).distinct(), totals[0]))

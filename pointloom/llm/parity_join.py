@@ -17,8 +17,9 @@ round pairs a few centres with the rest, verifies, and finds components; a group
 centres while documents of different components remain in it, so every pair that could still join two
 components gets verified, and no other.
 
-Scale: exact copies leave sketches once per task. The join moves two integers per key. Sketches, not
-texts, decide who meets; only the texts of documents that meet another are read again.
+Scale: exact copies leave sketches once per task. The join moves two integers per key. Of pairs that
+meet, sizes and the Hamming distance of short sketches (a bit per shingle) refuse most that don't link;
+only the texts of documents in the pairs left are read again.
 """
 
 from __future__ import annotations
@@ -30,13 +31,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from pointloom.llm.common import components, materialize
+from pointloom.llm.common import components, discard, few_tasks, materialize
 from pointloom.llm.words import mix, shingle_set
 
 #: Bands of sizes grow by this factor, or by what the similarity needs if that is more.
-BAND_GROWTH = 1.4
+BAND_GROWTH = 1.2
 #: A key must come from more than so many set bits, or it is lengthened.
-WEAK_BITS = 3
+WEAK_BITS = 2
 #: Copies that a task remembers, so as to emit their sketch once.
 SEEN = 100_000
 #: Centres per group in the rounds after the first; groups of up to that many are paired in full.
@@ -64,6 +65,23 @@ def sketch(shingles: np.ndarray, words: int) -> np.ndarray:
     return np.packbits(parity.astype(np.uint8), bitorder="little").view("<u8")
 
 
+def short_sketch(shingles: np.ndarray) -> bytes:
+    """A parity sketch of about a bit per shingle; a power of two, so that a longer one folds to it."""
+    bits = 64 << max(0, (len(shingles) - 1).bit_length() - 6)
+    parity = np.bincount((shingles & np.uint64(bits - 1)).astype(np.int64), minlength=bits) & 1
+    return np.packbits(parity.astype(np.uint8), bitorder="little").tobytes()
+
+
+def hamming(a: bytes, b: bytes) -> int:
+    """Distance of two short sketches, the longer one folded to the other's length."""
+    x, y = np.frombuffer(a, np.uint64), np.frombuffer(b, np.uint64)
+    if len(x) > len(y):
+        x, y = y, x
+    while len(y) > len(x):
+        y = y[: len(y) // 2] ^ y[len(y) // 2 :]
+    return int(np.bitwise_count(x ^ y).sum())
+
+
 def band_keys(shingles: np.ndarray, band: int, hi: int, percent: int) -> np.ndarray:
     """The keys under which a set meets others in the band."""
     words = 2 * (hi - 1) * (100 - percent) // (100 + percent) + 1
@@ -103,7 +121,7 @@ def _sketches(k: int, percent: int):
         seen: OrderedDict[tuple, None] = OrderedDict()
         known: list[tuple[int, int]] = []
         for batch in batches:
-            sizes, first, second, keys = [], [], [], []
+            sizes, first, second, keys, short = [], [], [], [], []
             for text in batch.column("text").to_pylist():
                 s = shingle_set(text, k)
                 n = len(s)
@@ -114,6 +132,7 @@ def _sketches(k: int, percent: int):
                 if (n, a, b) in seen:
                     seen.move_to_end((n, a, b))
                     keys.append(np.zeros(0, np.uint64))
+                    short.append(None)
                     continue
                 seen[n, a, b] = None
                 if len(seen) > SEEN:
@@ -121,10 +140,11 @@ def _sketches(k: int, percent: int):
                 if not known or known[-1][1] <= n:
                     known = bands(percent, max(2 * n, 1 << 16))
                 keys.append(_keys_of(s, percent, known))
+                short.append(short_sketch(s) if n else None)
             offsets = np.concatenate(([0], np.cumsum([len(x) for x in keys]))).astype(np.int32)
             lists = pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate([*keys, np.zeros(0, np.uint64)]).view(np.int64)))
             yield pa.RecordBatch.from_arrays(
-                [batch.column("id"), pa.array(sizes, pa.int64()), pa.array(first, pa.int64()), pa.array(second, pa.int64()), lists], ["id", "n_shingles", "d1", "d2", "keys"]
+                [batch.column("id"), pa.array(sizes, pa.int64()), pa.array(first, pa.int64()), pa.array(second, pa.int64()), pa.array(short, pa.binary()), lists], ["id", "n_shingles", "d1", "d2", "short", "keys"]
             )
 
     return run
@@ -134,11 +154,29 @@ def _sets(k: int):
     def run(batches):
         for batch in batches:
             sets = [shingle_set(t, k).tobytes() for t in batch.column("text").to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array([len(s) // 8 for s in sets], pa.int64()), pa.array(sets, pa.binary())], ["id", "n", "set"])
+            yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(sets, pa.binary())], ["id", "set"])
+
+    return run
+
+
+def _possible(percent: int):
+    def run(batches):
+        for batch in batches:
+            cols = (batch.column(c) for c in ("na", "nb", "ka", "kb"))
+            ok = [hamming(ka.as_py(), kb.as_py()) * (100 + percent) <= (na.as_py() + nb.as_py()) * (100 - percent) for na, nb, ka, kb in zip(*cols, strict=True)]
+            yield pa.RecordBatch.from_arrays([batch.column(c) for c in ("a", "b")], ["a", "b"]).filter(pa.array(ok, pa.bool_()))
 
     return run
 
 
+def _within_distance(pairs: DataFrame, each: DataFrame, percent: int) -> DataFrame:
+    """The pairs (a, b) whose sizes and sketches allow a link."""
+    side = lambda x: each.where("short is not null").select(F.col("id").alias(x), F.col("n_shingles").alias(f"n{x}"), F.col("short").alias(f"k{x}"))
+    near = (percent * F.col("na") <= 100 * F.col("nb")) & (percent * F.col("nb") <= 100 * F.col("na"))
+    both = pairs.join(side("b"), "b").join(side("a"), "a").where(near).select("a", "b", "na", "nb", "ka", "kb")
+    return both.mapInArrow(_possible(percent), "a bigint, b bigint")
+
+
 def _verified(percent: int):
     def run(batches):
         for batch in batches:
@@ -152,38 +190,38 @@ def _verified(percent: int):
     return run
 
 
-def _verify(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """The pairs (a, b) that link."""
-    a = sets.select(F.col("id").alias("a"), F.col("n").alias("na"), F.col("set").alias("sa"))
-    b = sets.select(F.col("id").alias("b"), F.col("n").alias("nb"), F.col("set").alias("sb"))
-    near = (percent * F.col("na") <= 100 * F.col("nb")) & (percent * F.col("nb") <= 100 * F.col("na"))
-    both = pairs.join(b, "b").join(a, "a").where(near).select("a", "b", "sa", "sb")
-    return both.mapInArrow(_verified(percent), "a bigint, b bigint")
-
-
-def _links(texts: DataFrame, members: DataFrame, k: int, percent: int) -> DataFrame | None:
-    """Verified links that connect every component; ``members``: group, centre, id (the centre apart)."""
-    met = members.select("id").union(members.select("centre")).distinct()
-    met = materialize(met, "met")
-    if (n_met := met.count()) == 0:
-        return None
-    chosen = texts.join(F.broadcast(met) if n_met <= BROADCAST_IDS else met, "id", "left_semi")
-    sets = materialize(chosen.mapInArrow(_sets(k), "id bigint, n bigint, set binary"), "sets")
-    links = materialize(_verify(members.select(F.col("centre").alias("a"), F.col("id").alias("b")).distinct(), sets, percent), "links")
-    left = members.select("group", "id")
+def _verify(pairs: DataFrame, each: DataFrame, texts: DataFrame, k: int, percent: int) -> DataFrame:
+    """The pairs (a, b) that link: by size and sketch first, then on the shingles of those left."""
+    pairs = materialize(_within_distance(pairs, each, percent).distinct(), "possible")
+    met = materialize(pairs.select("a").union(pairs.select("b")).distinct().withColumnRenamed("a", "id"), "met")
+    chosen = texts.join(F.broadcast(met) if met.count() <= BROADCAST_IDS else met, "id", "left_semi")
+    sets = materialize(chosen.mapInArrow(_sets(k), "id bigint, set binary"), "sets")
+    side = lambda x: sets.select(F.col("id").alias(x), F.col("set").alias(f"s{x}"))
+    both = pairs.join(side("b"), "b").join(side("a"), "a").select("a", "b", "sa", "sb")
+    return materialize(both.mapInArrow(_verified(percent), "a bigint, b bigint"), "links")
+
+
+def _labels(texts: DataFrame, each: DataFrame, members: DataFrame, k: int, percent: int) -> DataFrame:
+    """Components (node, comp) of all links; ``members``: group, centre, id (the centre apart)."""
+    links = _verify(members.select(F.col("centre").alias("a"), F.col("id").alias("b")).distinct(), each, texts, k, percent)
+    labels = materialize(components(links), "labels")
+    left, n = members.select("group", "id"), members.count()
     while True:
-        labels = materialize(components(links), "labels")
-        left = left.drop("comp").join(labels.withColumnRenamed("node", "id"), "id", "left").withColumn("comp", F.coalesce("comp", "id"))
-        open_ = left.groupBy("group").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count("*").alias("size")).where("lo <> hi")
-        open_ = materialize(open_.select("group", "size"), "open-groups")
-        if open_.limit(1).count() == 0:
-            return links
-        left = materialize(left.join(open_, "group"), "left")
-        ranked = left.withColumn("rank", F.row_number().over(Window.partitionBy("group").orderBy(F.xxhash64("id"), "id")))
+        few = lambda df, n=n: few_tasks(df, n)
+        left = left.join(labels.withColumnRenamed("node", "id"), "id", "left").withColumn("comp", F.coalesce("comp", "id"))
+        open_ = left.groupBy("group").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi")
+        left = materialize(few(few(left).join(few(open_.select("group")), "group")), "left")
+        if (n := left.count()) == 0:
+            return labels
+        ranked = few(left).withColumn("rank", F.row_number().over(Window.partitionBy("group").orderBy(F.xxhash64("id"), "id")))
         centres = ranked.where(F.col("rank") <= CENTRES).select("group", F.col("id").alias("a"), F.col("comp").alias("ca"), F.col("rank").alias("ra"))
-        pairs = ranked.join(centres, "group").where("ra < rank AND ca <> comp").select("a", F.col("id").alias("b")).distinct()
-        links = materialize(links.union(_verify(pairs, sets, percent)), "links")
+        pairs = few(ranked).join(centres, "group").where("ra < rank AND ca <> comp")
+        pairs = few(few(pairs.select("a", F.col("id").alias("b"))).distinct())
+        more = _verify(pairs, each, texts, k, percent)
         left = materialize(ranked.where(F.col("rank") > CENTRES).select("group", "id"), "left")
+        if more.limit(1).count():
+            links = links.union(more)
+            labels = materialize(components(links), "labels")
 
 
 def jaccard_components(docs: DataFrame, k: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -195,21 +233,20 @@ def jaccard_components(docs: DataFrame, k: int = 5, percent: int = 80, id_col: s
     as one document. Ids are integers. Other columns of ``docs`` are not needed; empty input gives no rows.
     """
     texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
-    each = materialize(texts.mapInArrow(_sketches(k, percent), "id bigint, n_shingles bigint, d1 bigint, d2 bigint, keys array<bigint>"), "sketches")
+    each = materialize(texts.mapInArrow(_sketches(k, percent), "id bigint, n_shingles bigint, d1 bigint, d2 bigint, short binary, keys array<bigint>"), "sketches")
     keys = each.where("id is not null").select("id", F.explode("keys").alias("key"))
     by_key = Window.partitionBy("key")
     groups = keys.withColumn("centre", F.min("id").over(by_key)).withColumn("size", F.count("*").over(by_key)).where("size > 1")
     # Groups of the same documents under many keys become one: named by size, centre and sum of hashes.
     groups = groups.withColumn("sum", F.sum(F.xxhash64("id").cast("decimal(38,0)")).over(by_key)).where("id <> centre")
     members = groups.select(F.xxhash64("size", "centre", "sum").alias("group"), "centre", "id").distinct()
-    links = _links(texts, materialize(members, "members"), k, percent)
-    slim = each.select("id", "n_shingles", "d1", "d2")
+    members = materialize(members, "members")
+    slim = materialize(each.drop("keys"), "documents")
+    discard(each)  # the keys are the bulk, and nothing reads them any more
+    labels = _labels(texts, slim, members, k, percent)
+    slim = slim.drop("short")
     same = ["n_shingles", "d1", "d2"]
-    if links is None:
-        found = slim.withColumn("node", F.lit(None).cast("long")).withColumn("comp", F.lit(None).cast("long"))
-    else:
-        labels = materialize(components(links), "labels")
-        found = slim.join(labels, slim["id"] == labels["node"], "left")
+    found = slim.join(labels, slim["id"] == labels["node"], "left")
     # Copies share the label of the one whose sketch took part; a label's component is its least id.
     linked = found.where("n_shingles > 0 AND id is not null")
     copies = linked.groupBy(*same).agg(F.min("comp").alias("comp"), F.min("id").alias("least"))
