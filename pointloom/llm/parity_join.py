@@ -12,10 +12,11 @@ with at most one differing bit, that by words with at most two in all, and so on
 weak word's key is therefore lengthened by either half of the next word (one of them agrees), and if
 still weak by any third of the one after (one of the three agrees). No link is lost by this.
 
-Links are found per group of documents that share a key, without emitting all pairs of a group: each
-round pairs a few centres with the rest, verifies, and finds components; a group goes on without its
-centres while documents of different components remain in it, so every pair that could still join two
-components gets verified, and no other.
+Links are found per group of documents that share a key, without emitting all pairs of a group. First
+every group's least document is verified against the others, which connects most of what belongs
+together. Groups that still hold several components are compared in blocks: two blocks of documents meet
+in one task, which emits only pairs of different components whose sketches are near enough, and these
+are verified. Every pair that could still join two components is so decided, and no other.
 
 Scale: exact copies leave sketches once per task. The join moves two integers per key. Of pairs that
 meet, sizes and the Hamming distance of short sketches (a bit per shingle) refuse most that don't link;
@@ -31,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from pointloom.llm.common import components, discard, few_tasks, materialize
+from pointloom.llm.common import components, discard, materialize
 from pointloom.llm.words import mix, shingle_set
 
 #: Bands of sizes grow by this factor, or by what the similarity needs if that is more.
@@ -40,8 +41,8 @@ BAND_GROWTH = 1.2
 WEAK_BITS = 2
 #: Copies that a task remembers, so as to emit their sketch once.
 SEEN = 100_000
-#: Centres per group in the rounds after the first; groups of up to that many are paired in full.
-CENTRES = 64
+#: Members of a group that are compared with each other, or with so many others, in one task.
+BLOCK = 512
 #: Ids of documents that met another are broadcast up to so many, and joined by shuffle beyond.
 BROADCAST_IDS = 1_000_000
 
@@ -201,27 +202,77 @@ def _verify(pairs: DataFrame, each: DataFrame, texts: DataFrame, k: int, percent
     return materialize(both.mapInArrow(_verified(percent), "a bigint, b bigint"), "links")
 
 
+def _near_in_block(rows: list[tuple], percent: int, across: bool) -> tuple[list[int], list[int]]:
+    """Ids (a, b) of different components whose sizes and sketches allow a link, of a block or two.
+
+    ``rows``: block, id, comp, size, sketch, by block. Sketches are folded to the shortest.
+    """
+    ids, comp, n = (np.array([r[c] for r in rows], np.int64) for c in (1, 2, 3))
+    width = min(len(r[4]) for r in rows) // 8
+    x = np.empty((len(rows), width), np.uint64)
+    for i, r in enumerate(rows):
+        s = np.frombuffer(r[4], np.uint64)
+        while len(s) > width:
+            s = s[: len(s) // 2] ^ s[len(s) // 2 :]
+        x[i] = s
+    cut = next((i for i, r in enumerate(rows) if r[0] != rows[0][0]), len(rows)) if across else len(rows)
+    start, step = (cut if across else 0), max(1, 2_000_000 // max(1, len(rows) * width))
+    out: tuple[list[int], list[int]] = ([], [])
+    for at in range(0, cut, step):
+        left = slice(at, min(cut, at + step))
+        d = np.bitwise_count(x[left, None] ^ x[None, start:]).sum(-1, dtype=np.int64)
+        na, nb = n[left, None], n[None, start:]
+        ok = (d * (100 + percent) <= (na + nb) * (100 - percent)) & (percent * na <= 100 * nb) & (percent * nb <= 100 * na) & (comp[left, None] != comp[None, start:])
+        if not across:
+            ok &= np.arange(left.start, left.stop)[:, None] < np.arange(len(rows))[None]
+        i, j = np.nonzero(ok)
+        out[0].extend(ids[left][i].tolist())
+        out[1].extend(ids[start:][j].tolist())
+    return out
+
+
+def _compared(percent: int):
+    names = ("group", "i", "j", "block", "id", "comp", "n", "short")
+
+    def run(batches):
+        key, rows = None, []
+
+        def done():
+            if len({r[2] for r in rows}) > 1 and (key[1] == key[2] or len({r[0] for r in rows}) > 1):
+                a, b = _near_in_block(rows, percent, key[1] != key[2])
+                return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
+            return None
+
+        for batch in batches:
+            for r in zip(*(batch.column(c).to_pylist() for c in names), strict=True):
+                if r[:3] != key:
+                    if key is not None and (found := done()) is not None:
+                        yield found
+                    key, rows = r[:3], []
+                rows.append(r[3:])
+        if key is not None and (found := done()) is not None:
+            yield found
+
+    return run
+
+
 def _labels(texts: DataFrame, each: DataFrame, members: DataFrame, k: int, percent: int) -> DataFrame:
     """Components (node, comp) of all links; ``members``: group, centre, id (the centre apart)."""
     links = _verify(members.select(F.col("centre").alias("a"), F.col("id").alias("b")).distinct(), each, texts, k, percent)
     labels = materialize(components(links), "labels")
-    left, n = members.select("group", "id"), members.count()
-    while True:
-        few = lambda df, n=n: few_tasks(df, n)
-        left = left.join(labels.withColumnRenamed("node", "id"), "id", "left").withColumn("comp", F.coalesce("comp", "id"))
-        open_ = left.groupBy("group").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi")
-        left = materialize(few(few(left).join(few(open_.select("group")), "group")), "left")
-        if (n := left.count()) == 0:
-            return labels
-        ranked = few(left).withColumn("rank", F.row_number().over(Window.partitionBy("group").orderBy(F.xxhash64("id"), "id")))
-        centres = ranked.where(F.col("rank") <= CENTRES).select("group", F.col("id").alias("a"), F.col("comp").alias("ca"), F.col("rank").alias("ra"))
-        pairs = few(ranked).join(centres, "group").where("ra < rank AND ca <> comp")
-        pairs = few(few(pairs.select("a", F.col("id").alias("b"))).distinct())
-        more = _verify(pairs, each, texts, k, percent)
-        left = materialize(ranked.where(F.col("rank") > CENTRES).select("group", "id"), "left")
-        if more.limit(1).count():
-            links = links.union(more)
-            labels = materialize(components(links), "labels")
+    left = members.select("group", "id").join(labels.withColumnRenamed("node", "id"), "id", "left").withColumn("comp", F.coalesce("comp", "id"))
+    open_ = left.groupBy("group").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count("*").alias("size")).where("lo <> hi")
+    open_ = open_.select("group", F.ceil(F.col("size") / BLOCK).cast("int").alias("blocks"))
+    own = each.where("short is not null").select("id", F.col("n_shingles").alias("n"), "short")
+    left = materialize(left.join(open_, "group").join(own, "id"), "open-members")
+    if left.limit(1).count() == 0:
+        return labels
+    block = F.pmod(F.hash("id"), F.col("blocks"))
+    dealt = left.withColumn("block", block).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    dealt = dealt.select("group", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "id", "comp", "n", "short")
+    near = dealt.repartition("group", "i", "j").sortWithinPartitions("group", "i", "j", "block", "id").mapInArrow(_compared(percent), "a bigint, b bigint")
+    more = _verify(near.distinct(), each, texts, k, percent)
+    return materialize(components(links.union(more)), "labels") if more.limit(1).count() else labels
 
 
 def jaccard_components(docs: DataFrame, k: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
