@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 
 from pointloom.llm.common import materialize, stable, text_or_empty, word_count
 
-BUCKET_ROWS = 50_000
+BUCKET_ROWS = 2_000
 OFFSETS = 32
 WEIGHTS = (1, 2, 3)
 MAX_COPIES = 3
