@@ -12,11 +12,12 @@ with at most one differing bit, that by words with at most two in all, and so on
 weak word's key is therefore lengthened by either half of the next word (one of them agrees), and if
 still weak by any third of the one after (one of the three agrees). No link is lost by this.
 
-Links are found per group of documents that share a key, without emitting all pairs of a group. First
-every group's least document is verified against the others, which connects most of what belongs
-together. Groups that still hold several components are compared in blocks: two blocks of documents meet
-in one task, which emits only pairs of different components whose sketches are near enough, and these
-are verified. Every pair that could still join two components is so decided, and no other.
+Links are found per group of documents, without emitting all pairs of a group: a group are those that
+share a key with one centre, which is the least of all that have the key. First every centre is verified
+against its group, which connects most of what belongs together. Groups that still hold several
+components are compared in blocks: two blocks of documents meet in one task, which emits only pairs of
+different components whose sketches are near enough, and these are verified. Every pair that could still
+join two components is so decided, and no other.
 
 Scale: exact copies leave sketches once per task. The join moves two integers per key. Of pairs that
 meet, sizes and the Hamming distance of short sketches (a bit per shingle) refuse most that don't link;
@@ -257,10 +258,10 @@ def _compared(percent: int):
 
 
 def _labels(texts: DataFrame, each: DataFrame, members: DataFrame, k: int, percent: int) -> DataFrame:
-    """Components (node, comp) of all links; ``members``: group, centre, id (the centre apart)."""
-    links = _verify(members.select(F.col("centre").alias("a"), F.col("id").alias("b")).distinct(), each, texts, k, percent)
+    """Components (node, comp) of all links; ``members``: group (its centre's id) and id, the centre apart."""
+    links = _verify(members.select(F.col("group").alias("a"), F.col("id").alias("b")), each, texts, k, percent)
     labels = materialize(components(links), "labels")
-    left = members.select("group", "id").join(labels.withColumnRenamed("node", "id"), "id", "left").withColumn("comp", F.coalesce("comp", "id"))
+    left = members.join(labels.withColumnRenamed("node", "id"), "id", "left").withColumn("comp", F.coalesce("comp", "id"))
     open_ = left.groupBy("group").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count("*").alias("size")).where("lo <> hi")
     open_ = open_.select("group", F.ceil(F.col("size") / BLOCK).cast("int").alias("blocks"))
     own = each.where("short is not null").select("id", F.col("n_shingles").alias("n"), "short")
@@ -287,10 +288,9 @@ def jaccard_components(docs: DataFrame, k: int = 5, percent: int = 80, id_col: s
     each = materialize(texts.mapInArrow(_sketches(k, percent), "id bigint, n_shingles bigint, d1 bigint, d2 bigint, short binary, keys array<bigint>"), "sketches")
     keys = each.where("id is not null").select("id", F.explode("keys").alias("key"))
     by_key = Window.partitionBy("key")
-    groups = keys.withColumn("centre", F.min("id").over(by_key)).withColumn("size", F.count("*").over(by_key)).where("size > 1")
-    # Groups of the same documents under many keys become one: named by size, centre and sum of hashes.
-    groups = groups.withColumn("sum", F.sum(F.xxhash64("id").cast("decimal(38,0)")).over(by_key)).where("id <> centre")
-    members = groups.select(F.xxhash64("size", "centre", "sum").alias("group"), "centre", "id").distinct()
+    groups = keys.withColumn("centre", F.min("id").over(by_key)).where("id <> centre")
+    # Groups of one centre become one, so that documents which share many keys are compared once.
+    members = groups.select(F.col("centre").alias("group"), "id").distinct()
     members = materialize(members, "members")
     slim = materialize(each.drop("keys"), "documents")
     discard(each)  # the keys are the bulk, and nothing reads them any more
