@@ -16,8 +16,9 @@ Links are found per group of documents, without emitting all pairs of a group: a
 share a key with one centre, which is the least of all that have the key. First every centre is verified
 against its group, which connects most of what belongs together. Groups that still hold several
 components are compared in blocks: two blocks of documents meet in one task, which emits only pairs of
-different components whose sketches are near enough, and these are verified. Every pair that could still
-join two components is so decided, and no other.
+different components whose sketches are near enough, and these are verified: in one round a forest of
+the nearest, which leaves few components apart that belong together, in the next all that still lie
+between components. Every pair that could still join two components is so decided.
 
 Scale: exact copies leave sketches once per task. The join moves two integers per key. Of pairs that
 meet, sizes and the Hamming distance of short sketches (a bit per shingle) refuse most that don't link;
@@ -203,10 +204,29 @@ def _verify(pairs: DataFrame, each: DataFrame, texts: DataFrame, k: int, percent
     return materialize(both.mapInArrow(_verified(percent), "a bigint, b bigint"), "links")
 
 
-def _near_in_block(rows: list[tuple], percent: int, across: bool) -> tuple[list[int], list[int]]:
+def _forest(pairs: list[tuple[int, int, int]], comp: np.ndarray) -> list[tuple[int, int, int]]:
+    """Of (distance, i, j) the nearest that connect all components which the pairs connect."""
+    root = {c: c for c in comp.tolist()}
+
+    def find(c: int) -> int:
+        while root[c] != c:
+            root[c] = c = root[root[c]]
+        return c
+
+    out = []
+    for d, i, j in sorted(pairs):
+        a, b = find(int(comp[i])), find(int(comp[j]))
+        if a != b:
+            root[max(a, b)] = min(a, b)
+            out.append((d, i, j))
+    return out
+
+
+def _near_in_block(rows: list[tuple], percent: int, across: bool, forest: bool) -> tuple[list[int], list[int]]:
     """Ids (a, b) of different components whose sizes and sketches allow a link, of a block or two.
 
-    ``rows``: block, id, comp, size, sketch, by block. Sketches are folded to the shortest.
+    ``rows``: block, id, comp, size, sketch, by block. Sketches are folded to the shortest. With
+    ``forest`` only the nearest pairs that connect as many components as all would.
     """
     ids, comp, n = (np.array([r[c] for r in rows], np.int64) for c in (1, 2, 3))
     width = min(len(r[4]) for r in rows) // 8
@@ -218,7 +238,7 @@ def _near_in_block(rows: list[tuple], percent: int, across: bool) -> tuple[list[
         x[i] = s
     cut = next((i for i, r in enumerate(rows) if r[0] != rows[0][0]), len(rows)) if across else len(rows)
     start, step = (cut if across else 0), max(1, 2_000_000 // max(1, len(rows) * width))
-    out: tuple[list[int], list[int]] = ([], [])
+    found: list[tuple[int, int, int]] = []
     for at in range(0, cut, step):
         left = slice(at, min(cut, at + step))
         d = np.bitwise_count(x[left, None] ^ x[None, start:]).sum(-1, dtype=np.int64)
@@ -227,12 +247,12 @@ def _near_in_block(rows: list[tuple], percent: int, across: bool) -> tuple[list[
         if not across:
             ok &= np.arange(left.start, left.stop)[:, None] < np.arange(len(rows))[None]
         i, j = np.nonzero(ok)
-        out[0].extend(ids[left][i].tolist())
-        out[1].extend(ids[start:][j].tolist())
-    return out
+        found.extend(zip(d[i, j].tolist(), (i + left.start).tolist(), (j + start).tolist(), strict=True))
+    found = _forest(found, comp) if forest else found
+    return [int(ids[i]) for _, i, _ in found], [int(ids[j]) for _, _, j in found]
 
 
-def _compared(percent: int):
+def _compared(percent: int, forest: bool):
     names = ("group", "i", "j", "block", "id", "comp", "n", "short")
 
     def run(batches):
@@ -240,7 +260,7 @@ def _compared(percent: int):
 
         def done():
             if len({r[2] for r in rows}) > 1 and (key[1] == key[2] or len({r[0] for r in rows}) > 1):
-                a, b = _near_in_block(rows, percent, key[1] != key[2])
+                a, b = _near_in_block(rows, percent, key[1] != key[2], forest)
                 return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
             return None
 
@@ -261,19 +281,24 @@ def _labels(texts: DataFrame, each: DataFrame, members: DataFrame, k: int, perce
     """Components (node, comp) of all links; ``members``: group (its centre's id) and id, the centre apart."""
     links = _verify(members.select(F.col("group").alias("a"), F.col("id").alias("b")), each, texts, k, percent)
     labels = materialize(components(links), "labels")
-    left = members.join(labels.withColumnRenamed("node", "id"), "id", "left").withColumn("comp", F.coalesce("comp", "id"))
-    open_ = left.groupBy("group").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count("*").alias("size")).where("lo <> hi")
-    open_ = open_.select("group", F.ceil(F.col("size") / BLOCK).cast("int").alias("blocks"))
     own = each.where("short is not null").select("id", F.col("n_shingles").alias("n"), "short")
-    left = materialize(left.join(open_, "group").join(own, "id"), "open-members")
-    if left.limit(1).count() == 0:
-        return labels
-    block = F.pmod(F.hash("id"), F.col("blocks"))
-    dealt = left.withColumn("block", block).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    dealt = dealt.select("group", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "id", "comp", "n", "short")
-    near = dealt.repartition("group", "i", "j").sortWithinPartitions("group", "i", "j", "block", "id").mapInArrow(_compared(percent), "a bigint, b bigint")
-    more = _verify(near.distinct(), each, texts, k, percent)
-    return materialize(components(links.union(more)), "labels") if more.limit(1).count() else labels
+    # First the pairs that would connect most if they link; then all that lie between components still.
+    for forest in (True, False):
+        left = members.join(labels.withColumnRenamed("node", "id"), "id", "left").withColumn("comp", F.coalesce("comp", "id"))
+        open_ = left.groupBy("group").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count("*").alias("size")).where("lo <> hi")
+        open_ = open_.select("group", F.ceil(F.col("size") / BLOCK).cast("int").alias("blocks"))
+        left = materialize(left.join(open_, "group").join(own, "id"), "open-members")
+        if left.limit(1).count() == 0:
+            return labels
+        block = F.pmod(F.hash("id"), F.col("blocks"))
+        dealt = left.withColumn("block", block).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+        dealt = dealt.select("group", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "id", "comp", "n", "short")
+        near = dealt.repartition("group", "i", "j").sortWithinPartitions("group", "i", "j", "block", "id").mapInArrow(_compared(percent, forest), "a bigint, b bigint")
+        more = _verify(near.distinct(), each, texts, k, percent)
+        if more.limit(1).count():
+            links = links.union(more)
+            labels = materialize(components(links), "labels")
+    return labels
 
 
 def jaccard_components(docs: DataFrame, k: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
