@@ -3,12 +3,13 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from pointloom.llm.common import read_table, shared_path
+from pointloom.llm.common import materialize, read_table, shared_path
 from pointloom.llm.dedup_blocks import exact_dedup
 from pointloom.llm.mixing import repeat_rows, systematic_mix
 from pointloom.llm.packing import pack
-from pointloom.llm.parity_join import jaccard_components
+from pointloom.llm.parity_join import BROADCAST_IDS, jaccard_components
 from pointloom.llm.subword import fit, score
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
@@ -28,7 +29,9 @@ def exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group that links of five-word shingles connect, the one with the smallest id stays."""
     found = jaccard_components(docs, k=5, percent=80)
-    dropped = found.where("component_id <> doc_id").select("doc_id")
+    dropped = materialize(found.where("component_id <> doc_id").select("doc_id"), "near-copies")
+    # Few enough ids are broadcast, which spares the texts a shuffle.
+    dropped = F.broadcast(dropped) if dropped.count() <= BROADCAST_IDS else dropped
     return docs.select(*COLUMNS).join(dropped, "doc_id", "left_anti")
 
 
