@@ -1,7 +1,8 @@
 """Recorded robot logs: an ``mcap`` data source, and decoders of the messages that matter here.
 
 The source gives one row per message and one partition per chunk of the file, of the topics asked for
-only. Paths must be readable by every executor.
+only. Channels are learnt from the whole file, as a chunk may use those of earlier ones; a message of an
+unknown channel is an error. Paths must be readable by every executor.
 """
 
 from __future__ import annotations
@@ -20,7 +21,7 @@ from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 MAGIC = b"\x89MCAP0\r\n"
 SCHEMA = "topic string, log_time_ns bigint, seq bigint, data binary"
 POINTS, JOINT_STATE, ANGLE, IMU = "/velodyne_points", "/rotating_platform/joint_state", "/rotating_platform/angle", "/imu"
-_CHANNEL, _MESSAGE, _CHUNK = 0x04, 0x05, 0x06
+_FOOTER, _CHANNEL, _MESSAGE, _CHUNK, _STATISTICS, _DATA_END = 0x02, 0x04, 0x05, 0x06, 0x0B, 0x0F
 
 
 def resolve(path: str) -> list[str]:
@@ -85,24 +86,35 @@ class McapReader(DataSourceReader):
                 out.append(_Chunk(path, 0, -1, {}))
                 continue
             channels: dict[int, str] = {}
+            chunks: list[_Chunk] = []
             with open(path, "rb") as f:
                 if f.read(8) != MAGIC:
                     raise ValueError(f"{path} is not an MCAP file")
-                loose = None
+                loose, ended, repeated, stated = None, False, False, 0
                 while len(head := f.read(9)) == 9:  # record heads only; bodies are skipped
                     op, n = head[0], struct.unpack("<Q", head[1:])[0]
                     at = f.tell()
                     if op == _CHANNEL:
                         k, topic = _channel(f.read(n))
                         channels[k] = topic
+                        repeated |= ended
                     elif op == _CHUNK:
-                        out.append(_Chunk(path, at, n, channels))
+                        chunks.append(_Chunk(path, at, n, channels))
                     elif op == _MESSAGE:
                         loose = loose or _Chunk(path, 8, -1, channels)
-                    elif op in (0x02, 0x0F):  # footer, end of data
+                    elif op == _STATISTICS:
+                        stated = struct.unpack_from("<I", f.read(n), 10)[0]
+                    elif op == _DATA_END:  # the summary follows, which repeats the channels of all chunks
+                        ended = True
+                    elif op == _FOOTER:
                         break
                     f.seek(at + n)
-            out += [loose] if loose else []
+                if len(chunks) + bool(loose) > 1 and (not repeated or len(channels) < stated):
+                    # A chunk may use channels of earlier ones, and without a summary only those tell.
+                    for c in chunks:
+                        f.seek(c.offset)
+                        channels.update(_channel(b) for op, b in records(chunk_records(f.read(c.length))) if op == _CHANNEL)
+            out += chunks + ([loose] if loose else [])
         return out or [_Chunk("", 0, 0, {})]
 
     def read(self, part):
@@ -125,12 +137,14 @@ class McapReader(DataSourceReader):
                     channels[k] = topic
                 elif op == _MESSAGE:
                     k, seq, log = struct.unpack_from("<HIQ", body)
-                    if not self.topics or channels.get(k) in self.topics:
-                        rows.append((channels.get(k), log, seq, body[22:]))
+                    if k not in channels:
+                        raise ValueError(f"{part.path}: message of unknown channel {k}")
+                    if not self.topics or channels[k] in self.topics:
+                        rows.append((channels[k], log, seq, body[22:]))
                     if len(rows) == 1000:
                         yield self._batch(rows)
                         rows = []
-                elif op == 0x0F:
+                elif op == _DATA_END:
                     break
         if rows:
             yield self._batch(rows)
