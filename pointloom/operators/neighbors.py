@@ -7,6 +7,8 @@ cell width meet. What a join costs follows the points per cell: thin dense cloud
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
+from operator import and_
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -55,17 +57,22 @@ def knn(points: DataFrame, k: int, key: Sequence[str], start: float, by: Sequenc
     """Each point's ``k`` nearest without a radius: rings widen for the points that lack neighbours.
 
     A point is done once it has k neighbours within the ring's radius, which makes them its nearest.
-    Each round sees only the points still open; with at most ``k`` points in all, all are neighbours.
+    Each round sees only the points still open; in a group of at most ``k`` points all are neighbours.
+    Points without a group or without finite coordinates take no part.
     """
-    total = points.groupBy(*by).count() if by else points.agg(F.count("*").alias("count"))
-    least = total.agg(F.min("count")).first()[0] or 0
-    want, radius, left, done = min(k, least), start, points, None
+    finite = [F.abs(c) < float("inf") for c in doubles(xyz())]
+    points = points.where(reduce(and_, [*finite, *(F.col(b).isNotNull() for b in by)]))
+    # What a point can find is up to its own group: a small one must not end the search of the others.
+    want = materialize(points.groupBy(*by).agg(F.least(F.lit(k), F.count("*")).alias("_want")), "wanted")
+    radius, left, done = start, points, None
     while True:
         pairs = near_pairs(left, points, radius, key, key, by)
         w = Window.partitionBy(*by, *key).orderBy("d2", *(f"t_{c}" for c in key))
         ranked = pairs.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k).withColumn("_n", F.count("*").over(Window.partitionBy(*by, *key)))
         ranked = materialize(ranked, "neighbours")
-        full = ranked.where(F.col("_n") >= want).drop("_n")
+        wanted = F.broadcast(want)  # one row per group
+        wanted = ranked.join(wanted, list(by)) if by else ranked.crossJoin(wanted)
+        full = wanted.where(F.col("_n") >= F.col("_want")).select(ranked.columns).drop("_n")
         done = full if done is None else done.union(full)
         left = left.join(full.select(*by, *key).distinct(), [*by, *key], "left_anti")
         left = materialize(left, "open-points")
