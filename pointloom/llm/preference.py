@@ -18,6 +18,8 @@ from pointloom.llm.common import materialize
 
 HEAD, NEXT, END = "<|", "|>\n", "<|end|>\n"
 TRAINED_ROLE = "assistant"
+#: Places that each turn number has.
+PLACES = 65_536
 
 
 def pairs_by_id(turns: DataFrame, id_col: str = "conv_id") -> DataFrame:
@@ -33,18 +35,26 @@ def format_preferences(turns: DataFrame, pairs: DataFrame, id_col: str = "conv_i
     ``pairs`` has ``pair_id``, ``side`` ('chosen' or 'rejected') and ``conv_id``. Turns are compared by
     number, role and text; null roles and texts count as empty, null numbers come first. Rows that repeat
     a turn exactly count once; different ones of one number go by role, then text. ``place`` numbers
-    the turns by their number, then that order, as ``turn * 2**16 + rank``. ``train_from`` and ``train_to`` bound
-    the trained characters of ``rendered`` (both 0 where nothing is). Empty input gives no rows.
+    the turns by their number, then that order, as ``turn * 2**16 + rank``; where a number has more than 2**16
+    turns in either conversation, later places of the pair move on by what is above that, so that no two turns
+    share a place. ``train_from`` and ``train_to`` bound the trained characters of ``rendered`` (both 0 where
+    nothing is). Empty input gives no rows.
     """
     t = turns.select(F.col(id_col).alias("conv_id"), F.coalesce(F.col("turn").cast("long"), F.lit(-1)).alias("turn"), F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text")).distinct()
     rank = F.row_number().over(Window.partitionBy("conv_id", "turn").orderBy("role", "text")) - 1
-    t = t.withColumn("place", F.col("turn") * 65536 + rank)
-    sided = t.join(pairs, "conv_id").select("pair_id", "side", "place", F.struct("role", "text").alias("said"))
+    t = t.withColumn("at", F.struct("turn", rank.cast("long").alias("rank")))
+    sided = t.join(pairs, "conv_id").select("pair_id", "side", "at", F.struct("role", "text").alias("said"))
     of = lambda side: F.min(F.when(F.col("side") == side, F.col("said"))).alias(side)
-    both = materialize(sided.groupBy("pair_id", "place").agg(of("chosen"), of("rejected")), "preference-turns")
+    both = materialize(sided.groupBy("pair_id", "at").agg(of("chosen"), of("rejected")), "preference-turns")
     differs = ~F.coalesce(F.col("chosen") == F.col("rejected"), F.lit(False))
-    first = materialize(both.where(differs).groupBy("pair_id").agg(F.min("place").alias("first")), "first-difference")
-    marked = both.join(first, "pair_id", "left").withColumn("shared", F.col("first").isNull() | (F.col("place") < F.col("first")))
+    first = materialize(both.where(differs).groupBy("pair_id").agg(F.min("at").alias("first")), "first-difference")
+    # Numbers with more turns than their places hold, with the excess; a row for 2**16 turns at most.
+    above = both.where(F.col("at.rank") >= PLACES).groupBy("pair_id", F.col("at.turn").alias("turn")).agg((F.max("at.rank") - (PLACES - 1)).alias("n"))
+    above = materialize(above.groupBy("pair_id").agg(F.collect_list(F.struct("turn", "n")).alias("above")), "crowded-turns")
+    before = F.filter("above", lambda o: o["turn"] < F.col("at.turn"))
+    moved = F.coalesce(F.aggregate(before, F.lit(0).cast("long"), lambda s, o: s + o["n"]), F.lit(0))
+    marked = both.join(first, "pair_id", "left").withColumn("shared", F.col("first").isNull() | (F.col("at") < F.col("first")))
+    marked = marked.join(above, "pair_id", "left").withColumn("place", F.col("at.turn") * PLACES + F.col("at.rank") + moved)
     part = lambda name, side: F.struct(F.lit(name).alias("part"), F.col(f"{side}.role").alias("role"), F.col(f"{side}.text").alias("text"))
     parts = F.when(F.col("shared"), F.array(part("prompt", "chosen"))).otherwise(
         F.filter(F.array(F.when(F.col("chosen").isNotNull(), part("chosen", "chosen")), F.when(F.col("rejected").isNotNull(), part("rejected", "rejected"))), lambda p: p.isNotNull())
