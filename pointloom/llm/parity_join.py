@@ -125,15 +125,16 @@ def _sketches(k: int, percent: int):
         known: list[tuple[int, int]] = []
         for batch in batches:
             sizes, first, second, keys, short = [], [], [], [], []
-            for text in batch.column("text").to_pylist():
+            for id_, text in zip(batch.column("id").to_pylist(), batch.column("text").to_pylist(), strict=True):
                 s = shingle_set(text, k)
                 n = len(s)
                 a, b = (int(mix(s ^ np.uint64(c)).sum()) for c in (0x5851F42D4C957F2D, 0x14057B7EF767814F))
                 sizes.append(n)
                 first.append(a - (1 << 63))
                 second.append(b - (1 << 63))
-                if (n, a, b) in seen:
-                    seen.move_to_end((n, a, b))
+                if id_ is None or (n, a, b) in seen:  # rows with a null id don't stand for their copies
+                    if id_ is not None:
+                        seen.move_to_end((n, a, b))
                     keys.append(np.zeros(0, np.uint64))
                     short.append(None)
                     continue
