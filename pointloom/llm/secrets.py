@@ -1,6 +1,8 @@
 """Secret scan: candidates by pattern, false positives removed by a random forest.
 
-A candidate is a run of credential characters or the value of a credential-like assignment. Features are
+A candidate is a run of at least 16 credential characters or the value, of at least 8 characters, of a
+credential-like assignment; neither has an upper length, and whether a run without digits is a secret is for
+the forest to say. An assigned value ends at a blank or quote. Features are
 its length, character classes and their transitions, how much of it a dictionary covers, the path it lies
 in and the words beside it. A forest of decision trees, trained in numpy from labelled findings, says
 whether it is a secret.
@@ -11,14 +13,16 @@ Scale: one pass over the texts without a shuffle; tasks need the trees only, a f
 from __future__ import annotations
 
 import re
+from bisect import bisect_right
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-CANDIDATE = re.compile(r"(?<![A-Za-z0-9+/_-])(?=[A-Za-z+/_-]{0,40}[0-9])[A-Za-z0-9+/_-]{16,512}={0,2}(?![A-Za-z0-9+/_-])")
-ASSIGNED = re.compile(r"(?i)\b(?:pass(?:word|wd)?|pwd|secret)\b\s{0,3}[:=]\s{0,3}[\"']?([^\s\"']{8,128})")
+CANDIDATE = re.compile(r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{16,}+={0,2}(?![A-Za-z0-9+/_-])")
+ASSIGNED = re.compile(r"(?i)\b(?:pass(?:word|wd)?|pwd|secret)\b\s{0,3}[:=]\s{0,3}[\"']?([^\s\"']{8,}+)")
+CLOSING = ".,;:)]}>"
 CUES = frozenset("token key secret password passwd pwd api apikey auth bearer credential credentials access private".split())
 AGAINST = frozenset("sha sha1 sha256 md5 commit checksum digest hash uuid guid revision etag example sample dummy id version build".split())
 DICTIONARY = frozenset("the and for with that this from are was example sample test dummy change your password secret token value name user data file path index page image http https www com org net html main class function return string number version release build license".split())
@@ -139,15 +143,21 @@ def forest_scores(forest: list[np.ndarray], x: np.ndarray) -> np.ndarray:
 
 
 def candidates(text: str) -> list[tuple[int, int]]:
-    """Candidate spans, by start; an assigned value that overlaps a run is not proposed twice."""
-    found = [m.span() for m in CANDIDATE.finditer(text)] if re.search("[0-9]", text) else []
+    """Candidate spans, by start; a run within an assigned value isn't proposed twice.
+
+    The whole value stands for the runs in it, unless it is one run and closing punctuation.
+    """
+    found = [m.span() for m in CANDIDATE.finditer(text)]
     lowered = text.lower()
     if "pass" in lowered or "pwd" in lowered or "secret" in lowered:
-        taken = set(found)
+        runs, ends = set(found), {}
         for m in ASSIGNED.finditer(text):
             a, b = m.span(1)
-            if not any(x < b and a < y for x, y in taken):
-                found.append((a, b))
+            if (a, a + len(text[a:b].rstrip(CLOSING))) not in runs:
+                ends[a] = b
+        starts = sorted(ends)
+        within = lambda x, y: (i := bisect_right(starts, x)) > 0 and y <= ends[starts[i - 1]]
+        found = [r for r in found if not within(*r)] + list(ends.items())
     return sorted(found)
 
 
