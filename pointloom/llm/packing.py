@@ -6,7 +6,8 @@ token the bin can be expected to hold is opened, judged by the pieces that are s
 each bin is downsized to the shortest permitted length that holds its contents.
 
 The permitted lengths are chosen jointly: each group is packed once for every choice of the lengths
-that bins may open with, and the cheapest result after downsizing is taken.
+that bins may open with (each non-empty subset: 15 for four lengths), and the cheapest result after
+downsizing is taken.
 
 Scale: only ids and lengths move. Pieces are dealt by a hash of id and offset into groups of about
 ``GROUP_PIECES``, which are packed independently, so that a group is one bounded task and what is lost at
@@ -17,6 +18,7 @@ from __future__ import annotations
 
 from bisect import bisect_left, insort
 from collections.abc import Iterator
+from itertools import combinations
 
 import numpy as np
 import pandas as pd
@@ -78,7 +80,7 @@ def best_fit(sizes: np.ndarray, opened: tuple[int, ...], permitted: tuple[int, .
 def pack_group(sizes: np.ndarray, permitted: tuple[int, ...] = LENGTHS) -> tuple[np.ndarray, np.ndarray, list[int]]:
     """Order, bin of each piece in that order, and length of each bin: the cheapest over opening choices."""
     order = np.argsort(-sizes, kind="stable")
-    choices = [*((c,) for c in permitted), permitted]
+    choices = [c for n in range(1, len(permitted) + 1) for c in combinations(permitted, n)]
     tried = [best_fit(sizes[order], tuple(sorted(c)), permitted) for c in choices]
     where, final, _ = min(tried, key=lambda t: t[2])
     return order, where, final
