@@ -11,7 +11,7 @@ from pointloom.config import PlaneConfig
 from pointloom.functions.geometry import doubles, plane_type, xyz
 from pointloom.operators.voxel import voxel_centroid
 
-_ROWS = 2048
+_ROWS, _DEALS = 2048, 100
 
 
 def plane_distance(plane: tuple[float, float, float, float]) -> Column:
@@ -35,18 +35,32 @@ def plane_residuals(points: DataFrame, plane: tuple[float, float, float, float])
     return points.agg(F.sqrt(F.avg(d * d)).alias("rms"), F.percentile(F.abs(d), 0.95).alias("p95"), F.count("*").alias("n_pts"))
 
 
-def _candidates(points: DataFrame, cfg: PlaneConfig, round_: int) -> np.ndarray:
-    """Planes through seeded random triples; 3 * iterations points come to the driver."""
-    order = F.xxhash64(*doubles(xyz()), F.lit(cfg.seed + round_))
-    rows = points.select(*doubles(xyz())).orderBy(order).limit(3 * cfg.iterations).collect()
-    p = np.array([tuple(r) for r in rows], float)
-    p = p[: len(p) // 3 * 3].reshape(-1, 3, 3)
+def _planes_through(p: np.ndarray) -> np.ndarray:
+    """Planes through triples of points (n, 3, 3), without those of points on a line."""
     n = np.cross(p[:, 1] - p[:, 0], p[:, 2] - p[:, 0])
     size = np.linalg.norm(n, axis=1)
     n, p = n[size > 1e-12] / size[size > 1e-12, None], p[size > 1e-12]
     return np.hstack([n, -(n * p[:, 0]).sum(1, keepdims=True)])
 
 
+def _candidates(points: DataFrame, cfg: PlaneConfig, round_: int) -> np.ndarray:
+    """``iterations`` planes through seeded random triples; 3 * iterations points come to the driver.
+
+    Where the cloud has fewer, or some lie on a line, the points are dealt into triples again. There are
+    fewer candidates only if so many deals of the points in a row give none.
+    """
+    order = F.xxhash64(*doubles(xyz()), F.lit(cfg.seed + round_))
+    rows = points.select(*doubles(xyz())).orderBy(order).limit(3 * cfg.iterations).collect()
+    p, rng = np.array([tuple(r) for r in rows], float).reshape(-1, 3), np.random.default_rng([cfg.seed, round_])
+    found, total, fruitless = [], 0, 0
+    while len(p) >= 3 and total < cfg.iterations and fruitless < _DEALS:
+        planes = _planes_through(p[: len(p) // 3 * 3].reshape(-1, 3, 3))
+        found.append(planes)
+        total, fruitless = total + len(planes), 0 if len(planes) else fruitless + 1
+        p = rng.permutation(p)
+    return np.concatenate([np.zeros((0, 4)), *found])[: cfg.iterations]
+
+
 def _best(points: DataFrame, planes: np.ndarray, distance: float) -> tuple[int, int]:
     """The candidate with most inliers, counted per batch and summed."""
 

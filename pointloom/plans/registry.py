@@ -563,7 +563,7 @@ def icp_slices(spark, d):
 def ransac_plane(spark, d):
     from pointloom.config import PlaneConfig
 
-    return planes.find_planes(S.points(spark, d), PlaneConfig(min_points=500, iterations=300))
+    return planes.find_planes(S.points(spark, d), PlaneConfig(min_points=500))
 
 
 @query()
