@@ -1,7 +1,7 @@
 """Surface reconstruction from a bounded sample: oriented normals, a grid Poisson solve, tetrahedra.
 
 The sample (``MAX_SAMPLES`` points at most) comes to the driver. The Poisson equation is solved by FFT on
-a regular grid of 2**depth cells a side, which bounds ``depth`` at 8; the level set is cut out of the
+a regular grid of 2**depth cells a side, which bounds ``depth`` at 8 (7 by default); a larger one is an error. The level set is cut out of the
 grid by marching tetrahedra.
 """
 
@@ -123,8 +123,10 @@ def marching_tetrahedra(f: np.ndarray, level: float) -> tuple[np.ndarray, np.nda
 
 def reconstruct(points: np.ndarray, depth: int = 7, radius: float = 0.15, k: int = 30, orient_k: int = 10, cut: float = 0.10) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Vertices, their normals, triangles; the ``cut`` share of vertices with least density is trimmed."""
+    if depth > MAX_DEPTH:
+        raise ValueError(f"depth {depth} is above {MAX_DEPTH}, which the grid bounds")
     normals = orient_normals(points, Grid(points, radius).normals(radius, k), radius, orient_k)
-    chi, origin, step, level, density = poisson_field(points, -normals, min(depth, MAX_DEPTH))
+    chi, origin, step, level, density = poisson_field(points, -normals, depth)
     v, t = marching_tetrahedra(chi, level)
     if not len(v):
         return v, v, t

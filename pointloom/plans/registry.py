@@ -587,6 +587,8 @@ def sample_points(spark, d):
 
 @query()
 def mesh(spark, d):
+    """Vertices and triangles, told apart by ``part``."""
     from pointloom.operators.mesh import build_mesh
 
-    return build_mesh(S.points(spark, d), depth=5, radius=0.05)[0]
+    vertices, triangles = (x.withColumn("part", F.lit(n)) for x, n in zip(build_mesh(S.points(spark, d), radius=0.05), ("vertex", "triangle"), strict=True))
+    return vertices.unionByName(triangles, allowMissingColumns=True)
