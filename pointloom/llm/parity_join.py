@@ -2,15 +2,23 @@
 
 A document is the set of its word shingles. Each shingle flips one bit of the document's sketch, so the
 Hamming distance of two sketches is at most the size of the sets' symmetric difference. For sizes a and b
-a similarity of t percent allows a difference of (a + b)(100 - t) / (100 + t), d at most within a band of
-sizes. A band's sketches have d + 1 words of 64 bits: at least one word agrees between any two documents
-that link, and documents meet in a join on (band, place, word). Documents near the lower end of the next
-band's reach take part in that band too. Pairs that meet are verified on the shingles themselves.
-
-A word that few shingles fell on says little. By the cycle lemma some agreeing word is followed by one
-with at most one differing bit, that by words with at most two in all, and so on around the sketch. A
-weak word's key is therefore lengthened by either half of the next word (one of them agrees), and if
-still weak by any third of the one after (one of the three agrees). No link is lost by this.
+a similarity of t percent allows a difference of (a + b)(100 - t) / (100 + t). A band's sketches have more
+words than any two sizes of the band allow differences, so some word agrees between any two documents that
+link, and documents meet in a join on (band, place, word). Documents near the lower end of the next band's
+reach take part in that band too. Pairs that meet are verified on the shingles themselves.
+
+Words are ``WORD_BITS`` wide and sparse: a word stands as the XOR of a hash of each bit that is set.
+Of m words at least m - d agree where at most d bits differ. Words are ranked by the number of their set
+bits, then by their key, which two documents do alike for a word that agrees; the best ranked that agrees is
+then among the d + 1 best of either document, and only so many of its words are keys, d being the most
+that the document's own size allows. So weak words, which say little, are left out.
+
+Where a word of fewer than ``WEAK_BITS`` bits is still among them, the cycle lemma helps: of the words
+that agree as many (m - d) are followed by one with at most one differing bit, that by words with at most
+two in all, and so on around the sketch; the ranking holds among those starts. A weak word's key is
+therefore lengthened by either half of the next word (one of them agrees), and if still weak by any third
+of the one after (one of the three agrees). No link is lost by this. Set against each other are 64-bit hashes
+of words and shingles, so all is exact up to a collision of those.
 
 Links are found per group of documents, without emitting all pairs of a group: a group are those that
 share a key with one centre, which is the least of all that have the key. First every centre is verified
@@ -20,7 +28,8 @@ different components whose sketches are near enough, and these are verified: in
 the nearest, which leaves few components apart that belong together, in the next all that still lie
 between components. Every pair that could still join two components is so decided.
 
-Scale: exact copies leave sketches once per task. The join moves two integers per key. Of pairs that
+Scale: exact copies leave sketches once per task. Keys are aggregated before their shuffle, and only those
+of two documents or more are joined, a join that Spark splits where one key is hot. Of pairs that
 meet, sizes and the Hamming distance of short sketches (a bit per shingle) refuse most that don't link;
 only the texts of documents in the pairs left are read again.
 """
@@ -31,15 +40,19 @@ from collections import OrderedDict
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from pointloom.llm.common import components, discard, materialize
 from pointloom.llm.words import mix, shingle_set
 
 #: Bands of sizes grow by this factor, or by what the similarity needs if that is more.
-BAND_GROWTH = 1.2
-#: A key must come from more than so many set bits, or it is lengthened.
+BAND_GROWTH = 3.0
+#: Bits of a word, as a power of two.
+WORD_BITS = 20
+#: Words beyond those that the tolerance asks for, so that short sets can leave empty ones out.
+SPARE = 2
+#: A key must come from so many set bits, or it is lengthened.
 WEAK_BITS = 2
 #: Copies that a task remembers, so as to emit their sketch once.
 SEEN = 100_000
@@ -60,14 +73,6 @@ def bands(percent: int, largest: int) -> list[tuple[int, int]]:
     return out
 
 
-def sketch(shingles: np.ndarray, words: int) -> np.ndarray:
-    """The parity sketch: ``words`` 64-bit words, a bit for each parity of the shingles that fall on it."""
-    place = (shingles >> np.uint64(32)) * np.uint64(words) >> np.uint64(32)
-    bit = shingles & np.uint64(63)
-    parity = np.bincount((place * np.uint64(64) + bit).astype(np.int64), minlength=words * 64) & 1
-    return np.packbits(parity.astype(np.uint8), bitorder="little").view("<u8")
-
-
 def short_sketch(shingles: np.ndarray) -> bytes:
     """A parity sketch of about a bit per shingle; a power of two, so that a longer one folds to it."""
     bits = 64 << max(0, (len(shingles) - 1).bit_length() - 6)
@@ -75,38 +80,52 @@ def short_sketch(shingles: np.ndarray) -> bytes:
     return np.packbits(parity.astype(np.uint8), bitorder="little").tobytes()
 
 
-def hamming(a: bytes, b: bytes) -> int:
-    """Distance of two short sketches, the longer one folded to the other's length."""
-    x, y = np.frombuffer(a, np.uint64), np.frombuffer(b, np.uint64)
-    if len(x) > len(y):
-        x, y = y, x
-    while len(y) > len(x):
-        y = y[: len(y) // 2] ^ y[len(y) // 2 :]
-    return int(np.bitwise_count(x ^ y).sum())
+def tolerance(a: int, b: int, percent: int) -> int:
+    """The most that the sets of a pair of these sizes differ by if they link."""
+    return (a + b) * (100 - percent) // (100 + percent)
+
+
+def odd_bits(shingles: np.ndarray, words: int) -> np.ndarray:
+    """The set bits of the parity sketch, ascending: word times 2**WORD_BITS plus the bit in it."""
+    bits = (shingles >> np.uint64(32)) * np.uint64(words) >> np.uint64(32 - WORD_BITS)
+    if (bits[1:] == bits[:-1]).any():  # shingles are sorted, so those of one bit are neighbours
+        bits, times = np.unique(bits, return_counts=True)
+        bits = bits[times % 2 == 1]
+    return bits
 
 
 def band_keys(shingles: np.ndarray, band: int, hi: int, percent: int) -> np.ndarray:
-    """The keys under which a set meets others in the band."""
-    words = 2 * (hi - 1) * (100 - percent) // (100 + percent) + 1
-    w = sketch(shingles, words)
-    count = np.bitwise_count(w)
-    place = np.arange(words, dtype=np.uint64)
-    key = mix(mix(w + np.uint64((band + 1) * 0x9E3779B97F4A7C15 % 2**64)) + place)
-    weak = count <= WEAK_BITS
-    if words < 2 or not weak.any():
-        return key
-    out = [key[~weak]]
-    at = np.flatnonzero(weak)
-    following, after = w[(at + 1) % words], w[(at + 2) % words]
+    """The keys under which a set, given as sorted hashes, meets others in the band of sizes below ``hi``."""
+    n, one = len(shingles), np.uint64(WORD_BITS)
+    words = tolerance(hi - 1, hi - 1, percent) + 1 + SPARE
+    keep = min(words, tolerance(n, min(hi - 1, 100 * n // percent), percent) + 1)
+    bits = odd_bits(shingles, words)
+    xors = np.zeros(len(bits) + 1, np.uint64)
+    np.bitwise_xor.accumulate(mix(bits), out=xors[1:])
+    place = np.arange(words + 1, dtype=np.uint64)
+    edge = np.searchsorted(bits, place << one)
+    count, word = np.diff(edge), xors[edge[1:]] ^ xors[edge[:-1]]
+    key = mix(mix(word + np.uint64((band + 1) * 0x9E3779B97F4A7C15 % 2**64)) + place[:-1])
+    rank = np.minimum(count, 255).astype(np.uint64) << np.uint64(56) | key >> np.uint64(8)
+    best = np.argsort(rank, kind="stable")[words - keep :]
+    weak = count[best] < WEAK_BITS
+    out, at = [key[best[~weak]]], best[weak]
+    if not len(at):
+        return out[0]
+
+    def part(of: np.ndarray, k: int, parts: int) -> tuple[np.ndarray, np.ndarray]:
+        """XOR and number of the set bits in the k-th part of these words."""
+        start = (of % words).astype(np.uint64) << one
+        a, b = (np.searchsorted(bits, start + np.uint64((1 << WORD_BITS) * i // parts)) for i in (k, k + 1))
+        return xors[b] ^ xors[a], b - a
+
     for h in (0, 1):
-        half = following >> np.uint64(32) if h else following & np.uint64(0xFFFFFFFF)
+        half, more = part(at + 1, h, 2)
         longer = mix(mix(key[at] + np.uint64(2 * h + 1)) + half)
-        still = count[at] + np.bitwise_count(half) <= WEAK_BITS
-        if words < 3:
-            still[:] = False
+        still = count[at] + more < WEAK_BITS
         out.append(longer[~still])
-        for t, (shift, mask) in enumerate(((0, 0x3FFFFF), (22, 0x1FFFFF), (43, 0x1FFFFF))):
-            third = after[still] >> np.uint64(shift) & np.uint64(mask)
+        for t in (0, 1, 2):
+            third, _ = part(at[still] + 2, t, 3)
             out.append(mix(mix(longer[still] + np.uint64(2 * t + 7)) + third))
     return np.concatenate(out)
 
@@ -163,12 +182,37 @@ def _sets(k: int):
     return run
 
 
+def _folded(sketches: list[bytes], words: int) -> np.ndarray:
+    """Short sketches of one length as rows, folded to so many 64-bit words."""
+    x = np.frombuffer(b"".join(sketches), np.uint64).reshape(len(sketches), -1)
+    while x.shape[1] > words:
+        half = x.shape[1] // 2
+        x = x[:, :half] ^ x[:, half:]
+    return x
+
+
+def distances(left: list[bytes], right: list[bytes]) -> np.ndarray:
+    """Hamming distances of pairs of short sketches, the longer one folded to the other's length."""
+    width = np.array([(len(x) // 8, len(y) // 8) for x, y in zip(left, right, strict=True)], np.int64).reshape(-1, 2)
+    out = np.zeros(len(left), np.int64)
+    for x, y in np.unique(width, axis=0).tolist():  # few: lengths are powers of two
+        on = np.flatnonzero((width == (x, y)).all(1))
+        a, b = (_folded([k[i] for i in on], min(x, y)) for k in (left, right))
+        out[on] = np.bitwise_count(a ^ b).sum(1, dtype=np.int64)
+    return out
+
+
+def hamming(a: bytes, b: bytes) -> int:
+    return int(distances([a], [b])[0])
+
+
 def _possible(percent: int):
     def run(batches):
         for batch in batches:
-            cols = (batch.column(c) for c in ("na", "nb", "ka", "kb"))
-            ok = [hamming(ka.as_py(), kb.as_py()) * (100 + percent) <= (na.as_py() + nb.as_py()) * (100 - percent) for na, nb, ka, kb in zip(*cols, strict=True)]
-            yield pa.RecordBatch.from_arrays([batch.column(c) for c in ("a", "b")], ["a", "b"]).filter(pa.array(ok, pa.bool_()))
+            na, nb = (batch.column(c).to_numpy() for c in ("na", "nb"))
+            d = distances(batch.column("ka").to_pylist(), batch.column("kb").to_pylist())
+            ok = d * (100 + percent) <= (na + nb) * (100 - percent)
+            yield pa.RecordBatch.from_arrays([batch.column(c) for c in ("a", "b")], ["a", "b"]).filter(pa.array(ok))
 
     return run
 
@@ -233,10 +277,7 @@ def _near_in_block(rows: list[tuple], percent: int, across: bool, forest: bool)
     width = min(len(r[4]) for r in rows) // 8
     x = np.empty((len(rows), width), np.uint64)
     for i, r in enumerate(rows):
-        s = np.frombuffer(r[4], np.uint64)
-        while len(s) > width:
-            s = s[: len(s) // 2] ^ s[len(s) // 2 :]
-        x[i] = s
+        x[i] = _folded([r[4]], width)[0]
     cut = next((i for i, r in enumerate(rows) if r[0] != rows[0][0]), len(rows)) if across else len(rows)
     start, step = (cut if across else 0), max(1, 2_000_000 // max(1, len(rows) * width))
     found: list[tuple[int, int, int]] = []
@@ -287,7 +328,8 @@ def _labels(texts: DataFrame, each: DataFrame, members: DataFrame, k: int, perce
     for forest in (True, False):
         left = members.join(labels.withColumnRenamed("node", "id"), "id", "left").withColumn("comp", F.coalesce("comp", "id"))
         open_ = left.groupBy("group").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count("*").alias("size")).where("lo <> hi")
-        open_ = open_.select("group", F.ceil(F.col("size") / BLOCK).cast("int").alias("blocks"))
+        # Written first, so that the join beside it stands alone and can be split where a group is large.
+        open_ = materialize(open_.select("group", F.ceil(F.col("size") / BLOCK).cast("int").alias("blocks")), "open-groups")
         left = materialize(left.join(open_, "group").join(own, "id"), "open-members")
         if left.limit(1).count() == 0:
             return labels
@@ -313,8 +355,8 @@ def jaccard_components(docs: DataFrame, k: int = 5, percent: int = 80, id_col: s
     texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
     each = materialize(texts.mapInArrow(_sketches(k, percent), "id bigint, n_shingles bigint, d1 bigint, d2 bigint, short binary, keys array<bigint>"), "sketches")
     keys = each.where("id is not null").select("id", F.explode("keys").alias("key"))
-    by_key = Window.partitionBy("key")
-    groups = keys.withColumn("centre", F.min("id").over(by_key)).where("id <> centre")
+    shared = keys.groupBy("key").agg(F.min("id").alias("centre"), F.max("id").alias("last")).where("centre < last").drop("last")
+    groups = keys.join(materialize(shared, "shared-keys"), "key").where("id <> centre")
     # Groups of one centre become one, so that documents which share many keys are compared once.
     members = groups.select(F.col("centre").alias("group"), "id").distinct()
     members = materialize(members, "members")
