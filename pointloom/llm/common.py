@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
+import re
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from pointloom.functions.storage import discard, materialize, shared_path
+
+__all__ = ["discard", "materialize", "shared_path"]
+
 #: Words are runs of anything but the six ASCII blanks.
 BLANKS = r"[\x20\x09-\x0D]+"
 WORD = r"[^\x20\x09-\x0D]+"
@@ -17,51 +20,32 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: ``spark.checkpoint.dir``.
-
-    Only where that is unset (a local session, as in tests) a temporary folder takes its place.
-    """
-    found = spark.conf.get("spark.checkpoint.dir", None)
-    if not found:
-        found = "file://" + tempfile.mkdtemp(prefix="pointloom-")
-        spark.conf.set("spark.checkpoint.dir", found)
-    return found
-
-
-def shared_path(spark: SparkSession, name: str) -> str:
-    """A new path in the shared folder, deleted when the application ends."""
-    out = f"{shared_dir(spark)}/pointloom/{name}-{uuid.uuid4().hex}"
-    jvm = spark.sparkContext._jvm
-    path = jvm.org.apache.hadoop.fs.Path(out)
-    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(path)
-    return out
+#: What a plan may consist of if its rows come in the same order each time.
+_PLAIN_NODES = frozenset({"Project", "Filter", "Relation", "LogicalRelation", "LocalRelation", "SubqueryAlias", "Range"})
 
 
-def materialize(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` into the shared folder and read it back: cuts lineage and survives lost executors."""
-    spark = df.sparkSession
-    out = shared_path(spark, name)
-    df.write.parquet(out)
-    return spark.read.schema(df.schema).parquet(out)
-
+def stable(docs: DataFrame) -> DataFrame:
+    """``docs`` as a source whose rows come in the same order each time it is read.
 
-def discard(df: DataFrame) -> None:
-    """Delete the files that ``df``, which ``materialize`` returned, reads."""
-    spark = df.sparkSession
-    for name in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
-        path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(name)
-        path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+    A plain scan with deterministic expressions is one already; anything else (shuffles, limits, samples,
+    Python, random numbers) is written first, so that row ids taken in two reads of it agree.
+    """
+    plan = docs._jdf.queryExecution().optimizedPlan()
+    nodes = {m[1] for line in plan.toString().splitlines() if (m := re.match(r"[\s:+|!*-]*([A-Za-z]+)", line))}
+    return docs if nodes <= _PLAIN_NODES and plan.deterministic() else materialize(docs, "rows")
 
 
-def stable(docs: DataFrame) -> DataFrame:
-    """``docs`` as a source whose rows come in the same order each time it is read.
+def hashed_sample(rows: DataFrame, most: int, *ids: str) -> DataFrame:
+    """At most ``most`` of ``rows``, those first in order of a hash of ``ids``.
 
-    A plain scan is one already; what comes from a shuffle is written first, so that row ids taken in
-    two reads of it agree.
+    A threshold from the count goes first, so that only about so many rows are ever sorted or sent.
     """
-    plan = docs._jdf.queryExecution().executedPlan().toString()
-    return materialize(docs, "rows") if "Exchange" in plan or "Sample" in plan else docs
+    count, parts = rows.count(), 1 << 30
+    h = F.xxhash64(*ids)
+    if count > most:
+        share = min(1.0, most / count + 4 * (most**0.5 + 1) / count)
+        rows = rows.where(F.pmod(h, F.lit(parts)) < int(share * parts))
+    return rows.orderBy(F.pmod(h, F.lit(parts)), *ids).limit(most)
 
 
 def let(value: Column, body) -> Column:

@@ -16,7 +16,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from pointloom.llm.common import materialize, stable, text_or_empty
+from pointloom.llm.common import discard, materialize, stable, text_or_empty
 
 BLOCK_CHARS = 4096
 SALTS = 32
@@ -72,7 +72,8 @@ def name_documents(docs: DataFrame, block_chars: int = BLOCK_CHARS, hot_share: i
         half = materialize(half.withColumn("_id", F.monotonically_increasing_id()), f"pairs-{level}")
         names = materialize(half.groupBy("_left", "_right").agg(F.min("_id").alias("_name")), f"pair-names-{level}")
         same = (half["_left"] == names["_left"]) & half["_right"].eqNullSafe(names["_right"])
-        rest = materialize(half.join(names, same).select("_row", "_chars", "_pos", "_name"), f"names-{level}")
+        last, rest = rest, materialize(half.join(names, same).select("_row", "_chars", "_pos", "_name"), f"names-{level}")
+        discard(last, half, names)  # nothing reads them any more
         width //= 2
     if level:
         done = done.union(rest.select("_row", "_chars", "_name"))

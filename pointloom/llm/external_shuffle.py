@@ -6,8 +6,8 @@ number of records in earlier buckets plus its place in its own; shards are equal
 their row counts are at most one apart.
 
 Scale: one task holds one bucket, whose size doesn't grow with the data. The number of buckets does;
-their counts are one small row each. Hashes take the id and the text, so rows without an id spread too,
-and copies of a text under different ids do not meet. Only rows equal in both share a bucket.
+their counts are one small row each. Hashes take the id and the whole row, so rows without an id spread too,
+and copies of a text under different ids do not meet. Only rows that are the same share a bucket by force.
 """
 
 from __future__ import annotations
@@ -18,9 +18,11 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from pointloom.llm.common import materialize, text_or_empty
+from pointloom.llm.common import materialize, stable, text_or_empty
 
 BUCKET_BYTES = 32 << 20
+#: Tasks of the second pass at most; beyond, a task takes buckets one after the other.
+MAX_TASKS = 100_000
 #: Bucket offsets are broadcast up to so many rows, and joined by shuffle beyond.
 BROADCAST_BUCKETS = 100_000
 
@@ -42,19 +44,22 @@ def external_shuffle(docs: DataFrame, path: str, shards: int = 8, seed: int = 29
     """Write all rows and columns of ``docs`` under ``path``, one folder per shard, and return them as read back.
 
     Adds ``bucket``, ``shard`` and ``slot`` (the place within the shard, gapless from 0); such columns
-    of ``docs`` are replaced. Rows with null ids or texts are kept. Empty input writes an empty table.
+    of ``docs`` are replaced. Rows with null ids or texts are kept. Rows of one id go by a hash of all their
+    columns (maps apart), so reruns agree up to rows that are the same. Empty input writes an empty table.
     """
-    docs = docs.drop("bucket", "shard", "slot", "_bucket", "_place", "_tie")
+    docs = stable(docs.drop("bucket", "shard", "slot", "_bucket", "_place", "_tie"))
     size = F.octet_length(text_or_empty(text_col)) + 1
     total = docs.agg(F.sum(size), F.count("*")).first()
     buckets, rows = max(1, -(-(total[0] or 0) // bucket_bytes)), total[1]
-    tie = F.xxhash64(F.col(text_col))
+    tie = F.xxhash64(*(F.col(c) for c, kind in docs.dtypes if "map<" not in kind and "variant" not in kind))
     marked = docs.withColumn("_tie", tie).withColumn("_bucket", F.pmod(F.xxhash64(F.lit(seed), F.col(id_col), "_tie"), F.lit(buckets)))
     counts = marked.groupBy("_bucket").agg(F.count("*").alias("_n"))
     before = Window.orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)  # one row per bucket
     starts = materialize(counts.select("_bucket", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_start")), "bucket-starts")
     schema = T.StructType([*marked.schema.fields, T.StructField("_place", T.LongType())])
-    mixed = marked.groupBy("_bucket").applyInArrow(_permute(seed, (id_col, "_tie")), schema)
+    # As many partitions as buckets, else tasks would take more of them as the data grows.
+    dealt = marked.repartition(min(buckets, MAX_TASKS), "_bucket")
+    mixed = dealt.groupBy("_bucket").applyInArrow(_permute(seed, (id_col, "_tie")), schema)
     starts = F.broadcast(starts) if buckets <= BROADCAST_BUCKETS else starts
     at = F.col("_start") + F.col("_place")
     placed = mixed.join(starts, "_bucket").withColumn("_at", at).withColumn("shard", F.expr(f"CAST(_at * {shards} DIV {max(rows, 1)} AS INT)"))

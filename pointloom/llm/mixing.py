@@ -3,11 +3,12 @@
 Every document of a source has the same expected number of copies, target / source size. Along an
 order of the source's documents the expected copies are prefix-summed, one random offset is added, and
 a document is emitted once for each integer boundary that its interval crosses: the floor or the ceiling
-of what is expected, and never more in total than one boundary off.
+of what is expected, and never more in total than one boundary off. The order is by class of size and
+within a class by a seeded hash, so that any stretch of it holds like sizes and the words taken come near
+the target whatever the offset.
 
-Scale: the order is a seeded hash order through buckets of a bounded number of documents, so no source
-is ever sorted in one task; the prefix over a source adds up bucket counts. Several offsets are drawn
-from the seed, and the source uses the one whose total of words comes nearest its target.
+Scale: a class of size is dealt over buckets of a bounded number of documents, so no source is ever
+sorted in one task; the prefix over a source adds up bucket counts.
 """
 
 from __future__ import annotations
@@ -18,7 +19,8 @@ from pyspark.sql import functions as F
 from pointloom.llm.common import materialize, stable, text_or_empty, word_count
 
 BUCKET_ROWS = 2_000
-OFFSETS = 32
+#: Classes of size to each doubling; a long size has 63 doublings, so there are at most 64 times as many.
+CLASSES = 4
 WEIGHTS = (1, 2, 3)
 MAX_COPIES = 3
 
@@ -50,36 +52,34 @@ def systematic_mix(docs: DataFrame, seed: int = 17, id_col: str = "doc_id", sour
 
     ``size`` is the number of words unless given; null text has none. Null sources form one source.
     Sources of size 0 have target 0 and no copies. Equal rows are told apart by their place in the
-    input; reruns over the same table agree. Columns with the added names are replaced.
+    input; reruns over the same table agree. Columns with the added names are replaced, one named ``_row``
+    too; empty input gives no rows.
     """
-    docs = docs.drop("size", "source_size", "target", "copies")
+    docs = docs.drop("size", "source_size", "target", "copies", "_row")
     rows = stable(docs).withColumn("_row", F.monotonically_increasing_id())
     size = word_count(text_or_empty()) if size is None else size
     slim = rows.select("_row", F.col(source_col).alias("source"), size.cast("long").alias("size"), F.xxhash64(F.lit(seed), F.col(id_col)).alias("_h"))
+    slim = slim.withColumn("_class", F.floor(F.log2(F.col("size") + 1) * CLASSES).cast("int"))
     slim = materialize(slim, "mix-sizes")
-    sizes = slim.groupBy("source").agg(F.sum("size").alias("source_size"), F.count("*").alias("_docs"))
-    targets = materialize(source_targets(sizes.drop("_docs")), "mix-targets")
-    buckets = max(1, -(-slim.count() // bucket_rows))
-    slim = slim.withColumn("_bucket", F.pmod(F.xxhash64("_h", "_row"), F.lit(buckets)))
-    counts = slim.groupBy("source", "_bucket").agg(F.count("*").alias("_n"))
-    before = Window.partitionBy("source").orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
-    start = counts.withColumn("_start", F.coalesce(F.sum("_n").over(before), F.lit(0))).drop("_n")
+    sizes = slim.groupBy("source").agg(F.sum("size").alias("source_size"))
+    targets = materialize(source_targets(sizes), "mix-targets").alias("t")
+    counts = {r[0]: r[1] for r in slim.groupBy("_class").count().collect()}  # 64 * CLASSES rows at most
+    buckets = F.array(*(F.lit(-(-counts.get(i, 0) // bucket_rows)) for i in range(max(counts, default=0) + 1)))
+    slim = slim.withColumn("_bucket", F.pmod(F.xxhash64("_h", "_row"), F.get(buckets, F.col("_class"))))
+    counts = slim.groupBy("source", "_class", "_bucket").agg(F.count("*").alias("_n"))
+    before = Window.partitionBy("source").orderBy("_class", "_bucket").rowsBetween(Window.unboundedPreceding, -1)
+    start = counts.withColumn("_start", F.coalesce(F.sum("_n").over(before), F.lit(0))).drop("_n").alias("s")
     same = lambda a, b, *keys: [a["source"].eqNullSafe(b["source"]), *(a[k] == b[k] for k in keys)]
-    place = F.row_number().over(Window.partitionBy("source", "_bucket").orderBy("_h", "_row"))
+    place = F.row_number().over(Window.partitionBy("source", "_class", "_bucket").orderBy("_h", "_row"))
     ranked = slim.withColumn("_place", place)
-    start, targets = start.alias("s"), targets.alias("t")
-    ranked = ranked.join(start, same(ranked, start, "_bucket"), "left").select(ranked["*"], start["_start"]) if buckets > 1 else ranked.withColumn("_start", F.lit(0))
+    ranked = ranked.join(start, same(ranked, start, "_class", "_bucket")).select(ranked["*"], start["_start"])
     ranked = ranked.join(targets, same(ranked, targets)).select(ranked["*"], targets["source_size"], targets["target"])
-    ranked = ranked.withColumn("_each", F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(F.lit(0.0)))
-    # Copies for an offset: integer boundaries between the prefix sums before and after the document.
+    each = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(F.lit(0.0))
+    # Copies: integer boundaries between the prefix sums before and after the document, moved by the offset.
     end = F.col("_start") + F.col("_place")
-    copies = lambda u: (F.floor(end * F.col("_each") + u) - F.floor((end - 1) * F.col("_each") + u)).cast("long")
-    offset = lambda i: F.pmod(F.xxhash64(F.lit(seed), F.lit(i), F.coalesce("source", F.lit("\0"))), F.lit(1 << 20)) / float(1 << 20)
-    ranked = materialize(ranked, "mix-ranked")
-    tried = ranked.groupBy("source").agg(F.first("target").alias("target"), *(F.sum(copies(offset(i)) * F.col("size")).alias(f"_t{i}") for i in range(OFFSETS)))
-    best = F.array_min(F.array(*(F.struct(F.abs(F.col(f"_t{i}") - F.col("target")).alias("off"), F.lit(i).alias("i"), offset(i).alias("u")) for i in range(OFFSETS))))
-    chosen = materialize(tried.select("source", best["u"].alias("_u")), "mix-offsets").alias("c")
-    taken = ranked.join(chosen, same(ranked, chosen)).select("_row", "size", "source_size", "target", copies(F.col("_u")).alias("copies"))
+    offset = F.pmod(F.xxhash64(F.lit(seed), F.lit("offset"), "source"), F.lit(1 << 20)) / float(1 << 20)
+    copies = (F.floor(end * F.col("_each") + F.col("_u")) - F.floor((end - 1) * F.col("_each") + F.col("_u"))).cast("long")
+    taken = ranked.withColumn("_each", each).withColumn("_u", offset).select("_row", "size", "source_size", "target", copies.alias("copies"))
     return rows.join(materialize(taken, "mix-copies"), "_row").drop("_row")
 
 

@@ -7,28 +7,32 @@ each bin is downsized to the shortest permitted length that holds its contents.
 
 The permitted lengths are chosen jointly: each group is packed once for every choice of the lengths
 that bins may open with (each non-empty subset: 15 for four lengths), and the cheapest result after
-downsizing is taken.
+downsizing is taken. As each group takes its own best choice, all together cost no more than under any
+one choice for all.
 
-Scale: only ids and lengths move. Pieces are dealt by a hash of id and offset into groups of about
-``GROUP_PIECES``, which are packed independently, so that a group is one bounded task and what is lost at
-its edges is a bin or so. The number of groups follows the number of pieces.
+Scale: texts cross the network once, as pieces. Pieces are dealt by a hash of row and offset into groups of
+about ``GROUP_PIECES`` or ``GROUP_BYTES``, which are packed independently, so that a group is one bounded
+task and what is lost at its edges is a bin or so. The number of groups follows the data.
 """
 
 from __future__ import annotations
 
+import re
 from bisect import bisect_left, insort
-from collections.abc import Iterator
 from itertools import combinations
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from pointloom.llm.common import materialize, stable, text_or_empty, word_count
+from pointloom.llm.common import WORD, stable, text_or_empty
 
 LENGTHS = (512, 1024, 2048, 4096)
 GROUP_PIECES = 20_000
+GROUP_BYTES = 32 << 20
+#: Tasks at most; beyond, a task takes groups one after the other.
+MAX_TASKS = 100_000
 #: Cost of a sequence of n tokens: n for the linear layers, and n * n / QUADRATIC for attention.
 QUADRATIC = 16_384
 
@@ -86,60 +90,69 @@ def pack_group(sizes: np.ndarray, permitted: tuple[int, ...] = LENGTHS) -> tuple
     return order, where, final
 
 
-def pack(docs: DataFrame, permitted: tuple[int, ...] = LENGTHS, id_col: str = "doc_id", size: Column | None = None, group_pieces: int = GROUP_PIECES) -> DataFrame:
-    """One row per bin: ``bin_id``, ``capacity``, ``used``, ``doc_ids``, ``starts``, ``sizes``.
+def _cut(top: int):
+    """Each row's words as pieces of at most ``top``, in one pass over its text."""
+    word = re.compile(WORD)
 
-    The three arrays describe the pieces in the bin: the document, the piece's first token in it, its
-    tokens. ``size`` is the number of words unless given. Documents without tokens (null or empty texts)
-    are in no bin. Repeated rows are packed as often as they occur; null ids are kept. Equal sizes go by
-    id, then start. Empty input gives no rows; other columns are not needed.
-    """
-    permitted = tuple(sorted(set(permitted)))
-    top = permitted[-1]
-    size = word_count(text_or_empty()) if size is None else size
-    sized = materialize(stable(docs).select(F.col(id_col).alias("doc_id"), size.cast("long").alias("n"), F.monotonically_increasing_id().alias("row")), "sizes")
-    starts = F.explode(F.expr(f"sequence(0L, n - 1, {top}L)"))
-    pieces = sized.where("n > 0").select("doc_id", "row", "n", starts.alias("start"))
-    pieces = pieces.select("doc_id", "row", "start", F.least(F.col("n") - F.col("start"), F.lit(top)).alias("size"))
-    total = sized.where("n > 0").agg(F.sum(F.ceil(F.col("n") / top))).first()[0] or 0
-    groups = max(1, -(-int(total) // group_pieces))
-    dealt = pieces.withColumn("group", F.pmod(F.xxhash64("doc_id", "row", "start"), F.lit(groups)))
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["size", "doc_id", "start", "row"], ascending=[False, True, True, True], na_position="last").reset_index(drop=True)
-        order, where, final = pack_group(pdf["size"].to_numpy(np.int64), permitted)
-        pdf = pdf.iloc[order].assign(bin=where)
-        rows: Iterator = pdf.groupby("bin", sort=True)
-        group = int(pdf["group"].iloc[0])
-        return pd.DataFrame(
-            [
-                {
-                    "bin_id": group * 2**32 + int(b),
-                    "capacity": final[b],
-                    "used": int(x["size"].sum()),
-                    "doc_ids": [None if pd.isna(v) else v for v in x["doc_id"].tolist()],
-                    "starts": x["start"].tolist(),
-                    "sizes": x["size"].tolist(),
-                }
-                for b, x in rows
-            ]
-        )
+    def run(batches):
+        for batch in batches:
+            of, starts, sizes, texts = [], [], [], []
+            for i, text in enumerate(batch.column("text").to_pylist()):
+                words = word.findall(text or "")
+                for at in range(0, len(words), top):
+                    piece = words[at : at + top]
+                    of.append(i)
+                    starts.append(at)
+                    sizes.append(len(piece))
+                    texts.append(" ".join(piece))
+            of = pa.array(of, pa.int64())
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id").take(of), batch.column("row").take(of), pa.array(starts, pa.int64()), pa.array(sizes, pa.int64()), pa.array(texts, pa.string())], ["doc_id", "row", "start", "size", "text"])
+
+    return run
 
-    kind = dict(docs.dtypes)[id_col]
-    schema = f"bin_id bigint, capacity int, used bigint, doc_ids array<{kind}>, starts array<bigint>, sizes array<bigint>"
-    return dealt.groupBy("group").applyInPandas(run, schema)
 
+def _lists(offsets: np.ndarray, values: pa.ChunkedArray) -> pa.ListArray:
+    return pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), values.combine_chunks())
 
-def pack_texts(docs: DataFrame, bins: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The packed sequences themselves: each bin with ``words``, the words of its pieces in order.
 
-    Ids must be unique in ``docs``. Words are found where the texts lie; a bin's words are gathered by it.
+def pack(docs: DataFrame, permitted: tuple[int, ...] = LENGTHS, id_col: str = "doc_id", text_col: str = "text", size: Column | None = None, group_pieces: int = GROUP_PIECES, group_bytes: int = GROUP_BYTES) -> DataFrame:
+    """One row per bin: ``bin_id``, ``capacity``, ``used``, ``doc_ids``, ``starts``, ``sizes``, ``texts``.
+
+    The four arrays describe the pieces in the bin: the document, the piece's first token in it, its
+    tokens, and its words joined by single blanks. Tokens are words unless ``size``, their number, is given;
+    then ``texts`` are null. Documents without tokens (null or empty texts) are in no bin. Repeated rows
+    are packed as often as they occur; null ids are kept. Equal sizes go by id, then start, then the row's
+    place. Empty input gives no rows; other columns are not needed, whatever their names.
     """
-    from pointloom.llm.common import BLANKS
-
-    parts = bins.select("bin_id", "capacity", "used", F.posexplode(F.arrays_zip("doc_ids", "starts", "sizes")).alias("place", "piece"))
-    parts = parts.select("bin_id", "capacity", "used", "place", F.col("piece.doc_ids").alias("id"), F.col("piece.starts").alias("start"), F.col("piece.sizes").alias("n"))
-    words = docs.select(F.col(id_col).alias("id"), F.array_remove(F.split(text_or_empty(text_col), BLANKS), "").alias("all"))
-    cut = parts.join(words, "id").withColumn("cut", F.slice("all", (F.col("start") + 1).cast("int"), F.col("n").cast("int")))
-    ordered = F.array_sort(F.collect_list(F.struct("place", "cut")))  # a bin holds its capacity at most
-    return cut.groupBy("bin_id", "capacity", "used").agg(F.flatten(F.transform(ordered, lambda p: p["cut"])).alias("words"))
+    permitted = tuple(sorted(set(permitted)))
+    top = permitted[-1]
+    rows = stable(docs)
+    kind = dict(docs.dtypes)[id_col]
+    row = F.monotonically_increasing_id().alias("row")
+    if size is None:
+        text = text_or_empty(text_col)
+        whole = rows.select(F.col(id_col).alias("doc_id"), row, text.alias("text"))
+        pieces = whole.mapInArrow(_cut(top), f"doc_id {kind}, row bigint, start bigint, size bigint, text string")
+        # A piece has a whole document or the words of some bytes, so both bound a group's pieces.
+        total = rows.agg(F.count("*"), F.sum(F.octet_length(text))).first()
+    else:
+        sized = rows.select(F.col(id_col).alias("doc_id"), row, size.cast("long").alias("n")).where("n > 0")
+        pieces = sized.withColumn("start", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n") - 1, F.lit(top).cast("long"))))
+        pieces = pieces.select("doc_id", "row", "start", F.least(F.col("n") - F.col("start"), F.lit(top)).alias("size"), F.lit(None).cast("string").alias("text"))
+        total = sized.agg(F.sum(F.ceil(F.col("n") / top)), F.lit(0)).first()
+    groups = max(1, -(-int(total[0] or 0) // group_pieces), -(-int(total[1] or 0) // group_bytes))
+    dealt = pieces.withColumn("group", F.pmod(F.xxhash64("row", "start"), F.lit(groups)).cast("int"))
+
+    def run(table: pa.Table) -> pa.Table:
+        table = table.sort_by([("size", "descending"), ("doc_id", "ascending"), ("start", "ascending"), ("row", "ascending")])
+        order, where, final = pack_group(table.column("size").to_numpy(), permitted)
+        table, where = table.take(pa.array(order[np.argsort(where, kind="stable")])), np.sort(where)
+        offsets = np.concatenate(([0], np.cumsum(np.bincount(where, minlength=len(final)))))
+        used = np.add.reduceat(table.column("size").to_numpy(), offsets[:-1])
+        ids = table.column("group")[0].as_py() * 2**32 + np.arange(len(final))
+        lists = [_lists(offsets, table.column(c)) for c in ("doc_id", "start", "size", "text")]
+        return pa.table([pa.array(ids, pa.int64()), pa.array(final, pa.int32()), pa.array(used, pa.int64()), *lists], ["bin_id", "capacity", "used", "doc_ids", "starts", "sizes", "texts"])
+
+    schema = f"bin_id bigint, capacity int, used bigint, doc_ids array<{kind}>, starts array<bigint>, sizes array<bigint>, texts array<string>"
+    # As many partitions as groups, else small ones would be put together in few tasks.
+    return dealt.repartition(min(groups, MAX_TASKS), "group").groupBy("group").applyInArrow(run, schema)

@@ -3,10 +3,11 @@
 The longest common prefix of turns of the chosen and the rejected conversation is rendered once as the
 prompt; what follows in each is a completion, of which only assistant content carries loss. A rendered
 turn is one row with the span of its characters that is trained on, so conversations of any length
-stay spread over rows; concatenated by ``place`` the rows of a part give its text.
+stay spread over rows; concatenated by ``turn`` and ``rank`` the rows of a part give its text.
 
 Scale: turns of both sides meet in one aggregation by (pair, turn), the first difference in another;
-both combine before the shuffle and no conversation is gathered in one row.
+both combine before the shuffle and no conversation is gathered in one row. Only turns that share a
+conversation and a number are ever sorted together.
 """
 
 from __future__ import annotations
@@ -18,8 +19,7 @@ from pointloom.llm.common import materialize
 
 HEAD, NEXT, END = "<|", "|>\n", "<|end|>\n"
 TRAINED_ROLE = "assistant"
-#: Places that each turn number has.
-PLACES = 65_536
+SIDES = ("chosen", "rejected")
 
 
 def pairs_by_id(turns: DataFrame, id_col: str = "conv_id") -> DataFrame:
@@ -30,45 +30,52 @@ def pairs_by_id(turns: DataFrame, id_col: str = "conv_id") -> DataFrame:
 
 
 def format_preferences(turns: DataFrame, pairs: DataFrame, id_col: str = "conv_id") -> DataFrame:
-    """Rows ``pair_id, part, place, role, rendered, train_from, train_to``.
+    """Rows ``pair_id, part, turn, rank, role, rendered, train_from, train_to, paired``.
 
     ``pairs`` has ``pair_id``, ``side`` ('chosen' or 'rejected') and ``conv_id``. Turns are compared by
-    number, role and text; null roles and texts count as empty, null numbers come first. Rows that repeat
-    a turn exactly count once; different ones of one number go by role, then text. ``place`` numbers
-    the turns by their number, then that order, as ``turn * 2**16 + rank``; where a number has more than 2**16
-    turns in either conversation, later places of the pair move on by what is above that, so that no two turns
-    share a place. ``train_from`` and ``train_to`` bound the trained characters of ``rendered`` (both 0 where
-    nothing is). Empty input gives no rows.
+    number, role and text; null roles and texts count as empty, null numbers (-1) come first. Rows that
+    repeat a turn of a side exactly count once; different ones of one number go by role, then text, which
+    ``rank`` counts from 0. Several conversations on one side of a pair make one, of all their turns.
+    ``train_from`` and ``train_to`` bound the trained characters of ``rendered`` (both 0 where nothing is).
+
+    A pair has both completions always: a side with no turn after the prompt has one empty row, its turn,
+    rank and role null. That holds for equal conversations and for a side without conversation, where
+    ``paired`` is false and the other side is a completion as a whole. Empty input gives no rows.
     """
-    t = turns.select(F.col(id_col).alias("conv_id"), F.coalesce(F.col("turn").cast("long"), F.lit(-1)).alias("turn"), F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text")).distinct()
-    rank = F.row_number().over(Window.partitionBy("conv_id", "turn").orderBy("role", "text")) - 1
-    t = t.withColumn("at", F.struct("turn", rank.cast("long").alias("rank")))
-    sided = t.join(pairs, "conv_id").select("pair_id", "side", "at", F.struct("role", "text").alias("said"))
+    t = turns.select(F.col(id_col).alias("conv_id"), F.coalesce(F.col("turn").cast("long"), F.lit(-1)).alias("turn"), F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text"))
+    sided = t.join(pairs.select("pair_id", "side", "conv_id"), "conv_id").select("pair_id", "side", "turn", "role", "text").distinct()
+    rank = F.row_number().over(Window.partitionBy("pair_id", "side", "turn").orderBy("role", "text")) - 1
+    sided = sided.withColumn("at", F.struct("turn", rank.cast("long").alias("rank"))).withColumn("said", F.struct("role", "text"))
     of = lambda side: F.min(F.when(F.col("side") == side, F.col("said"))).alias(side)
-    both = materialize(sided.groupBy("pair_id", "at").agg(of("chosen"), of("rejected")), "preference-turns")
+    both = materialize(sided.groupBy("pair_id", "at").agg(*map(of, SIDES)), "preference-turns")
     differs = ~F.coalesce(F.col("chosen") == F.col("rejected"), F.lit(False))
-    first = materialize(both.where(differs).groupBy("pair_id").agg(F.min("at").alias("first")), "first-difference")
-    # Numbers with more turns than their places hold, with the excess; a row for 2**16 turns at most.
-    above = both.where(F.col("at.rank") >= PLACES).groupBy("pair_id", F.col("at.turn").alias("turn")).agg((F.max("at.rank") - (PLACES - 1)).alias("n"))
-    above = materialize(above.groupBy("pair_id").agg(F.collect_list(F.struct("turn", "n")).alias("above")), "crowded-turns")
-    before = F.filter("above", lambda o: o["turn"] < F.col("at.turn"))
-    moved = F.coalesce(F.aggregate(before, F.lit(0).cast("long"), lambda s, o: s + o["n"]), F.lit(0))
-    marked = both.join(first, "pair_id", "left").withColumn("shared", F.col("first").isNull() | (F.col("at") < F.col("first")))
-    marked = marked.join(above, "pair_id", "left").withColumn("place", F.col("at.turn") * PLACES + F.col("at.rank") + moved)
+    first = F.min(F.when(differs, F.col("at"))).alias("first")
+    # Per pair: the first difference, and of each side whether it has turns and whether some follow the prompt.
+    has = [F.max(F.col(s).isNotNull()).alias(f"has_{s}") for s in SIDES]
+    last = [F.max(F.when(F.col(s).isNotNull(), F.col("at"))).alias(f"last_{s}") for s in SIDES]
+    each = materialize(both.groupBy("pair_id").agg(first, *has, *last), "preference-pairs")
+    paired = (F.col("has_chosen") & F.col("has_rejected")).alias("paired")
     part = lambda name, side: F.struct(F.lit(name).alias("part"), F.col(f"{side}.role").alias("role"), F.col(f"{side}.text").alias("text"))
-    parts = F.when(F.col("shared"), F.array(part("prompt", "chosen"))).otherwise(
-        F.filter(F.array(F.when(F.col("chosen").isNotNull(), part("chosen", "chosen")), F.when(F.col("rejected").isNotNull(), part("rejected", "rejected"))), lambda p: p.isNotNull())
-    )
-    rows = marked.select("pair_id", "place", F.explode(parts).alias("p")).select("pair_id", "place", "p.*")
+    own = lambda side: F.when(F.col(side).isNotNull(), part(side, side))
+    shared = F.col("first").isNull() | (F.col("at") < F.col("first"))
+    parts = F.when(shared, F.array(part("prompt", "chosen"))).otherwise(F.filter(F.array(*map(own, SIDES)), lambda p: p.isNotNull()))
+    rows = both.join(each, "pair_id").select("pair_id", "at.*", paired, F.explode(parts).alias("p")).select("pair_id", "turn", "rank", "paired", "p.*")
     head = F.concat(F.lit(HEAD), "role", F.lit(NEXT))
     trained = (F.col("part") != "prompt") & (F.col("role") == TRAINED_ROLE)
     rendered = F.concat(head, "text", F.lit(END))
-    return rows.select(
+    full = rows.select(
         "pair_id",
         "part",
-        "place",
+        "turn",
+        "rank",
         "role",
         rendered.alias("rendered"),
         F.when(trained, F.length(head)).otherwise(0).cast("long").alias("train_from"),
         F.when(trained, F.length(rendered)).otherwise(0).cast("long").alias("train_to"),
+        "paired",
     )
+    nothing = lambda side: F.when(~F.coalesce(F.col(f"last_{side}") >= F.col("first"), F.lit(False)), F.lit(side))
+    empty = each.select("pair_id", paired, F.explode(F.filter(F.array(*map(nothing, SIDES)), lambda p: p.isNotNull())).alias("part"))
+    null, zero = F.lit(None), F.lit(0).cast("long")
+    empty = empty.select("pair_id", "part", null.cast("long").alias("turn"), null.cast("long").alias("rank"), null.cast("string").alias("role"), F.lit("").alias("rendered"), zero.alias("train_from"), zero.alias("train_to"), "paired")
+    return full.union(empty)

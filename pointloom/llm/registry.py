@@ -37,9 +37,9 @@ FROM documents WINDOW g AS (PARTITION BY coalesce(text, ''))
 def op4_systematic_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from pointloom.llm.mixing import systematic_mix
 
-    docs = read_table(spark, sf_dir, "documents").select("doc_id", "source", "text")
     from pointloom.llm.common import word_count
 
+    docs = read_table(spark, sf_dir, "documents")
     slim = docs.select("doc_id", "source", word_count(text_or_empty()).alias("words"))
     mixed = systematic_mix(slim, size=F.col("words"))
     return mixed.select("doc_id", "size", "source_size", "target", (F.col("copies") * F.col("size")).alias("taken"))
@@ -98,30 +98,35 @@ def op3_preference_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 OP3_SQL = """
 WITH t AS (
-  SELECT conv_id, turn * 65536 + row_number() OVER (PARTITION BY conv_id, turn ORDER BY role, text) - 1 AS place, role, text
-  FROM (SELECT DISTINCT conv_id, coalesce(turn, -1) AS turn, coalesce(role, '') AS role, coalesce(text, '') AS text
+  SELECT *, row_number() OVER (PARTITION BY pair_id, side, turn ORDER BY role, text) - 1 AS rank
+  FROM (SELECT DISTINCT conv_id // 2 AS pair_id, CASE WHEN conv_id % 2 = 0 THEN 'chosen' ELSE 'rejected' END AS side,
+               coalesce(turn, -1) AS turn, coalesce(role, '') AS role, coalesce(text, '') AS text
         FROM conversations WHERE conv_id IS NOT NULL)),
 both_sides AS (
-  SELECT coalesce(c.conv_id // 2, r.conv_id // 2) AS pair_id, coalesce(c.place, r.place) AS place,
-         c.role AS c_role, c.text AS c_text, r.role AS r_role, r.text AS r_text,
-         c.conv_id IS NOT NULL AS has_c, r.conv_id IS NOT NULL AS has_r
-  FROM (SELECT * FROM t WHERE conv_id % 2 = 0) c
-  FULL JOIN (SELECT * FROM t WHERE conv_id % 2 = 1) r ON r.conv_id = c.conv_id + 1 AND r.place = c.place),
+  SELECT coalesce(c.pair_id, r.pair_id) AS pair_id, coalesce(c.turn, r.turn) AS turn, coalesce(c.rank, r.rank) AS rank,
+         c.role AS c_role, c.text AS c_text, r.role AS r_role, r.text AS r_text, c.pair_id IS NOT NULL AS has_c, r.pair_id IS NOT NULL AS has_r
+  FROM (SELECT * FROM t WHERE side = 'chosen') c
+  FULL JOIN (SELECT * FROM t WHERE side = 'rejected') r ON r.pair_id = c.pair_id AND r.turn = c.turn AND r.rank = c.rank),
 marked AS (
-  SELECT *, min(CASE WHEN coalesce(c_role = r_role AND c_text = r_text, false) THEN NULL ELSE place END)
-              OVER (PARTITION BY pair_id) AS first_place
-  FROM both_sides),
+  SELECT *, bool_or(has_c) OVER p AND bool_or(has_r) OVER p AS paired,
+         count(*) FILTER (WHERE NOT coalesce(c_role = r_role AND c_text = r_text, false))
+           OVER (PARTITION BY pair_id ORDER BY turn, rank) = 0 AS shared
+  FROM both_sides WINDOW p AS (PARTITION BY pair_id)),
 parts AS (
-  SELECT pair_id, 'prompt' AS part, place, c_role AS role, c_text AS text FROM marked WHERE first_place IS NULL OR place < first_place
-  UNION ALL SELECT pair_id, 'chosen', place, c_role, c_text FROM marked WHERE has_c AND place >= first_place
-  UNION ALL SELECT pair_id, 'rejected', place, r_role, r_text FROM marked WHERE has_r AND place >= first_place),
+  SELECT pair_id, 'prompt' AS part, turn, rank, c_role AS role, c_text AS text, paired FROM marked WHERE shared
+  UNION ALL SELECT pair_id, 'chosen', turn, rank, c_role, c_text, paired FROM marked WHERE has_c AND NOT shared
+  UNION ALL SELECT pair_id, 'rejected', turn, rank, r_role, r_text, paired FROM marked WHERE has_r AND NOT shared),
 rendered AS (
-  SELECT pair_id, part, place, role, '<|' || role || '|>' || chr(10) AS head,
-         '<|' || role || '|>' || chr(10) || text || '<|end|>' || chr(10) AS rendered FROM parts)
-SELECT pair_id, part, place, role, rendered,
+  SELECT pair_id, part, turn, rank, role, '<|' || role || '|>' || chr(10) AS head,
+         '<|' || role || '|>' || chr(10) || text || '<|end|>' || chr(10) AS rendered, paired FROM parts)
+SELECT pair_id, part, turn, rank, role, rendered,
        CAST(CASE WHEN part <> 'prompt' AND role = 'assistant' THEN length(head) ELSE 0 END AS BIGINT) AS train_from,
-       CAST(CASE WHEN part <> 'prompt' AND role = 'assistant' THEN length(rendered) ELSE 0 END AS BIGINT) AS train_to
+       CAST(CASE WHEN part <> 'prompt' AND role = 'assistant' THEN length(rendered) ELSE 0 END AS BIGINT) AS train_to, paired
 FROM rendered
+UNION ALL
+SELECT pair_id, side, NULL, NULL, NULL, '', 0, 0, paired
+FROM (SELECT DISTINCT pair_id, paired FROM marked), (VALUES ('chosen'), ('rejected')) AS s(side)
+WHERE (pair_id, side) NOT IN (SELECT (pair_id, part) FROM parts)
 """
 
 

@@ -12,12 +12,13 @@ rows (``MAX_LABELLED``), of which only the numbers reach the driver.
 from __future__ import annotations
 
 from dataclasses import dataclass
+from zlib import crc32
 
 import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from pointloom.llm.common import BLANKS, WORD, let, text_or_empty
+from pointloom.llm.common import BLANKS, WORD, hashed_sample, let, text_or_empty
 
 #: Labelled rows that rules are learned from at most, taken in order of a hash of the id.
 MAX_LABELLED = 20_000
@@ -153,9 +154,14 @@ def learn_rules(x: dict[str, np.ndarray], bad: np.ndarray, max_rules: int = 16,
 
 
 def fit_rules(statistics: DataFrame, labels: DataFrame, id_col: str = "doc_id", label_col: str = "quality", max_labelled: int = MAX_LABELLED) -> list[Rule]:
-    """Rules from the statistics of labelled rows (label 0 is bad); rows with a null label are left out."""
-    known = labels.where(F.col(label_col).isNotNull()).select(id_col, F.col(label_col).alias("_label"))
-    rows = statistics.select(id_col, *FEATURES).join(known, id_col).orderBy(F.xxhash64(id_col), id_col).limit(max_labelled).collect()
+    """Rules from the statistics of labelled rows (label 0 is bad); rows with a null label are left out.
+
+    A document with several labels counts once, by the least of them.
+    """
+    known = labels.where(F.col(label_col).isNotNull() & F.col(id_col).isNotNull()).groupBy(id_col).agg(F.min(label_col).alias("_label"))
+    chosen = hashed_sample(known, max_labelled, id_col)
+    rows = statistics.select(id_col, *FEATURES).join(F.broadcast(chosen), id_col).collect()  # max_labelled ids at most
+    rows.sort(key=lambda r: (crc32(repr(r[id_col]).encode()), tuple(r)))
     x = {f: np.array([r[f] for r in rows], float) for f in FEATURES}
     return learn_rules(x, np.array([r["_label"] == 0 for r in rows], bool))
 

@@ -19,6 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from pointloom.llm.common import hashed_sample
 from pointloom.llm.words import word_hashes
 
 BUCKETS = 1 << 16
@@ -33,39 +34,39 @@ _REPEAT, _LENGTHS = BUCKETS, BUCKETS + 1  # extra tokens beside the hashed ones
 TOKENS = BUCKETS + 1 + 32
 
 
-def _gram_ids(codes: np.ndarray) -> list[np.ndarray]:
-    """Buckets of all character n-grams inside words; a blank may be the first or last character only."""
-    blank = ((codes >= 9) & (codes <= 13)) | (codes == 32)
-    codes = np.where(blank, np.uint32(32), codes)
-    out = []
-    for n in SIZES:
-        m = len(codes) - n + 1
-        if m <= 0:
-            continue
-        h, inside = np.full(m, n, np.uint32), np.ones(m, bool)
-        for j in range(n):
-            h = (h ^ codes[j : m + j]) * np.uint32(0x01000193)
-            if 0 < j < n - 1:
-                inside &= ~blank[j : m + j]
-        h ^= h >> np.uint32(15)
-        h *= np.uint32(0x2C1B3C6D)
-        out.append((h >> np.uint32(16))[inside])
-    return out
+def _gram_ids(codes: np.ndarray, n: int) -> np.ndarray:
+    """Buckets of the character n-grams that lie inside words; a blank may be the first or last character only."""
+    m = len(codes) - n + 1
+    if m <= 0:
+        return np.zeros(0, np.uint32)
+    blank = codes == 32
+    h, inside = np.full(m, n, np.uint32), np.ones(m, bool)
+    for j in range(n):
+        h = (h ^ codes[j : m + j]) * np.uint32(0x01000193)
+        if 0 < j < n - 1:
+            inside &= ~blank[j : m + j]
+    h ^= h >> np.uint32(15)
+    h *= np.uint32(0x2C1B3C6D)
+    return (h >> np.uint32(16))[inside]
 
 
 def token_ids(text: str | None) -> Iterator[np.ndarray]:
-    """The document's tokens, in pieces of bounded size; each text has at least its length token."""
+    """The document's tokens, in pieces of bounded size; each text has at least its length token.
+
+    Pieces overlap by what an n-gram needs, so that the tokens don't depend on where they are cut.
+    """
     text = text or ""
-    data = text.encode("utf-8", "surrogatepass")
-    words = word_hashes(data)
+    words = word_hashes(text.encode("utf-8", "surrogatepass"))
     yield np.array([_LENGTHS + min(31, len(words).bit_length())])
     if len(words):
         yield (words >> np.uint64(48)).astype(np.uint32)
         yield np.full(int((words[1:] == words[:-1]).sum()), _REPEAT, np.uint32)
-    over = max(SIZES) - 1
-    for at in range(0, len(text), _CHUNK):
-        piece = f" {text} " if len(text) <= _CHUNK else text[max(0, at - over) : at + _CHUNK]
-        yield from _gram_ids(np.frombuffer(piece.encode("utf-32-le", "surrogatepass"), np.uint32))
+    padded = f" {text} " if text else ""
+    for at in range(0, len(padded), _CHUNK):
+        codes = np.frombuffer(padded[at : at + _CHUNK + max(SIZES) - 1].encode("utf-32-le", "surrogatepass"), np.uint32)
+        codes = np.where(((codes >= 9) & (codes <= 13)), np.uint32(32), codes)
+        for n in SIZES:
+            yield _gram_ids(codes[: _CHUNK + n - 1], n)
 
 
 def _featurise(batches):
@@ -112,14 +113,17 @@ def train(rows: list[tuple[np.ndarray, np.ndarray, int]], epochs: int = EPOCHS,
 
 
 def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", max_train: int = MAX_TRAIN) -> np.ndarray:
-    """A model from the labelled rows of ``docs``; rows whose label is null or absent are not used."""
-    known = labels.where(F.col(label_col).isin(0, 1)).select(F.col(id_col).alias("id"), F.col(label_col).cast("int").alias("label"))
-    known = known.dropDuplicates(["id"]).orderBy(F.xxhash64("id"), "id").limit(max_train)
+    """A model from the labelled rows of ``docs``; rows whose label is null or absent are not used.
+
+    A document with both labels counts as class 0.
+    """
+    known = labels.where(F.col(label_col).isin(0, 1)).groupBy(F.col(id_col).alias("id")).agg(F.min(label_col).cast("int").alias("label"))
+    known = hashed_sample(known.where("id is not null"), max_train, "id")
     texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     chosen = texts.join(F.broadcast(known), "id").select("id", "text", "label")  # max_train ids at most
     schema = f"id {dict(docs.dtypes)[id_col]}, label int, index binary, weight binary"
     # Packed, since lists of Python numbers would take the driver twenty times the memory.
-    rows = chosen.mapInArrow(_featurise, schema).orderBy(F.xxhash64("id"), "id").collect()
+    rows = sorted(chosen.mapInArrow(_featurise, schema).collect())
     return train([(np.frombuffer(r["index"], np.int32), np.frombuffer(r["weight"], np.float32), r["label"]) for r in rows])
 
 
@@ -130,20 +134,23 @@ def score(docs: DataFrame, model: np.ndarray, text_col: str = "text") -> DataFra
     """
     docs = docs.drop("score", "predicted")
     gains, bias = model[:-1].astype(np.float32), float(model[-1])
+    own = "_text"
+    while own in docs.columns:
+        own += "_"
 
     def run(batches):
         for batch in batches:
             out = np.empty(len(batch))
-            for i, text in enumerate(batch.column("_text").to_pylist()):
+            for i, text in enumerate(batch.column(own).to_pylist()):
                 total, n = 0.0, 0
                 for t in token_ids(text):
                     total += float(gains[t].sum(dtype=np.float64))
                     n += len(t)
                 out[i] = 1 / (1 + np.exp(-np.clip(total / n + bias, -60, 60)))
-            kept = [c for c in batch.schema.names if c != "_text"]
+            kept = [c for c in batch.schema.names if c != own]
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in kept), pa.array(out)], [*kept, "score"])
 
-    marked = docs.withColumn("_text", F.col(text_col))
+    marked = docs.withColumn(own, F.col(text_col))
     schema = docs.schema.add("score", "double")
     out = marked.mapInArrow(run, schema)
     return out.withColumn("predicted", F.when(F.col("score") >= 0.5, 1).otherwise(0))

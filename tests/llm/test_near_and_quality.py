@@ -224,6 +224,8 @@ def test_more_personal_data_is_added_and_base_stays(spark):
     assert "phone_local:16:30" in got[0].s and "ssn:38:49" in got[0].s and "email:56:65" in got[0].s
     assert got[100].s == got[101].s == got[102].s == ""
     assert pii.find_personal_data(texts(spark, [])).count() == 0
+    odd = texts(spark, rows).withColumn("base", F.lit(1)).withColumn("id", F.lit(2)).withColumn("spans", F.lit(3))
+    assert {r.doc_id: r.s for r in pii.find_personal_data(odd).select("doc_id", pii.joined(F.col("spans")).alias("s")).collect()} == {i: r.s for i, r in got.items()}
     digest = registry.op1_weak_supervision_pii(spark, SF)
     want = {r.doc_id: hashlib.sha256(",".join(f"{k}:{a}:{b}" for k, a, b in _plain(r.text or "")).encode()).hexdigest() for r in spark.read.parquet(SF + "/documents.parquet").collect()}
     assert {r.doc_id: r.base_sha256 for r in digest.collect()} == want
@@ -233,9 +235,17 @@ def test_em_tells_reliable_labelers_apart():
     patterns = {"ssn|+0++|ss": 80, "ssn|+00-|ss": 5, "ssn|-0-0|ww": 60, "ssn|-0--|ww": 50, "ssn|+0-0|ww": 3}
     likely, right = pii.estimate_reliabilities(patterns)
     assert likely["ssn|+0++|ss"] > 0.9 and likely["ssn|-0--|ww"] < 0.1 and right[0] > 0.8
-    scores = pii.train_span_classifier(patterns, likely)
-    assert scores["ssn|+0++|ss"] > 0.7 > 0.4 > scores["ssn|-0--|ww"]
-    assert pii.estimate_reliabilities({})[0] == {} and pii.train_span_classifier({}, {}) == {}
+    assert pii.estimate_reliabilities({})[0] == {}
+
+
+def test_classifier_follows_likelihoods_by_its_own_features():
+    yes, no = [[1, 2, 3], [1, 2, 4]], [[5, 6, 3], [5, 6, 4]]
+    w = pii.train_span_classifier(yes * 20 + no * 20, [0.95] * 40 + [0.05] * 40)
+    p = pii.span_scores(w, [*yes, *no, [1, 2], [5, 6]])
+    assert all(p[[0, 1, 4]] > 0.8) and all(p[[2, 3, 5]] < 0.2)
+    f = [3, 9, 77]
+    assert np.isclose(pii.span_scores(w, [f])[0], 1 / (1 + np.exp(-(w[3] + w[9] + w[77] + w[pii.WIDTH]))))
+    assert not pii.train_span_classifier([], []).any() and len(pii.span_scores(w, [])) == 0
 
 
 # --- secrets
@@ -283,9 +293,54 @@ def test_several_lengths_cost_no_more_than_one():
 
 
 def test_packed_texts(spark):
-    d = texts(spark, [(1, "a b c d e"), (2, "f g")])
-    rows = packing.pack_texts(d, packing.pack(d, (4,))).collect()
-    assert sorted(w for r in rows for w in r.words) == list("abcdefg") and all(len(r.words) == r.used for r in rows)
+    long = " ".join(f"x{i}" for i in range(1_000_000))
+    rows = [(1, "a b\tc\x0b\n d  e ", 5), (2, "f g", 6), (2, "f g", 6), (3, None, 7), (4, long, 8)]
+    d = spark.createDataFrame(rows, "doc_id long, text string, row long").withColumn("size", F.lit("x")).withColumn("group", F.lit(1))
+    held = collections.defaultdict(list)
+    for r in packing.pack(d, (4, 512)).collect():
+        assert sum(r.sizes) == r.used and all(len(t.split(" ")) == n for t, n in zip(r.texts, r.sizes, strict=True))
+        for i, start, t in zip(r.doc_ids, r.starts, r.texts, strict=True):
+            held[i].append((start, t))
+    assert " ".join(t for _, t in sorted(held[4])) == long
+    assert held[1] == [(0, "a b c d e")] and held[2] == [(0, "f g")] * 2 and 3 not in held
+    bare = packing.pack(d, (4,), size=F.length("text")).collect()
+    assert sum(r.used for r in bare) == sum(len(t or "") for _, t, _ in rows) and all(t is None for r in bare for t in r.texts)
+
+
+def plain_best_fit(sizes, opened, permitted):
+    """Best fit by looking at every open bin for every piece."""
+    room, used, where = [], [], []
+    for k, n in enumerate(sizes):
+        fits = [(r, b) for b, r in enumerate(room) if r >= n]
+        if fits:
+            # Among bins of equal room the last to get it.
+            least = min(r for r, _ in fits)
+            b = max((b for r, b in fits if r == least), key=lambda b: stamp[b])
+        else:
+            rest = sizes[k + 1 :]
+            best = [c for c in opened if c >= n] or [min(c for c in permitted if c >= n)]
+            fill = lambda c: n + min(c - n, sum(x for x in rest if x <= c - n))  # noqa: E731, B023
+            c = min(best, key=lambda c: (packing.cost(c) / fill(c), c))
+            b = len(room)
+            room.append(c)
+            used.append(0)
+            stamp = stamp + [0] if b else [0]
+        room[b] -= n
+        used[b] += n
+        stamp[b] = k + 1
+        where.append(b)
+    final = [min(c for c in permitted if c >= u) for u in used]
+    return where, final
+
+
+def test_best_fit_is_brute_force():
+    for seed in range(30):
+        rng = np.random.default_rng(seed)
+        sizes = np.sort(rng.choice(np.arange(1, 65), 40, replace=False))[::-1].copy()
+        for opened in ((64,), (16, 64), (8, 16, 32, 64)):
+            where, final, total = packing.best_fit(sizes, opened, (8, 16, 32, 64))
+            want = plain_best_fit(sizes.tolist(), opened, (8, 16, 32, 64))
+            assert where.tolist() == want[0] and final == want[1] and total == sum(map(packing.cost, want[1]))
 
 
 # --- preferences
@@ -295,7 +350,7 @@ def test_prompt_is_the_longest_common_prefix(spark):
     turns = [(0, 0, "user", "q"), (0, 1, "assistant", "x"), (0, 2, "user", "r"), (0, 3, "assistant", "good"), (1, 0, "user", "q"), (1, 1, "assistant", "x"), (1, 2, "user", "r"), (1, 3, "assistant", "bad"), (1, 4, "user", None)]
     turns += [(2, 0, "user", "alone"), (4, 0, "user", "same"), (5, 0, "user", "same"), (5, 0, "user", "same"), (6, None, None, None), (7, 0, "user", "z")]
     df = spark.createDataFrame(turns, "conv_id long, turn long, role string, text string")
-    rows = preference.format_preferences(df, preference.pairs_by_id(df)).orderBy("pair_id", "part", "place").collect()
+    rows = preference.format_preferences(df, preference.pairs_by_id(df)).orderBy("pair_id", "part", "turn", "rank").collect()
     of = lambda pair, part: "".join(r.rendered for r in rows if r.pair_id == pair and r.part == part)
     assert of(0, "prompt") == "<|user|>\nq<|end|>\n<|assistant|>\nx<|end|>\n<|user|>\nr<|end|>\n"
     assert of(0, "chosen") == "<|assistant|>\ngood<|end|>\n" and of(0, "rejected") == "<|assistant|>\nbad<|end|>\n<|user|>\n<|end|>\n"
@@ -303,6 +358,9 @@ def test_prompt_is_the_longest_common_prefix(spark):
     assert trained == ["good<|end|>\n", "bad<|end|>\n"]
     assert of(1, "prompt") == "" and of(1, "chosen") and not of(1, "rejected")
     assert of(2, "prompt") and not of(2, "chosen") + of(2, "rejected")
+    sides = {(r.pair_id, r.part) for r in rows if r.part != "prompt"}
+    assert sides == {(p, s) for p in range(4) for s in ("chosen", "rejected")}
+    assert {(r.pair_id, r.paired) for r in rows} == {(0, True), (1, False), (2, True), (3, True)}
     assert preference.format_preferences(df.limit(0), preference.pairs_by_id(df.limit(0))).count() == 0
 
 
