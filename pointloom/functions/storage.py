@@ -6,12 +6,23 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+#: Rows of a few numbers that are broadcast at most; beyond, Spark chooses the join.
+BROADCAST_ROWS = 200_000
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """``spark.checkpoint.dir``; only where that is unset (a local session) a temporary folder."""
+    """The folder that driver and executors share: ``spark.checkpoint.dir``.
+
+    Only on a local master, as in tests, a temporary folder takes its place where it is unset; on a cluster
+    that is an error, since no machine would see another's files.
+    """
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        master = spark.sparkContext.master
+        if not master.startswith("local") or master.startswith("local-cluster"):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         found = "file://" + tempfile.mkdtemp(prefix="pointloom-")
         spark.conf.set("spark.checkpoint.dir", found)
     return found
@@ -30,3 +41,18 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     out = shared_path(df.sparkSession, name)
     df.write.parquet(out)
     return df.sparkSession.read.schema(df.schema).parquet(out)
+
+
+def discard(*dfs: DataFrame) -> None:
+    """Delete the files of these results of ``materialize``, which nothing reads any more."""
+    for df in dfs:
+        spark = df.sparkSession
+        for name in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
+            path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(name)
+            path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def broadcast_if_small(df: DataFrame, most: int = BROADCAST_ROWS) -> DataFrame:
+    """``df``, written down, with a broadcast hint if it is counted to have at most ``most`` rows."""
+    df = materialize(df, "small")
+    return F.broadcast(df) if df.count() <= most else df

@@ -1,7 +1,8 @@
 """Neighbour joins on a grid of cells: equi-joins, no nested loops.
 
 One side is copied to the 27 cells around its own, the other stays in its cell, so points within the
-cell width meet. What a join costs follows the points per cell: thin dense clouds by voxels first.
+cell width meet. What a join costs follows the points per cell: thin dense clouds by voxels first. A search
+without a radius chooses its cells by each group's density.
 """
 
 from __future__ import annotations
@@ -14,7 +15,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from pointloom.functions.geometry import doubles, xyz
-from pointloom.functions.storage import materialize
+from pointloom.functions.storage import broadcast_if_small, discard, materialize
 
 CELLS = ("cx", "cy", "cz")
 
@@ -23,19 +24,22 @@ def _around() -> Column:
     return F.explode(F.array(*(F.struct(*(F.lit(v).alias(c) for c, v in zip(CELLS, (i, j, k), strict=True))) for i in (-1, 0, 1) for j in (-1, 0, 1) for k in (-1, 0, 1))))
 
 
-def _cells(df: DataFrame, h: float, prefix: str = "") -> DataFrame:
+def _cells(df: DataFrame, h: float | Column, prefix: str = "") -> DataFrame:
     return df.withColumns({c: F.floor(p / h) for c, p in zip(CELLS, doubles(xyz(prefix)), strict=True)})
 
 
-def near_pairs(source: DataFrame, target: DataFrame, radius: float, key: Sequence[str], target_key: Sequence[str], by: Sequence[str] = (), extra: Sequence[str] = ()) -> DataFrame:
-    """Pairs within ``radius``: the source's key, ``t_``-named target key and coordinates, ``d2``."""
-    s = source.select(*by, *key, *(c.alias(f"s_{n}") for c, n in zip(doubles(xyz()), "xyz", strict=True)))
-    t = target.select(*by, *(F.col(k).alias(f"t_{k}") for k in target_key), *(c.alias(f"t_{n}") for c, n in zip(doubles(xyz()), "xyz", strict=True)), *(F.col(e).alias(f"t_{e}") for e in extra))
+def near_pairs(source: DataFrame, target: DataFrame, radius: float | Column, key: Sequence[str], target_key: Sequence[str], by: Sequence[str] = (), extra: Sequence[str] = (), own: Sequence[str] = ()) -> DataFrame:
+    """Pairs within ``radius``: the source's key, ``t_``-named target key and coordinates, ``d2``.
+
+    A radius that is a column is made of ``own``, columns that both sides have, the same within each group.
+    """
+    s = source.select(*by, *own, *key, *(c.alias(f"s_{n}") for c, n in zip(doubles(xyz()), "xyz", strict=True)))
+    t = target.select(*by, *own, *(F.col(k).alias(f"t_{k}") for k in target_key), *(c.alias(f"t_{n}") for c, n in zip(doubles(xyz()), "xyz", strict=True)), *(F.col(e).alias(f"t_{e}") for e in extra))
     spread = _cells(s, radius, "s_").withColumn("_o", _around())
     spread = spread.withColumns({c: F.col(c) + F.col(f"_o.{c}") for c in CELLS}).drop("_o")
-    met = spread.join(_cells(t, radius, "t_"), [*by, *CELLS]).drop(*CELLS)
+    met = spread.join(_cells(t, radius, "t_").drop(*own), [*by, *CELLS]).drop(*CELLS)
     d2 = sum((F.col(f"s_{n}") - F.col(f"t_{n}")) ** 2 for n in "xyz")
-    return met.withColumn("d2", d2).where(F.col("d2") <= radius * radius)
+    return met.withColumn("d2", d2).where(F.col("d2") <= radius * radius).drop(*own)
 
 
 def nearest_within(source: DataFrame, target: DataFrame, radius: float, key: Sequence[str], target_key: Sequence[str], by: Sequence[str] = (), extra: Sequence[str] = ()) -> DataFrame:
@@ -53,29 +57,53 @@ def knn_within(points: DataFrame, k: int, radius: float, key: Sequence[str], by:
     return pairs.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
 
 
-def knn(points: DataFrame, k: int, key: Sequence[str], start: float, by: Sequence[str] = (), growth: float = 2.0) -> DataFrame:
+#: Points that a cell should hold for a search of k neighbours, times k; widths tried, halves of the extent.
+CELL_SHARE, LEVELS = 0.25, 14
+
+
+def cell_widths(points: DataFrame, k: int, by: Sequence[str] = ()) -> DataFrame:
+    """One row per group: ``_want``, its points up to k, and ``_h``, a cell width that suits its density.
+
+    Of widths from the group's extent down by halves the largest is taken at which the cell of a point
+    holds about ``CELL_SHARE`` * k points on average, itself not counted. Counts combine before the shuffle.
+    """
+    c = dict(zip(CELLS, doubles(xyz()), strict=True))
+    sizes = points.groupBy(*by).agg(F.least(F.lit(k), F.count("*")).alias("_want"), *(F.min(v).alias(f"_lo_{n}") for n, v in c.items()), F.greatest(*(F.max(v) - F.min(v) for v in c.values())).alias("_extent"))
+    sizes = broadcast_if_small(sizes) if by else F.broadcast(materialize(sizes, "extents"))  # one row per group
+    df = points.join(sizes, list(by)) if by else points.crossJoin(sizes)
+    df = df.withColumn("_level", F.explode(F.sequence(F.lit(0), F.lit(LEVELS - 1)))).withColumn("_h", F.greatest(F.col("_extent"), F.lit(1e-9)) / F.pow(F.lit(2.0), F.col("_level")))
+    cells = [F.floor((v - F.col(f"_lo_{n}")) / F.col("_h")).alias(n) for n, v in c.items()]
+    counts = df.groupBy(*by, "_level", "_h", "_want", *cells).agg(F.count("*").alias("n"))
+    each = counts.groupBy(*by, "_level", "_h", "_want").agg((F.sum(F.col("n") * (F.col("n") - 1)) / F.sum("n")).alias("others"))
+    fits = F.when(F.col("others") <= k * CELL_SHARE, F.col("_h"))
+    return materialize(each.groupBy(*by).agg(F.coalesce(F.max(fits), F.min("_h")).alias("_h"), F.first("_want").alias("_want")), "cell-widths")
+
+
+def knn(points: DataFrame, k: int, key: Sequence[str], start: float | None = None, by: Sequence[str] = (), growth: float = 2.0) -> DataFrame:
     """Each point's ``k`` nearest without a radius: rings widen for the points that lack neighbours.
 
     A point is done once it has k neighbours within the ring's radius, which makes them its nearest.
     Each round sees only the points still open; in a group of at most ``k`` points all are neighbours.
-    Points without a group or without finite coordinates take no part.
+    The first radius is ``start``, or suits the density of each group. Points without a group or without
+    finite coordinates take no part.
     """
     finite = [F.abs(c) < float("inf") for c in doubles(xyz())]
-    points = points.where(reduce(and_, [*finite, *(F.col(b).isNotNull() for b in by)]))
+    points = points.where(reduce(and_, [*finite, *(F.col(b).isNotNull() for b in by)])).select(*by, *key, "x", "y", "z")
     # What a point can find is up to its own group: a small one must not end the search of the others.
-    want = materialize(points.groupBy(*by).agg(F.least(F.lit(k), F.count("*")).alias("_want")), "wanted")
-    radius, left, done = start, points, None
+    groups = cell_widths(points, k, by)
+    groups = groups.withColumn("_h", F.lit(float(start))) if start else groups
+    groups = broadcast_if_small(groups) if by else F.broadcast(groups)  # one row
+    points = materialize(points.join(groups, list(by)) if by else points.crossJoin(groups), "points")
+    scale, left, done = 1.0, points, None
     while True:
-        pairs = near_pairs(left, points, radius, key, key, by)
+        pairs = near_pairs(left, points, F.col("_h") * scale, key, key, [*by, "_want"], own=["_h"])
         w = Window.partitionBy(*by, *key).orderBy("d2", *(f"t_{c}" for c in key))
         ranked = pairs.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k).withColumn("_n", F.count("*").over(Window.partitionBy(*by, *key)))
-        ranked = materialize(ranked, "neighbours")
-        wanted = F.broadcast(want)  # one row per group
-        wanted = ranked.join(wanted, list(by)) if by else ranked.crossJoin(wanted)
-        full = wanted.where(F.col("_n") >= F.col("_want")).select(ranked.columns).drop("_n")
+        full = materialize(ranked.where(F.col("_n") >= F.col("_want")).drop("_n", "_want"), "neighbours")
         done = full if done is None else done.union(full)
-        left = left.join(full.select(*by, *key).distinct(), [*by, *key], "left_anti")
-        left = materialize(left, "open-points")
+        before, left = left, materialize(left.join(full.where("rank = 1").select(*by, *key), [*by, *key], "left_anti"), "open-points")
+        if scale > 1:
+            discard(before)
         if left.limit(1).count() == 0:
             return done
-        radius *= growth
+        scale *= growth

@@ -8,10 +8,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from pointloom.functions.geometry import compare_color, distance_ramp, doubles, height_ramp, norm, xyz
+from pointloom.functions.storage import broadcast_if_small, materialize
 from pointloom.operators.neighbors import knn
 
 
-def neighbor_distances(points: DataFrame, key: Sequence[str], k: int = 20, start: float = 0.1, by: Sequence[str] = ()) -> DataFrame:
+def neighbor_distances(points: DataFrame, key: Sequence[str], k: int = 20, start: float | None = None, by: Sequence[str] = ()) -> DataFrame:
     """Each point's mean distance to its k nearest, itself counted at distance 0."""
     near = knn(points, k, key, start, by)
     return near.groupBy(*by, *key).agg(F.avg(F.sqrt("d2")).alias("mean_distance"))
@@ -23,11 +24,11 @@ def outlier_stats(distances: DataFrame, ratio: float = 2.0, by: Sequence[str] =
     return out.withColumn("threshold", F.col("mean") + ratio * F.col("std"))
 
 
-def remove_outliers(points: DataFrame, key: Sequence[str], k: int = 20, ratio: float = 2.0, start: float = 0.1, by: Sequence[str] = ()) -> DataFrame:
+def remove_outliers(points: DataFrame, key: Sequence[str], k: int = 20, ratio: float = 2.0, start: float | None = None, by: Sequence[str] = ()) -> DataFrame:
     """Points whose mean distance is above 0 and below the limit, per cloud."""
-    d = neighbor_distances(points, key, k, start, by).persist()
-    limit = F.broadcast(outlier_stats(d, ratio, by))  # one row per cloud
-    kept = d.join(limit, list(by)) if by else d.crossJoin(limit)
+    d = materialize(neighbor_distances(points, key, k, start, by), "neighbour-distances")
+    limit = outlier_stats(d, ratio, by)
+    kept = d.join(broadcast_if_small(limit), list(by)) if by else d.crossJoin(F.broadcast(limit))  # one row
     kept = kept.where((F.col("mean_distance") > 0) & (F.col("mean_distance") < F.col("threshold"))).select(*by, *key)
     return points.join(kept, [*by, *key], "left_semi")
 
@@ -62,8 +63,13 @@ def color_by_cloud(points: DataFrame, cloud: str = "cloud") -> DataFrame:
 
 
 def sample_points(points: DataFrame, n: int, seed: int = 0) -> DataFrame:
-    """Exactly ``min(n, count)`` points without replacement."""
-    return points.orderBy(F.rand(seed)).limit(n)
+    """``n`` points without replacement, or all if there are fewer."""
+    count = points.count()
+    # A threshold first, so that no task sorts or sends more than its share of about n points.
+    share = n / max(count, 1) + 6 * (n**0.5 + 1) / max(count, 1)
+    marked = points.withColumn("_r", F.rand(seed))
+    few = marked.where(F.col("_r") < share) if share < 1 else marked
+    return few.orderBy("_r").limit(n).drop("_r")
 
 
 def bounds(points: DataFrame) -> DataFrame:

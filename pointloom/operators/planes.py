@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from pointloom.config import PlaneConfig
 from pointloom.functions.geometry import doubles, plane_type, xyz
+from pointloom.functions.storage import discard, materialize
 from pointloom.operators.voxel import voxel_centroid
 
 _ROWS, _DEALS = 2048, 100
@@ -43,14 +44,18 @@ def _planes_through(p: np.ndarray) -> np.ndarray:
     return np.hstack([n, -(n * p[:, 0]).sum(1, keepdims=True)])
 
 
-def _candidates(points: DataFrame, cfg: PlaneConfig, round_: int) -> np.ndarray:
+def _candidates(points: DataFrame, cfg: PlaneConfig, round_: int, count: int) -> np.ndarray:
     """``iterations`` planes through seeded random triples; 3 * iterations points come to the driver.
 
     Where the cloud has fewer, or some lie on a line, the points are dealt into triples again. There are
     fewer candidates only if so many deals of the points in a row give none.
     """
-    order = F.xxhash64(*doubles(xyz()), F.lit(cfg.seed + round_))
-    rows = points.select(*doubles(xyz())).orderBy(order).limit(3 * cfg.iterations).collect()
+    order, most, parts = F.xxhash64(*doubles(xyz()), F.lit(cfg.seed + round_)), 3 * cfg.iterations, 1 << 30
+    few = points.select(*doubles(xyz()), F.pmod(order, F.lit(parts)).alias("_h"))
+    # A threshold first, so that about so many points are sorted and sent, however many tasks there are.
+    share = (most + 6 * (most**0.5 + 1)) / max(count, 1)
+    few = few.where(F.col("_h") < int(share * parts)) if share < 1 else few
+    rows = few.orderBy("_h").limit(most).drop("_h").collect()
     p, rng = np.array([tuple(r) for r in rows], float).reshape(-1, 3), np.random.default_rng([cfg.seed, round_])
     found, total, fruitless = [], 0, 0
     while len(p) >= 3 and total < cfg.iterations and fruitless < _DEALS:
@@ -95,12 +100,12 @@ def find_planes(cloud: DataFrame, cfg: PlaneConfig = PlaneConfig()) -> DataFrame
     inliers, measures them and goes on without them, until too few points are left or fit.
     """
     spark = cloud.sparkSession
-    left = voxel_centroid(cloud, cfg.voxel).select("x", "y", "z").persist()
+    left = materialize(voxel_centroid(cloud, cfg.voxel).select("x", "y", "z"), "thinned")
     rows = []
     for round_ in range(cfg.max_planes):
-        if left.count() < max(3, cfg.min_points):
+        if (count := left.count()) < max(3, cfg.min_points):
             break
-        planes = _candidates(left, cfg, round_)
+        planes = _candidates(left, cfg, round_, count)
         best, n = _best(left, planes, cfg.distance) if len(planes) else (-1, 0)
         if n < cfg.min_points:
             break
@@ -109,7 +114,8 @@ def find_planes(cloud: DataFrame, cfg: PlaneConfig = PlaneConfig()) -> DataFrame
         plane = refit_plane(on)
         r = plane_residuals(on, plane).first()
         rows.append((*r, [float(v) for v in plane[:3]]))
-        left = plane_outliers(left, found, cfg.distance).persist()
+        before, left = left, materialize(plane_outliers(left, found, cfg.distance), "left-of-planes")
+        discard(before)
     found = spark.createDataFrame(rows, "rms double, p95 double, n_pts long, normal array<double>")
     n = F.col("normal")
     return found.select(plane_type(n[0], n[1], n[2]).alias("type"), "rms", "p95", "n_pts", "normal")

@@ -1,8 +1,8 @@
 """Rigid registration: correspondences and normal equations as joins and sums, small solves on the driver.
 
 Two ways: ``icp`` iterates a distributed nearest-neighbour join and brings one row of sums to the driver
-each time, for clouds of any size; ``pairwise_icp`` aligns many pairs of thinned clouds at once, each
-pair in one task, for slices and viewers' clouds, whose size is bounded by their voxels.
+each time, for clouds of any size; ``pairwise_icp`` thins clouds by voxels and aligns many pairs of them at
+once, each pair in one task, for slices and viewers' clouds, whose size is then bounded by their extent.
 """
 
 from __future__ import annotations
@@ -16,8 +16,9 @@ from pyspark.sql import functions as F
 
 from pointloom.config import IcpConfig, SliceConfig
 from pointloom.functions.geometry import apply_rigid, doubles, xyz
-from pointloom.functions.grid import Grid, downsample, kabsch_from_sums, local_icp, step_from_normal_equations
+from pointloom.functions.grid import Grid, kabsch_from_sums, local_icp, step_from_normal_equations
 from pointloom.operators.neighbors import nearest_within
+from pointloom.operators.voxel import voxel_centroid
 
 
 def transformed(points: DataFrame, m: np.ndarray) -> DataFrame:
@@ -118,7 +119,8 @@ def _align_pair(voxel: float, cfg: IcpConfig, fine_only: float | None, normal_ra
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         first = pdf.iloc[0]
         init = np.array(first["init"], float).reshape(4, 4)
-        src, tgt = (downsample(pdf.loc[pdf["side"] == s, ["x", "y", "z"]].to_numpy(float), voxel) for s in ("source", "target"))
+        src, tgt = (pdf.loc[pdf["side"] == s, ["x", "y", "z"]].to_numpy(float) for s in ("source", "target"))
+        src, tgt = (p[np.lexsort(p.T[::-1])] for p in (src, tgt))  # rows come in any order
         if not len(src) or not len(tgt):
             return pd.DataFrame([(first["pair"], 0.0, 0.0, init.ravel().tolist())], columns=["pair", "fitness", "inlier_rmse", "m"])
         normals = Grid(tgt, r := normal_radius or cfg.normal_radius * voxel).normals(r, cfg.max_neighbors)
@@ -141,7 +143,9 @@ def pairwise_icp(clouds: DataFrame, pairs: Iterable[tuple], cloud: str = "slice"
     kind = dict(clouds.dtypes)[cloud]
     rows = [(i, side, c, np.asarray(init, float).ravel().tolist()) for i, (a, b, init) in enumerate(pairs) for side, c in (("source", a), ("target", b))]
     wanted = spark.createDataFrame(rows, f"pair long, side string, {cloud} {kind}, init array<double>")
-    both = clouds.select(cloud, *(c.alias(n) for c, n in zip(doubles(xyz()), "xyz", strict=True))).join(F.broadcast(wanted), cloud)  # two rows per pair
+    used = sorted({c for _, _, c, _ in rows})
+    thin = clouds.where(F.col(cloud).isin(used)).select(cloud, *(c.alias(n) for c, n in zip(doubles(xyz()), "xyz", strict=True)))
+    both = voxel_centroid(thin, cfg.voxel, [cloud]).select(cloud, "x", "y", "z").join(F.broadcast(wanted), cloud)  # two of the driver's rows per pair
     found = both.groupBy("pair").applyInPandas(_align_pair(cfg.voxel, cfg, fine_only, normal_radius), _RESULT).collect()
     return {r["pair"]: (np.array(r["m"]).reshape(4, 4), r["fitness"], r["inlier_rmse"]) for r in found}
 
@@ -191,8 +195,12 @@ def transforms_table(spark: SparkSession, transforms: dict[int, np.ndarray]) ->
 
 def align_by_pairs(clouds: DataFrame, picks: DataFrame, source: int, target: int, voxel: float = 0.10) -> np.ndarray:
     """Rigid fit of picked pairs, then ICP from there: the transform of the source cloud."""
-    init = kabsch(pick_pairs(picks))
-    moved = clouds.where(F.col("cloud") == source)
-    both = transformed(moved, init).unionByName(clouds.where(F.col("cloud") == target), allowMissingColumns=True)
-    found = pairwise_icp(both, [(source, target, np.eye(4))], "cloud", IcpConfig(voxel=voxel))
-    return found[0][0] @ init
+    return refine_moved(clouds, kabsch(pick_pairs(picks)), source, target, voxel)[0]
+
+
+def refine_moved(clouds: DataFrame, moved_by: np.ndarray, source: int, target: int, voxel: float = 0.10) -> tuple[np.ndarray, float, float]:
+    """ICP of a cloud that was moved by hand: the transform of the cloud as it was, fitness, inlier RMSE."""
+    moved = transformed(clouds.where(F.col("cloud") == source), moved_by)
+    both = moved.unionByName(clouds.where(F.col("cloud") == target), allowMissingColumns=True)
+    m, fitness, rmse = pairwise_icp(both, [(source, target, np.eye(4))], "cloud", IcpConfig(voxel=voxel))[0]
+    return m @ moved_by, fitness, rmse

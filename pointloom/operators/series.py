@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from pointloom.functions.geometry import TWO_PI
+from pointloom.functions.storage import broadcast_if_small
 
 #: Samples of one series that one task orders.
 BUCKET_SAMPLES = 100_000
@@ -57,8 +58,8 @@ def unwrap(samples: DataFrame, t: str = "t_ns", angle: str = "angle", out: str =
 def interpolate(queries: DataFrame, samples: DataFrame, t: str = "t", sample_t: str = "t_ns", value: str = "angle", out: str = "theta", ties: Sequence[str] = (), by: Sequence[str] = ()) -> DataFrame:
     """Adds the samples' value at each query's time: linear between neighbours, held at both ends.
 
-    Segments between consecutive samples are spread over the time buckets that they touch, of about the
-    samples' spacing, and meet the queries in an equi-join on the bucket: no range join, no sort of the
+    Segments between consecutive samples are spread over the time buckets that they touch, of about their
+    own series' spacing, and meet the queries in an equi-join on the bucket: no range join, no sort of the
     queries. Of samples at one time the last by ``ties`` counts. Without samples no row is returned.
     """
     ends = samples.groupBy(*by).agg(
@@ -68,15 +69,17 @@ def interpolate(queries: DataFrame, samples: DataFrame, t: str = "t", sample_t:
         F.max_by(value, F.struct(sample_t, *ties)).alias("_v1"),
         F.count("*").alias("_n"),
     )
-    row = ends.agg(F.max((F.col("_t1") - F.col("_t0")) / F.col("_n"))).first()
-    width = max(1, int(row[0] or 0) + 1)
+    ends = ends.withColumn("_w", F.floor((F.col("_t1") - F.col("_t0")) / F.col("_n")) + 1)
+    ends = broadcast_if_small(ends) if by else ends  # one row per series
     prior = ordered_lag(samples, sample_t, F.struct(F.col(sample_t).alias("t"), F.col(value).alias("v")), "_p", [sample_t, *ties], by)
     # A segment ends at its sample, excluded, and starts at the one before.
     seg = prior.where(F.col("_p").isNotNull() & (F.col("_p.t") < F.col(sample_t)))
     seg = seg.select(*by, F.col("_p.t").alias("_a"), F.col("_p.v").alias("_va"), F.col(sample_t).alias("_z"), F.col(value).alias("_vz"))
-    bucket = lambda c: F.floor(c / width)
+    bucket = lambda c: F.floor(c / F.col("_w"))
+    width = ends.select(*by, "_w")
+    seg = seg.join(width, list(by)) if by else seg.crossJoin(F.broadcast(width))
     seg = seg.withColumn("_bk", F.explode(F.sequence(bucket(F.col("_a")), bucket(F.col("_z")))))
-    q = queries.join(F.broadcast(ends), list(by)) if by else queries.crossJoin(F.broadcast(ends))  # one row per series
+    q = queries.join(ends, list(by)) if by else queries.crossJoin(F.broadcast(ends))  # one row
     q = q.where("_n > 0").withColumn("_q", F.greatest(F.col("_t0"), F.least(F.col("_t1"), F.col(t)))).withColumn("_bk", bucket(F.col("_q")))
     # At most one segment holds a time, so the outer join keeps each query once.
     seg = seg.select(*(F.col(c).alias(f"_s{c}") for c in [*by, "_bk"]), "_a", "_va", "_z", "_vz")
@@ -116,12 +119,12 @@ def samples_before(frames: DataFrame, samples: DataFrame, t: str, sample_t: str,
     Samples are copied to the two buckets of the window's width that they can count in, and counted per frame
     by a range frame within a bucket, so memory follows the samples of a bucket only.
     """
-    f = frames.withColumn("_id", F.monotonically_increasing_id())
-    slim = f.select(*by, F.col(t).alias("_t"), "_id", F.floor(F.col(t) / window).alias("_b"), F.lit(0).alias("_s"))
-    s = samples.select(*by, F.col(sample_t).alias("_t"), F.lit(None).cast("long").alias("_id"), F.explode(F.array(F.floor(F.col(sample_t) / window), F.floor(F.col(sample_t) / window) + 1)).alias("_b"), F.lit(1).alias("_s"))
+    f = frames.withColumns({"_t": F.col(t), "_b": F.floor(F.col(t) / window), "_s": F.lit(0)})
+    s = samples.select(*by, F.col(sample_t).alias("_t"), F.explode(F.array(F.floor(F.col(sample_t) / window), F.floor(F.col(sample_t) / window) + 1)).alias("_b"), F.lit(1).alias("_s"))
     frame = Window.partitionBy(*by, "_b").orderBy("_t").rangeBetween(-window, 0)
-    counted = slim.unionByName(s).withColumn(out, F.sum("_s").over(frame)).where("_id is not null").select("_id", out)
-    return f.join(counted, "_id").drop("_id")
+    # Frames go through the window themselves, so no row numbers have to agree between two readings of them.
+    counted = f.unionByName(s, allowMissingColumns=True).withColumn(out, F.sum("_s").over(frame)).where("_s = 0")
+    return counted.select(*[c for c in frames.columns if c != out], out)
 
 
 def clock_regression(samples: DataFrame, device_ns: str = "stamp_ns", log_ns: str = "log_time_ns") -> DataFrame:

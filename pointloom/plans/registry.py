@@ -464,7 +464,7 @@ def knn_rank(spark, d):
 
 @query(f"{SELF} SELECT id, t_id, CAST(rank AS INT) AS rank, {R('d2', 'd2')} FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER BY d2, t_id) AS rank FROM pr) WHERE rank <= 20")
 def knn_unbounded(spark, d):
-    return neighbors.knn(_all(spark, d), 20, ["id"], 0.1, ["label"]).select("id", "t_id", "rank", r("d2", "d2"))
+    return neighbors.knn(_all(spark, d), 20, ["id"], by=["label"]).select("id", "t_id", "rank", r("d2", "d2"))
 
 
 OUTLIERS = SELF + ", md AS (SELECT label, id, avg(sqrt(d2)) AS m FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER BY d2, t_id) AS rank FROM pr) WHERE rank <= 20 GROUP BY label, id), st AS (SELECT label, avg(m) AS mean, stddev_samp(m) AS std, count(*) AS n FROM md WHERE m > 0 GROUP BY label)"

@@ -8,6 +8,7 @@ be written in pieces.
 from __future__ import annotations
 
 import io
+import pickle
 import struct
 import xml.etree.ElementTree as ET
 import zipfile
@@ -83,12 +84,57 @@ def decode_rows(data: bytes) -> np.ndarray:
     return np.loadtxt(io.BytesIO(body), ndmin=2, usecols=(0, 1, 2)) if body.strip() else np.zeros((0, 3))
 
 
-def decode_npz(data: bytes) -> np.ndarray:
-    """All (n, 3) arrays of an archive whose name starts with 'points', one after the other; no pickles."""
+#: What a pickle in an archive may name; anything else is refused before it is looked up.
+_ARRAY_NAMES = {("numpy", "ndarray"), ("numpy", "dtype"), *((f"numpy.{c}.multiarray", f) for c in ("core", "_core") for f in ("_reconstruct", "scalar")), *((f"numpy.{c}.numeric", "_frombuffer") for c in ("core", "_core")), ("_codecs", "encode")}
+
+
+class _ArrayUnpickler(pickle.Unpickler):
+    """Reads arrays of arrays and nothing else."""
+
+    def find_class(self, module: str, name: str):
+        if (module, name) not in _ARRAY_NAMES:
+            raise ValueError(f"the archive holds more than arrays: {module}.{name}")
+        return super().find_class(module, name)
+
+
+def _npy(data: bytes) -> np.ndarray:
+    """One member of an archive; object arrays are unpickled by the restricted reader."""
+    f = io.BytesIO(data)
+    version = np.lib.format.read_magic(f)
+    shape, _, dtype = (np.lib.format.read_array_header_1_0 if version == (1, 0) else np.lib.format.read_array_header_2_0)(f)
+    if not dtype.hasobject:
+        return np.lib.format.read_array(io.BytesIO(data), allow_pickle=False)
+    out = _ArrayUnpickler(f).load()
+    if not isinstance(out, np.ndarray) or out.shape != shape:
+        raise ValueError("the archive's header and array differ")
+    return out
+
+
+def read_npz(data: bytes) -> dict[str, np.ndarray]:
+    """All members of an archive."""
     with zipfile.ZipFile(io.BytesIO(data)) as z:
-        names = sorted(m for m in z.namelist() if m.startswith("points"))
-        parts = [np.lib.format.read_array(io.BytesIO(z.read(m)), allow_pickle=False).reshape(-1, 3) for m in names]
-    return np.concatenate(parts) if parts else np.zeros((0, 3), np.float32)
+        return {m.removesuffix(".npy"): _npy(z.read(m)) for m in z.namelist()}
+
+
+def npz_frames(data: bytes) -> list[np.ndarray]:
+    """The frames of an archive: each array in ``points``, or each member whose name starts so, as (n, 3)."""
+    with zipfile.ZipFile(io.BytesIO(data)) as z:
+        parts = [_npy(z.read(m)) for m in sorted(m for m in z.namelist() if m.startswith("points"))]
+    flat = [f for p in parts for f in (p.reshape(-1) if p.dtype == object and p.ndim == 1 else [p])]
+    return [np.asarray(f, np.float64 if np.asarray(f).dtype == object else None).reshape(-1, 3) for f in flat]
+
+
+#: Ranges between which an archive's points lie, both ends excluded.
+NPZ_RANGE = (0.3, 100.0)
+
+
+def decode_npz(data: bytes) -> np.ndarray:
+    """The points of all frames that are finite and between the ranges, one frame after the other."""
+    parts = [np.zeros((0, 3), np.float32)]
+    for p in npz_frames(data):
+        r = np.linalg.norm(p, axis=1)
+        parts.append(p[np.isfinite(p).all(1) & (r > NPZ_RANGE[0]) & (r < NPZ_RANGE[1])])
+    return np.concatenate(parts)
 
 
 _PLY_TYPES = {"char": "i1", "int8": "i1", "uchar": "u1", "uint8": "u1", "short": "i2", "int16": "i2", "ushort": "u2", "uint16": "u2", "int": "i4", "int32": "i4", "uint": "u4", "uint32": "u4", "float": "f4", "float32": "f4", "double": "f8", "float64": "f8"}
@@ -179,32 +225,87 @@ def _logical(physical: int) -> int:
 _NS = "{http://www.astm.org/COMMIT/E57/2010-e57-v1.0}"
 
 
-def encode_e57(points: np.ndarray) -> bytes:
-    """One scan of double cartesian coordinates."""
-    per = 2000
-    packets = []
-    for a in range(0, max(len(points), 1), per):
-        block = np.ascontiguousarray(points[a : a + per], "<f8")
-        streams = [block[:, i].tobytes() for i in range(3)]
-        body = struct.pack("<H3H", 3, *(len(s) for s in streams)) + b"".join(streams)
-        body += bytes(-(len(body) + 4) % 4)
-        packets.append(struct.pack("<BBH", 1, 0, len(body) + 3) + body)
-    data = b"".join(packets)
-    section = struct.pack("<B7xQQQ", 1, 32 + len(data), _physical(48 + 32), 0) + data
-    xml = f"""<?xml version="1.0" encoding="UTF-8"?>
+_PACKET = 2000  # points; a packet's length is a 16-bit number
+
+
+class E57Stream:
+    """One scan of double cartesian coordinates, written in pieces: its size follows from the number of points."""
+
+    def __init__(self, count: int):
+        full, rest = divmod(count, _PACKET)
+        size = lambda n: 4 + 8 + 24 * n  # noqa: E731  a multiple of 4
+        length = 32 + full * size(_PACKET) + (size(rest) if rest or not full else 0)
+        self.count, self._left, self._rows = count, b"", np.zeros((0, 3))
+        self._xml = f"""<?xml version="1.0" encoding="UTF-8"?>
 <e57Root type="Structure" xmlns="{_NS[1:-1]}"><formatName type="String"><![CDATA[ASTM E57 3D Imaging Data File]]></formatName>
 <guid type="String"><![CDATA[{{00000000-0000-4000-8000-000000000000}}]]></guid><versionMajor type="Integer">1</versionMajor><versionMinor type="Integer">0</versionMinor>
 <data3D type="Vector" allowHeterogeneousChildren="1"><vectorChild type="Structure"><guid type="String"><![CDATA[{{00000000-0000-4000-8000-000000000001}}]]></guid>
-<points type="CompressedVector" fileOffset="{_physical(48)}" recordCount="{len(points)}"><prototype type="Structure"><cartesianX type="Float"/><cartesianY type="Float"/><cartesianZ type="Float"/></prototype>
+<points type="CompressedVector" fileOffset="{_physical(48)}" recordCount="{count}"><prototype type="Structure"><cartesianX type="Float"/><cartesianY type="Float"/><cartesianZ type="Float"/></prototype>
 <codecs type="Vector" allowHeterogeneousChildren="1"/></points></vectorChild></data3D></e57Root>""".encode()
-    at = 48 + len(section)
-    total = -(-(at + len(xml)) // _DATA) * _PAGE
-    head = struct.pack("<8sIIQQQQ", b"ASTM-E57", 1, 0, total, _physical(at), len(xml), _PAGE)
-    return to_pages(head + section + xml)
+        at = 48 + length
+        total = -(-(at + len(self._xml)) // _DATA) * _PAGE
+        self._start = struct.pack("<8sIIQQQQ", b"ASTM-E57", 1, 0, total, _physical(at), len(self._xml), _PAGE)
+        self._start += struct.pack("<B7xQQQ", 1, length, _physical(48 + 32), 0)
+
+    def _pages(self, logical: bytes, end: bool = False) -> bytes:
+        data = self._left + logical
+        cut = len(data) if end else len(data) // _DATA * _DATA
+        self._left = data[cut:]
+        return to_pages(data[:cut]) if cut else b""
+
+    @staticmethod
+    def _packet(block: np.ndarray) -> bytes:
+        streams = [np.ascontiguousarray(block[:, i], "<f8").tobytes() for i in range(3)]
+        body = struct.pack("<H3H", 3, *(len(s) for s in streams)) + b"".join(streams)
+        return struct.pack("<BBH", 1, 0, len(body) + 3) + body
+
+    def head(self) -> bytes:
+        return self._pages(self._start)
+
+    def body(self, points: np.ndarray) -> bytes:
+        self._rows = np.concatenate([self._rows, points])
+        cut = len(self._rows) // _PACKET * _PACKET
+        whole, self._rows = self._rows[:cut], self._rows[cut:]
+        return self._pages(b"".join(self._packet(whole[a : a + _PACKET]) for a in range(0, cut, _PACKET)))
+
+    def tail(self) -> bytes:
+        last = self._packet(self._rows) if len(self._rows) or not self.count else b""
+        return self._pages(last + self._xml, end=True)
+
+
+def encode_e57(points: np.ndarray) -> bytes:
+    out = E57Stream(len(points))
+    return out.head() + out.body(points) + out.tail()
+
+
+def _packed_integers(data: bytes, bits: int, count: int) -> np.ndarray:
+    """Unsigned integers of so many bits each, the lowest bit first, without gaps."""
+    if not bits:
+        return np.zeros(count, np.uint64)
+    out, step = np.zeros(count, np.uint64), 8 * 4096
+    for a in range(0, count, step):  # a multiple of 8 numbers begins at a whole byte
+        n = min(step, count - a)
+        part = np.frombuffer(data, np.uint8, -(-n * bits // 8), a * bits // 8)
+        each = np.unpackbits(part, bitorder="little")[: n * bits].reshape(n, bits)
+        out[a : a + n] = each.astype(np.uint64) @ (np.uint64(1) << np.arange(bits, dtype=np.uint64))
+    return out
+
+
+def _e57_values(field: ET.Element, data: bytes, count: int) -> np.ndarray:
+    """The values of one field of a scan: floats, integers or scaled integers."""
+    kind = field.get("type")
+    if kind == "Float":
+        return np.frombuffer(data, "<f4" if field.get("precision") == "single" else "<f8")[:count].astype(float)
+    if kind not in ("Integer", "ScaledInteger"):
+        raise ValueError(f"E57 fields of type {kind} are not supported")
+    low, high = int(field.get("minimum", -(2**63))), int(field.get("maximum", 2**63 - 1))
+    raw = _packed_integers(data, (high - low).bit_length(), count)
+    value = (raw + np.uint64(low % 2**64)).astype(np.int64).astype(float)  # modulo 2**64, as the sum fits again
+    return value * float(field.get("scale", 1)) + float(field.get("offset", 0)) if kind == "ScaledInteger" else value
 
 
 def decode_e57(data: bytes) -> np.ndarray:
-    """All scans of float cartesian coordinates, one after the other, in double."""
+    """All scans of cartesian coordinates, floats or scaled integers, one after the other, in double."""
     magic, _, _, _, xml_at, xml_size, _ = struct.unpack_from("<8sIIQQQQ", data)
     if magic != b"ASTM-E57":
         raise ValueError("not an E57 file")
@@ -215,15 +316,7 @@ def decode_e57(data: bytes) -> np.ndarray:
     for scan in root.iter(f"{_NS}points"):
         fields = list(scan.find(f"{_NS}prototype"))
         names = [f.tag.removeprefix(_NS) for f in fields]
-        kinds = []
-        for f in fields:
-            if f.get("type") != "Float":
-                kinds.append(None)
-            else:
-                kinds.append("<f4" if f.get("precision") == "single" else "<f8")
         need = [names.index(f"cartesian{c}") for c in "XYZ"]
-        if any(kinds[i] is None for i in need):
-            raise ValueError("scaled E57 coordinates are not supported")
         at = _logical(int(scan.get("fileOffset")))
         _, length, first, _ = struct.unpack_from("<B7xQQQ", flat, at)
         end, at = at + length, _logical(first)
@@ -240,7 +333,7 @@ def decode_e57(data: bytes) -> np.ndarray:
                     p += k
             at += size
         count = int(scan.get("recordCount"))
-        out.append(np.stack([np.frombuffer(b"".join(parts[i]), kinds[i])[:count] for i in need], 1).astype(float))
+        out.append(np.stack([_e57_values(fields[i], b"".join(parts[i]), count) for i in need], 1))
     return np.concatenate(out)
 
 
@@ -301,6 +394,15 @@ def encode_npz(points: np.ndarray) -> bytes:
     return out.getvalue()
 
 
+def encode_frames(frames: list[np.ndarray], stamps: np.ndarray, angle_times: np.ndarray, angle_values: np.ndarray) -> bytes:
+    """An archive of frames: ``points`` (an object per frame), ``timestamps``, ``angle_times``, ``angle_values``."""
+    each = np.empty(len(frames), object)
+    each[:] = [np.ascontiguousarray(f, np.float32) for f in frames]
+    out = io.BytesIO()
+    np.savez_compressed(out, points=each, timestamps=stamps, angle_times=angle_times, angle_values=angle_values)
+    return out.getvalue()
+
+
 def encode_obj(vertices: np.ndarray, normals: np.ndarray, triangles: np.ndarray) -> bytes:
     lines = ["v %.6f %.6f %.6f" % tuple(v) for v in vertices.tolist()] + ["vn %.6f %.6f %.6f" % tuple(v) for v in normals.tolist()]
     return "\n".join([*lines, *("f {0}//{0} {1}//{1} {2}//{2}".format(*t) for t in (triangles + 1).tolist()), ""]).encode()

@@ -16,7 +16,7 @@ import pyarrow as pa
 import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
+from pyspark.sql.datasource import DataSource, DataSourceReader, EqualTo, In, InputPartition
 
 MAGIC = b"\x89MCAP0\r\n"
 SCHEMA = "topic string, log_time_ns bigint, seq bigint, data binary"
@@ -117,6 +117,19 @@ class McapReader(DataSourceReader):
             out += chunks + ([loose] if loose else [])
         return out or [_Chunk("", 0, 0, {})]
 
+    def pushFilters(self, filters):
+        """Takes over equality and membership of the topic, so that other messages aren't even copied."""
+        for f in filters:
+            if isinstance(f, EqualTo) and tuple(f.attribute) == ("topic",) and isinstance(f.value, str):
+                wanted = {f.value}
+            elif isinstance(f, In) and tuple(f.attribute) == ("topic",) and all(isinstance(v, str) for v in f.value):
+                wanted = set(f.value)
+            else:
+                yield f
+                continue
+            # No topic at all is left where filters exclude each other.
+            self.topics = (self.topics & wanted if self.topics else wanted) or {""}
+
     def read(self, part):
         if not part.path:
             return
@@ -169,6 +182,12 @@ class McapSource(DataSource):
         return McapReader(self.options)
 
 
+def register(spark: SparkSession) -> None:
+    """Make ``mcap`` known to the session, and let Spark hand filters to it."""
+    spark.conf.set("spark.sql.python.filterPushdown.enabled", "true")
+    spark.dataSource.register(McapSource)
+
+
 class Cdr:
     """Reads one little-endian CDR message; alignment counts from after the four head bytes."""
 
@@ -266,9 +285,11 @@ def _decoder(decode, kinds):
 def read_bag(spark: SparkSession, path: str) -> dict[str, DataFrame]:
     """``points``, ``joint_state``, ``platform_angle`` and ``imu`` of a log, one scan per kind asked for.
 
+    Of a folder the first log by name is read; the ``mcap`` source itself reads all that a path names.
     Frames are numbered by log time; nothing is read until a result is used.
     """
-    spark.dataSource.register(McapSource)
+    register(spark)
+    path = resolve(path)[0]
     of = lambda topic: spark.read.format("mcap").option("topics", topic).load(path)
     # A frame's number is its log time, so that no global numbering is needed.
     clouds = of(POINTS).select(F.col("log_time_ns").alias("frame_id"), "data")

@@ -22,38 +22,36 @@ def live_angles(encoder: DataFrame, frames: DataFrame, gate_ns: int = 110_000_00
     """Streams of (bag, t_ns, angle) and (bag, frame_id, t_ns) to each frame's interpolated angle and gate count.
 
     Samples older than ``keep_ns`` before the newest leave the state, which bounds it by the encoder's rate.
-    Angles are unwrapped as they come. Event times are nanoseconds; the watermark takes them as timestamps.
+    Angles are unwrapped in order of time, late ones within the watermark included. Event times are nanoseconds; the watermark takes them as timestamps.
     """
     one = encoder.select("bag", "t_ns", F.col("angle").cast("double").alias("v"), F.lit(None).cast("long").alias("frame_id"))
     two = frames.select("bag", "t_ns", F.lit(None).cast("double").alias("v"), "frame_id")
     both = one.unionByName(two).withColumn("ts", F.timestamp_micros((F.col("t_ns") / 1000).cast("long"))).withWatermark("ts", delay)
 
     def run(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        t, v, ids, stamps = (list(x) for x in state.get) if state.exists else ([], [], [], [])
+        kinds = (np.int64, float, np.int64, np.int64)
+        t, v, ids, stamps = (np.array(x, k) for x, k in zip(state.get if state.exists else ([], [], [], []), kinds, strict=True))
         ended = state.hasTimedOut
         if not ended:
-            pdf = pd.concat(list(batches)).sort_values("t_ns", kind="stable")
-            for row in pdf.itertuples():
-                if pd.isna(row.frame_id):
-                    angle = row.v if not v else v[-1] + float(np.angle(np.exp(1j * (row.v - v[-1]))))
-                    t.append(int(row.t_ns))
-                    v.append(angle)
-                else:
-                    ids.append(int(row.frame_id))
-                    stamps.append(int(row.t_ns))
-        ready = [i for i, s in enumerate(stamps) if t and (ended or s <= t[-1])]
-        if ready:
-            s = np.array([stamps[i] for i in ready])
-            at = np.array(t)
-            n = np.searchsorted(at, s, "right") - np.searchsorted(at, s - gate_ns, "left")
-            theta = np.interp(s - at[0], at - at[0], v)
-            yield pd.DataFrame({"bag": key[0], "frame_id": [ids[i] for i in ready], "t_ns": s, "theta": theta, "n_samples": n})
+            pdf = pd.concat(list(batches))
+            frame = pdf["frame_id"].notna().to_numpy()
+            new, own = pdf.loc[~frame], pdf.loc[frame]
+            # Late samples take their place in time; unwrapping goes on from the oldest that is kept.
+            t, v = np.concatenate([t, new["t_ns"].to_numpy(np.int64)]), np.concatenate([v, new["v"].to_numpy(float)])
+            order = np.argsort(t, kind="stable")
+            t, v = t[order], np.unwrap(v[order])
+            ids, stamps = np.concatenate([ids, own["frame_id"].to_numpy(np.int64)]), np.concatenate([stamps, own["t_ns"].to_numpy(np.int64)])
+        ready = (stamps <= t[-1]) | ended if len(t) else np.zeros(len(stamps), bool)
+        if ready.any():
+            s = stamps[ready]
+            n = np.searchsorted(t, s, "right") - np.searchsorted(t, s - gate_ns, "left")
+            theta = np.interp(s - t[0], t - t[0], v)
+            yield pd.DataFrame({"bag": key[0], "frame_id": ids[ready], "t_ns": s, "theta": theta, "n_samples": n})
         if ended:
             state.remove()
             return
-        waiting = [i for i in range(len(ids)) if i not in set(ready)]
-        cut = int(np.searchsorted(np.array(t), t[-1] - keep_ns)) if t else 0
-        state.update((t[cut:], v[cut:], [ids[i] for i in waiting], [stamps[i] for i in waiting]))
+        cut = int(np.searchsorted(t, t[-1] - keep_ns)) if len(t) else 0
+        state.update((t[cut:].tolist(), v[cut:].tolist(), ids[~ready].tolist(), stamps[~ready].tolist()))
         state.setTimeoutTimestamp(max(state.getCurrentWatermarkMs(), 0) + 60_000)
 
     return both.groupBy("bag").applyInPandasWithState(run, OUT, STATE, "append", GroupStateTimeout.EventTimeTimeout)
