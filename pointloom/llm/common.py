@@ -88,6 +88,7 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
         large = few(large.distinct())
         low = few(large.groupBy("u").agg(F.min("v").alias("m")))
         small = few(large.join(low, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).union(low))
-        e = materialize(few(small.distinct()), "small-star")
+        before, e = e, materialize(few(small.distinct()), "small-star")
+        discard(before)
     ends = e.select(F.col("u").alias("node"), F.col("v").alias("comp"))
     return ends.union(few_tasks(e.select(F.col("v"), F.col("v")).distinct(), totals[0]))

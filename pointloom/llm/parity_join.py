@@ -246,7 +246,9 @@ def _verify(pairs: DataFrame, each: DataFrame, texts: DataFrame, k: int, percent
     sets = materialize(chosen.mapInArrow(_sets(k), "id bigint, set binary"), "sets")
     side = lambda x: sets.select(F.col("id").alias(x), F.col("set").alias(f"s{x}"))
     both = pairs.join(side("b"), "b").join(side("a"), "a").select("a", "b", "sa", "sb")
-    return materialize(both.mapInArrow(_verified(percent), "a bigint, b bigint"), "links")
+    links = materialize(both.mapInArrow(_verified(percent), "a bigint, b bigint"), "links")
+    discard(pairs, met, sets)
+    return links
 
 
 def _forest(pairs: list[tuple[int, int, int]], comp: np.ndarray) -> list[tuple[int, int, int]]:
@@ -338,6 +340,7 @@ def _labels(texts: DataFrame, each: DataFrame, members: DataFrame, k: int, perce
         dealt = dealt.select("group", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "id", "comp", "n", "short")
         near = dealt.repartition("group", "i", "j").sortWithinPartitions("group", "i", "j", "block", "id").mapInArrow(_compared(percent, forest), "a bigint, b bigint")
         more = _verify(near.distinct(), each, texts, k, percent)
+        discard(open_, left)
         if more.limit(1).count():
             links = links.union(more)
             labels = materialize(components(links), "labels")
@@ -356,12 +359,13 @@ def jaccard_components(docs: DataFrame, k: int = 5, percent: int = 80, id_col: s
     each = materialize(texts.mapInArrow(_sketches(k, percent), "id bigint, n_shingles bigint, d1 bigint, d2 bigint, short binary, keys array<bigint>"), "sketches")
     keys = each.where("id is not null").select("id", F.explode("keys").alias("key"))
     shared = keys.groupBy("key").agg(F.min("id").alias("centre"), F.max("id").alias("last")).where("centre < last").drop("last")
-    groups = keys.join(materialize(shared, "shared-keys"), "key").where("id <> centre")
+    shared = materialize(shared, "shared-keys")
+    groups = keys.join(shared, "key").where("id <> centre")
     # Groups of one centre become one, so that documents which share many keys are compared once.
     members = groups.select(F.col("centre").alias("group"), "id").distinct()
     members = materialize(members, "members")
     slim = materialize(each.drop("keys"), "documents")
-    discard(each)  # the keys are the bulk, and nothing reads them any more
+    discard(each, shared)  # the keys are the bulk, and nothing reads them any more
     labels = _labels(texts, slim, members, k, percent)
     slim = slim.drop("short")
     same = ["n_shingles", "d1", "d2"]

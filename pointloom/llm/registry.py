@@ -89,6 +89,22 @@ def op6_parity_sketch_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_components(read_table(spark, sf_dir, "documents"), k=4, percent=85)
 
 
+OP6_SQL = r"""
+WITH RECURSIVE words AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w
+  FROM documents),
+tok AS (SELECT doc_id, unnest(w) AS t, generate_subscripts(w, 1) AS i FROM words),
+four AS (SELECT doc_id, t || ' ' || lead(t, 1) OVER o || ' ' || lead(t, 2) OVER o || ' ' || lead(t, 3) OVER o AS sh FROM tok WINDOW o AS (PARTITION BY doc_id ORDER BY i)),
+each AS (SELECT DISTINCT doc_id, sh FROM four WHERE sh IS NOT NULL
+         UNION ALL SELECT doc_id, array_to_string(w, ' ') FROM words WHERE len(w) BETWEEN 1 AND 3),
+sizes AS (SELECT doc_id, count(sh) AS n FROM documents LEFT JOIN each USING (doc_id) GROUP BY doc_id),
+both_in AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS c FROM each a JOIN each b ON a.sh = b.sh AND a.doc_id <> b.doc_id GROUP BY ALL),
+links AS (SELECT a, b FROM both_in JOIN sizes x ON x.doc_id = a JOIN sizes y ON y.doc_id = b WHERE 100 * c >= 85 * (x.n + y.n - c)),
+reach AS (SELECT doc_id AS node, doc_id AS comp FROM sizes UNION SELECT b, comp FROM reach JOIN links ON a = node)
+SELECT doc_id, n AS n_shingles, min(comp) AS component_id FROM sizes JOIN reach ON node = doc_id GROUP BY ALL
+"""
+
+
 def op3_preference_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     from pointloom.llm.preference import format_preferences, pairs_by_id
 
@@ -150,4 +166,4 @@ def queries() -> dict[str, Query]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_block_naming_dedup": OP2_SQL, "op3_preference_formatting": OP3_SQL}
+    return {"op2_block_naming_dedup": OP2_SQL, "op3_preference_formatting": OP3_SQL, "op6_parity_sketch_join": OP6_SQL}
