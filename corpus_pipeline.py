@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pointloom.llm.common import materialize, read_table, shared_path
+from pointloom.llm.common import discard, materialize, read_table
 from pointloom.llm.dedup_blocks import exact_dedup
 from pointloom.llm.mixing import repeat_rows, systematic_mix
 from pointloom.llm.packing import pack
@@ -60,11 +60,12 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The stages over ``documents``, each written as Parquet and read again by the next."""
-    docs = read_table(spark, sf_dir, "documents")
+    docs, before = read_table(spark, sf_dir, "documents"), None
     for i, (_, stage) in enumerate(STAGES):
         docs = stage(spark, docs, sf_dir)
         if i + 1 < len(STAGES):
-            out = shared_path(spark, f"stage-{i}")
-            docs.write.parquet(out)
-            docs = spark.read.parquet(out)
+            docs = materialize(docs, f"stage-{i}")
+            if before is not None:
+                discard(before)  # what the stage before wrote is read
+            before = docs
     return docs
