@@ -11,6 +11,7 @@ import heapq
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -148,8 +149,11 @@ def build_mesh(points: DataFrame, depth: int = 7, radius: float = 0.15, samples:
     rows = sample_points(points.select(*(c.alias(n) for c, n in zip(doubles(xyz()), "xyz", strict=True))), min(samples, MAX_SAMPLES), seed).toArrow()
     p = np.stack([rows.column(c).to_numpy() for c in "xyz"], 1)
     v, n, t = reconstruct(p, depth, radius)
-    vertices = spark.createDataFrame([(i, *map(float, a), *map(float, b)) for i, (a, b) in enumerate(zip(v, n, strict=True))], "vid long, x double, y double, z double, nx double, ny double, nz double")
-    return vertices, spark.createDataFrame([tuple(map(int, f)) for f in t], "a long, b long, c long")
+    names, columns = ["vid", "x", "y", "z", "nx", "ny", "nz"], [np.arange(len(v)), *v.T, *n.T]
+    kinds = [pa.int64(), *[pa.float64()] * 6]
+    # As Arrow tables, since rows of Python numbers would take the driver many times the memory.
+    vertices = spark.createDataFrame(pa.table([pa.array(np.ascontiguousarray(c), k) for c, k in zip(columns, kinds, strict=True)], names))
+    return vertices, spark.createDataFrame(pa.table([pa.array(np.ascontiguousarray(c), pa.int64()) for c in t.reshape(-1, 3).T], ["a", "b", "c"]))
 
 
 def estimate_normals(points: DataFrame, key: tuple[str, ...], radius: float, k: int = 30) -> DataFrame:

@@ -8,7 +8,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pointloom.config import DeskewConfig, MapConfig
+from pointloom.config import DeskewConfig, IcpConfig, MapConfig, PlaneConfig, SliceConfig
 from pointloom.functions import geometry as G
 from pointloom.functions.storage import materialize
 from pointloom.operators import deskew as D
@@ -555,14 +555,13 @@ def icp_align(spark, d):
 def icp_slices(spark, d):
     """All labels against label 0, one task a pair."""
     clouds = S.points(spark, d).select(F.col("label").alias("slice"), "x", "y", "z")
-    found = registration.pairwise_icp(clouds, [(k, 0, np.eye(4)) for k in range(1, 10)])
-    return spark.createDataFrame([(k + 1, f, e, m.ravel().tolist()) for k, (m, f, e) in found.items()], "slice int, fitness double, inlier_rmse double, transformation array<double>")
+    labels = [x[0] for x in clouds.select("slice").distinct().orderBy("slice").collect()]  # a row per slice
+    found = registration.pairwise_icp(clouds, [(k, labels[0], np.eye(4)) for k in labels[1:]])
+    return spark.createDataFrame([(labels[k + 1], f, e, m.ravel().tolist()) for k, (m, f, e) in found.items()], "slice int, fitness double, inlier_rmse double, transformation array<double>")
 
 
 @query()
 def ransac_plane(spark, d):
-    from pointloom.config import PlaneConfig
-
     return planes.find_planes(S.points(spark, d), PlaneConfig(min_points=500))
 
 
@@ -573,11 +572,107 @@ def normals(spark, d):
     return estimate_normals(_all(spark, d), ("id",), 0.05)
 
 
-@query()
+def _entries(spark, found: dict[int, np.ndarray], name: str = "cloud") -> DataFrame:
+    """Transforms as rows of their first three rows' entries."""
+    rows = [(k, i, j, float(m[i, j])) for k, m in found.items() for i in range(3) for j in range(4)]
+    return spark.createDataFrame(rows, f"{name} int, i int, j int, v double").select(name, "i", "j", r("v", "value"))
+
+
+def _known(name: str, cloud: str, entries: dict[tuple[int, int], str], rest: str = "") -> str:
+    """SQL of a transform known by construction; entries that aren't given are those of the identity."""
+    each = ", ".join(f"({i}, {j}, {entries.get((i, j), '1.0' if i == j else '0.0')})" for i in range(3) for j in range(4))
+    return f"SELECT CAST({cloud} AS INT) AS {name}, CAST(i AS INT) AS i, CAST(j AS INT) AS j, {R('v', 'value')} FROM (VALUES {each}) t(i, j, v) {rest}"
+
+
+@query(_known("cloud", "0", {(1, 1): "cos(0.3)", (1, 2): "-sin(0.3)", (2, 1): "sin(0.3)", (2, 2): "cos(0.3)", (0, 3): "1.0", (1, 3): "2.0", (2, 3): "3.0"}))
 def kabsch_fit(spark, d):
+    """A cloud fitted to itself moved by a known motion."""
     p = _all(spark, d)
     m = registration.kabsch(p.select("id", *(F.col(c).alias(f"s_{c}") for c in "xyz")).join(registration.transformed(p, G.rigid(G.rotation("x", 0.3), (1, 2, 3))).select("id", *(F.col(c).alias(f"t_{c}") for c in "xyz")), "id"))
-    return spark.createDataFrame([(m.ravel().tolist(),)], "transformation array<double>")
+    return _entries(spark, {0: m})
+
+
+def _sparse(spark, d) -> DataFrame:
+    """One point a vector, ten times the size, so that points lie far apart against what they are moved by."""
+    return S.points(spark, d).where("p = 0 AND label < 3").select("vec_id", *((F.col(c).cast("double") * 10).alias(c) for c in "xyz"))
+
+
+@query(_known("cloud", "0", {(0, 0): "cos(1.2)", (0, 1): "-sin(1.2)", (1, 0): "sin(1.2)", (1, 1): "cos(1.2)", (0, 3): "4.0", (1, 3): "-5.0", (2, 3): "0.5"}))
+def pick_align(spark, d):
+    """Picked pairs bring a cloud far off near another, and ICP goes on from there."""
+    p = _sparse(spark, d)
+    clouds = p.withColumn("cloud", F.lit(0)).union(registration.transformed(p, G.rigid(G.rotation("z", 1.2), (4, -5, 0.5))).withColumn("cloud", F.lit(1)))
+    few = p.orderBy("vec_id").limit(6).select("vec_id")
+    picks = clouds.join(F.broadcast(few), "vec_id").select("cloud", F.col("vec_id").alias("pair_idx"), "x", "y", "z")  # six rows
+    return _entries(spark, {0: registration.align_by_pairs(clouds, picks, 0, 1, voxel=0.01)})
+
+
+@query(_known("slice", "s", {(0, 0): "cos(0.002 * s)", (0, 1): "-sin(0.002 * s)", (1, 0): "sin(0.002 * s)", (1, 1): "cos(0.002 * s)", (0, 3): "0.01 * s"}, ", range(4) k(s)"))
+def slice_chain(spark, d):
+    """Four slices of one cloud, each moved by a known motion; the last shares too little with the reference
+    and is chained again from its neighbour."""
+    p, m = _sparse(spark, d), F.pmod(F.xxhash64("vec_id"), F.lit(100))
+    sliced = None
+    for s in range(4):
+        own = p.where((m >= 20 * s) & (m < 20 * s + (70 if s == 0 else 60))) if s < 3 else p.where(m >= 64)
+        back = np.linalg.inv(G.rigid(G.rotation("z", 0.002 * s), (0.01 * s, 0, 0)))
+        own = registration.transformed(own, back).withColumn("slice", F.lit(s))
+        sliced = own if sliced is None else sliced.union(own)
+    found, _ = registration.align_slices(materialize(sliced, "slices"), SliceConfig(), IcpConfig(voxel=0.02))
+    return _entries(spark, found, "slice")
+
+
+@query(f"SELECT 'b' AS source, 'a' AS target, {R('1.0', 'fitness')}, {R('0.0', 'inlier_rmse')}, {R('-0.01', 'dz')}, 'good' AS verdict")
+def repeatability(spark, d):
+    """A cloud against itself moved along an axis."""
+    p = _sparse(spark, d)
+    clouds = p.withColumn("cloud", F.lit("a")).union(p.withColumn("z", F.col("z") + 0.01).withColumn("cloud", F.lit("b")))
+    _, table = pipelines.evaluate(materialize(clouds, "clouds"), PlaneConfig(min_points=10**9))
+    return table.select("source", "target", r("fitness", "fitness"), r("inlier_rmse", "inlier_rmse"), r(F.col("transformation")[11], "dz"), "verdict")
+
+
+def _written(spark, points: DataFrame, fmt: str) -> DataFrame:
+    from pointloom.functions.storage import shared_path
+    from pointloom.sources.points import read_points, write_points
+
+    return read_points(spark, write_points(points, f"{shared_path(spark, 'cloud')}.{fmt}", fmt))
+
+
+FORMATS = {"e57": "{}", "ply": "{}", "pcd": "CAST({} AS FLOAT)", "xyz": "CAST(printf('%.4f', {}) AS DOUBLE)", "pts": "CAST(printf('%.4f', {}) AS DOUBLE)"}
+
+
+@query(
+    f"WITH {PTS} "
+    + " UNION ALL ".join(f"SELECT '{f}' AS format, {', '.join(R(e.format(c), n) for c, n in zip((DX, DY, DZ), 'xyz', strict=True))} FROM pts" for f, e in FORMATS.items())
+    + f" UNION ALL SELECT 'npz', {', '.join(R(c, n) for c, n in zip((DX, DY, DZ), 'xyz', strict=True))} FROM pts WHERE {SIZE} > 0.3 AND {SIZE} < 100"
+)
+def file_round_trips(spark, d):
+    """A cloud written to and read from each format; archives give points between their ranges only."""
+    p, out = S.points(spark, d), None
+    for fmt in (*FORMATS, "npz"):
+        one = _written(spark, p, fmt).select(F.lit(fmt).alias("format"), *rounded())
+        out = one if out is None else out.union(one)
+    return out
+
+
+@query(
+    f"WITH {PTS}, m AS (SELECT avg({DX}) AS mx, avg({DY}) AS my, avg({DZ}) AS mz FROM pts) SELECT "
+    + ", ".join(R(f"round(({c} - m{n}) / 0.001) * 0.001 + m{n}", n, 5) for c, n in zip((DX, DY, DZ), "xyz", strict=True))
+    + " FROM pts, m"
+)
+def las_round_trip(spark, d):
+    return _written(spark, S.points(spark, d), "las").select(*rounded(digits=5))
+
+
+@query(f"WITH {SCAN} SELECT stamp_ns, pt_idx, {R('CAST(x AS FLOAT)', 'x', 5)}, {R('CAST(y AS FLOAT)', 'y', 5)}, {R('CAST(z AS FLOAT)', 'z', 5)} FROM scan")
+def frame_archive(spark, d):
+    """Frames, stamps and encoder written to an archive and read from it."""
+    from pointloom.functions.storage import shared_path
+    from pointloom.sources.points import read_frames, write_frames
+
+    path = write_frames(S.scan(spark, d), _series(spark, d), f"{shared_path(spark, 'frames')}.npz")
+    points, _ = read_frames(spark, path)
+    return points.select("stamp_ns", F.col("pt_idx").cast("int").alias("pt_idx"), *rounded(digits=5))
 
 
 @query()

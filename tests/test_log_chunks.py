@@ -38,7 +38,7 @@ def log(summary, loose=b"", known=("/a", "/b")):
 
 
 def read(spark, path, topics):
-    spark.dataSource.register(mcap.McapSource)
+    mcap.register(spark)
     rows = spark.read.format("mcap").option("topics", topics).load(str(path)).collect()
     return sorted((r.log_time_ns, r.topic) for r in rows)
 

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from pointloom.functions.geometry import doubles, xyz
 from pointloom.sources import codecs, mcap
-from pointloom.sources.points import export_points, read_points, write_mesh, write_points
+from pointloom.sources.points import export_map, export_mesh, export_points, find_files, load_clouds, read_frames, read_points, write_frames, write_mesh, write_points
 
 
 @pytest.fixture(scope="module")
@@ -73,11 +73,105 @@ def test_unknown_suffix_and_compressed_las(spark):
         read_points(spark, "a.laz")
 
 
-def test_pickled_archives_are_refused(tmp_path):
-    path = tmp_path / "x.npz"
-    np.savez(path, points=np.array([np.zeros((1, 3)), np.zeros((2, 3))], dtype=object))
-    with pytest.raises(ValueError):
-        codecs.decode_npz(path.read_bytes())
+def test_archives_of_frames(spark, tmp_path):
+    frames = [np.array([[1, 0, 0], [0.1, 0, 0], [np.nan, 0, 0]], np.float32), np.array([[0, 100, 0], [0, 5, 0]], np.float32)]
+    each = np.empty(2, object)
+    each[:] = frames
+    np.savez_compressed(tmp_path / "a.npz", points=each, timestamps=np.array([7, 9]), angle_times=np.array([1.0, 2.0]), angle_values=np.array([0.5, 0.6]))
+    back = codecs.npz_frames((tmp_path / "a.npz").read_bytes())
+    assert all(np.array_equal(a, b, equal_nan=True) for a, b in zip(back, frames, strict=True))
+    assert codecs.decode_npz((tmp_path / "a.npz").read_bytes()).tolist() == [[1, 0, 0], [0, 5, 0]]
+    np.savez(tmp_path / "same.npz", points=np.array([np.ones((2, 3)), np.ones((2, 3))], dtype=object))  # frames of one length make one array
+    assert codecs.decode_npz((tmp_path / "same.npz").read_bytes()).shape == (4, 3)
+    points, encoder = read_frames(spark, str(tmp_path / "a.npz"))
+    assert [(r.frame_id, r.pt_idx, r.stamp_ns) for r in points.orderBy("frame_id", "pt_idx").collect()] == [(0, 0, 7), (0, 1, 7), (0, 2, 7), (1, 0, 9), (1, 1, 9)]
+    assert [tuple(r)[1:] for r in encoder.orderBy("t_ns").collect()] == [(1, 0.5), (2, 0.6)]
+    again = write_frames(points, encoder, str(tmp_path / "b"))
+    with np.load(again, allow_pickle=True) as z:
+        assert sorted(z.files) == ["angle_times", "angle_values", "points", "timestamps"] and z["timestamps"].tolist() == [7, 9]
+        assert all(np.array_equal(a, b, equal_nan=True) and a.dtype == np.float32 for a, b in zip(z["points"], frames, strict=True))
+    write_frames(points.limit(0), encoder.limit(0), str(tmp_path / "none.npz"))
+    assert codecs.npz_frames((tmp_path / "none.npz").read_bytes()) == []
+
+
+def test_archives_with_other_objects_are_refused(tmp_path):
+    import os
+
+    class Runs:
+        def __reduce__(self):
+            return os.getcwd, ()
+
+    bad = np.empty(1, object)
+    bad[0] = Runs()
+    np.savez(tmp_path / "x.npz", points=bad)
+    with pytest.raises(ValueError, match="more than arrays"):
+        codecs.decode_npz((tmp_path / "x.npz").read_bytes())
+
+
+def _scaled_e57(values, low, high, scale, offset):
+    """A scan of scaled integers, packed bit by bit, in packets whose ends fall inside numbers."""
+    bits = (high - low).bit_length()
+    streams = []
+    for c in range(3):
+        number = sum(int(v - low) << (i * bits) for i, v in enumerate(values[:, c].tolist()))
+        streams.append(number.to_bytes(-(-len(values) * bits // 8), "little"))
+    packets = b""
+    for a in range(0, max(map(len, streams)), 5):
+        parts = [s[a : a + 5] for s in streams]
+        body = struct.pack("<H3H", 3, *map(len, parts)) + b"".join(parts)
+        body += bytes(-(len(body) + 4) % 4)
+        packets += struct.pack("<BBH", 1, 0, len(body) + 3) + body
+    section = struct.pack("<B7xQQQ", 1, 32 + len(packets), codecs._physical(80), 0) + packets
+    field = lambda n: f'<{n} type="ScaledInteger" minimum="{low}" maximum="{high}" scale="{scale}" offset="{offset}"/>'
+    xml = f'<?xml version="1.0"?><e57Root xmlns="{codecs._NS[1:-1]}"><data3D><vectorChild><points fileOffset="{codecs._physical(48)}" recordCount="{len(values)}"><prototype>{"".join(map(field, ("cartesianX", "cartesianY", "cartesianZ")))}</prototype></points></vectorChild></data3D></e57Root>'.encode()
+    at = 48 + len(section)
+    head = struct.pack("<8sIIQQQQ", b"ASTM-E57", 1, 0, 0, codecs._physical(at), len(xml), 1024)
+    return codecs.to_pages(head + section + xml)
+
+
+@pytest.mark.parametrize(("low", "high"), [(-1000, 1000), (-5, 2**40), (-(2**62), 2**62), (0, 1)])
+def test_scaled_coordinates(low, high):
+    values = np.random.default_rng(0).integers(low, high, (57, 3), endpoint=True)
+    got = codecs.decode_e57(_scaled_e57(values, low, high, 0.001, 2.5))
+    assert np.allclose(got, values.astype(float) * 0.001 + 2.5, rtol=1e-15)
+
+
+@pytest.mark.parametrize("n", [0, 1, 1999, 2000, 2001, 4000, 9999])
+def test_streamed_e57_is_the_same_in_any_pieces(n):
+    p = np.random.default_rng(n).normal(size=(n, 3))
+    whole = codecs.encode_e57(p)
+    s = codecs.E57Stream(n)
+    pieces = s.head() + b"".join(s.body(p[a : a + 333]) for a in range(0, n, 333)) + s.tail()
+    assert pieces == whole and len(whole) % 1024 == 0 and np.array_equal(codecs.decode_e57(whole), p)
+    assert struct.unpack_from("<Q", whole, 16)[0] == len(whole)
+
+
+def test_files_are_found_in_order(spark, points, tmp_path):
+    for name in ("b", "a"):
+        write_points(points.limit(3), str(tmp_path / f"{name}.e57"))
+    write_points(points.limit(0), str(tmp_path / "c.pcd"))
+    names = lambda found: [f.rsplit("/", 1)[1] for f in found]
+    assert names(find_files(spark, str(tmp_path))) == names(find_files(spark, default=str(tmp_path))) == ["a.e57", "b.e57"]
+    assert names(find_files(spark, [f"{tmp_path}/b.e57", f"{tmp_path}/c.*"])) == ["b.e57", "c.pcd"]
+    with pytest.raises(FileNotFoundError):
+        find_files(spark, [str(tmp_path / "none.e57")])
+    with pytest.warns(UserWarning, match="no points in .*c.pcd"):
+        got = load_clouds(spark, [f"{tmp_path}/a.e57", f"{tmp_path}/c.pcd"])
+    assert {r.cloud for r in got.collect()} == {"a"}
+    with pytest.raises(ValueError, match="no points"), pytest.warns(UserWarning):
+        load_clouds(spark, [f"{tmp_path}/c.pcd"])
+
+
+def test_maps_are_in_order_of_their_cells_and_meshes_go_everywhere(spark, points, tmp_path):
+    from pointloom.operators.voxel import voxel_first
+
+    cells = voxel_first(points, 5.0, ["id"])
+    back = read_points(spark, export_map(cells, str(tmp_path / "map.e57"))).orderBy("pt_idx").collect()
+    want = sorted((r.kx, r.ky, r.kz, r.x, r.y, r.z) for r in cells.collect())
+    assert [(r.x, r.y, r.z) for r in back] == [w[3:] for w in want]
+    v = spark.createDataFrame([(i, float(i == 1), float(i == 2), 0.0, 0.0, 0.0, 1.0) for i in range(3)], "vid long, x double, y double, z double, nx double, ny double, nz double")
+    t = spark.createDataFrame([(0, 1, 2)], "a long, b long, c long")
+    assert [p.rsplit(".", 1)[1] for p in export_mesh(v, t, points.limit(4), str(tmp_path / "m"))] == ["obj", "stl", "dxf"]
 
 
 def test_mesh_files(spark, tmp_path):
@@ -149,7 +243,10 @@ def test_read_a_log(spark, tmp_path, compression):
     assert [(r.log_time_ns, r.stamp_ns, r.position) for r in bag["joint_state"].orderBy("log_time_ns").collect()] == [(200 + i, 10**9 + i, [0.5 * i]) for i in range(3)]
     assert bag["platform_angle"].first().deg == 90.0
     assert tuple(bag["imu"].select("ax", "ay", "az").first()) == (9.8, 0.1, 0.2)
-    assert spark.read.format("mcap").load(str(path)).select(F.countDistinct("topic")).first()[0] == 5
+    logs = spark.read.format("mcap").load(str(path))
+    assert logs.select(F.countDistinct("topic")).first()[0] == 5
+    assert logs.where(F.col("topic") == mcap.IMU).count() == 1 and logs.where(F.col("topic").isin(mcap.IMU, "/tf")).count() == 2
+    assert logs.where((F.col("topic") == mcap.IMU) & (F.col("topic") == "/tf")).count() == 0
 
 
 def test_find_logs(tmp_path):
