@@ -7,9 +7,9 @@ import re
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pointloom.functions.storage import discard, materialize, shared_path
+from pointloom.functions.storage import broadcast_if_small, discard, materialize, shared_path
 
-__all__ = ["discard", "materialize", "shared_path"]
+__all__ = ["broadcast_if_small", "discard", "materialize", "shared_path"]
 
 #: Words are runs of anything but the six ASCII blanks.
 BLANKS = r"[\x20\x09-\x0D]+"

@@ -16,11 +16,13 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from pointloom.llm.common import discard, materialize, stable, text_or_empty
+from pointloom.llm.common import broadcast_if_small, discard, materialize, stable, text_or_empty
 
 BLOCK_CHARS = 4096
 SALTS = 32
 HOT_SHARE = 512
+#: Numbers of dropped rows that are broadcast at most.
+BROADCAST_DROPPED = 1_000_000
 
 
 def _blocks(docs: DataFrame, block_chars: int) -> DataFrame:
@@ -80,6 +82,15 @@ def name_documents(docs: DataFrame, block_chars: int = BLOCK_CHARS, hot_share: i
     return done
 
 
+def _marks(rows: DataFrame, id_col: str, text_col: str, block_chars: int) -> DataFrame:
+    """``(_row, keep_id, group_size, kept)`` of every row; ``rows`` has a unique ``_row``."""
+    names = name_documents(rows.select("_row", text_or_empty(text_col).alias("_text")), block_chars)
+    ids = materialize(names.join(rows.select("_row", F.col(id_col).alias("_id")), "_row"), "document-names")
+    best = F.max(F.struct(F.coalesce(F.col("_id"), F.lit(-(2**63))).alias("v"), F.col("_row").alias("r")))
+    groups = materialize(ids.groupBy("_chars", "_name").agg(best.alias("_best"), F.max("_id").alias("keep_id"), F.count("*").alias("group_size")), "document-groups")
+    return ids.join(groups, ["_chars", "_name"]).select("_row", "keep_id", "group_size", (F.col("_best.r") == F.col("_row")).alias("kept"))
+
+
 def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", block_chars: int = BLOCK_CHARS) -> DataFrame:
     """All rows and columns of ``docs`` plus ``keep_id``, ``group_size``, ``kept``.
 
@@ -89,9 +100,15 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     """
     docs = docs.drop("keep_id", "group_size", "kept", "_row", "_text")
     rows = stable(docs).withColumn("_row", F.monotonically_increasing_id())
-    names = name_documents(rows.select("_row", text_or_empty(text_col).alias("_text")), block_chars)
-    ids = materialize(names.join(rows.select("_row", F.col(id_col).alias("_id")), "_row"), "document-names")
-    best = F.max(F.struct(F.coalesce(F.col("_id"), F.lit(-(2**63))).alias("v"), F.col("_row").alias("r")))
-    groups = materialize(ids.groupBy("_chars", "_name").agg(best.alias("_best"), F.max("_id").alias("keep_id"), F.count("*").alias("group_size")), "document-groups")
-    marks = ids.join(groups, ["_chars", "_name"]).select("_row", "keep_id", "group_size", (F.col("_best.r") == F.col("_row")).alias("kept"))
-    return rows.join(materialize(marks, "document-marks"), "_row").drop("_row")
+    return rows.join(materialize(_marks(rows, id_col, text_col, block_chars), "document-marks"), "_row").drop("_row")
+
+
+def drop_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", block_chars: int = BLOCK_CHARS) -> DataFrame:
+    """The rows of ``docs`` that ``exact_dedup`` keeps, with their columns (but ``_row`` and ``_text``).
+
+    Only the numbers of dropped rows are joined: up to ``BROADCAST_DROPPED`` are broadcast, which spares the
+    texts a second shuffle; beyond, texts are shuffled once more.
+    """
+    rows = stable(docs.drop("_row", "_text")).withColumn("_row", F.monotonically_increasing_id())
+    dropped = _marks(rows, id_col, text_col, block_chars).where("NOT kept").select("_row")
+    return rows.join(broadcast_if_small(dropped, BROADCAST_DROPPED), "_row", "left_anti").drop("_row")

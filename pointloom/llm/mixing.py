@@ -16,9 +16,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from pointloom.llm.common import materialize, stable, text_or_empty, word_count
+from pointloom.llm.common import broadcast_if_small, materialize, stable, text_or_empty, word_count
 
 BUCKET_ROWS = 2_000
+#: Rows whose five numbers are broadcast at most, which spares the documents a shuffle; beyond, they take one.
+BROADCAST_COPIES = 500_000
 #: Classes of size to each doubling; a long size has 63 doublings, so there are at most 64 times as many.
 CLASSES = 4
 WEIGHTS = (1, 2, 3)
@@ -80,7 +82,7 @@ def systematic_mix(docs: DataFrame, seed: int = 17, id_col: str = "doc_id", sour
     offset = F.pmod(F.xxhash64(F.lit(seed), F.lit("offset"), "source"), F.lit(1 << 20)) / float(1 << 20)
     copies = (F.floor(end * F.col("_each") + F.col("_u")) - F.floor((end - 1) * F.col("_each") + F.col("_u"))).cast("long")
     taken = ranked.withColumn("_each", each).withColumn("_u", offset).select("_row", "size", "source_size", "target", copies.alias("copies"))
-    return rows.join(materialize(taken, "mix-copies"), "_row").drop("_row")
+    return rows.join(broadcast_if_small(taken, BROADCAST_COPIES), "_row").drop("_row")
 
 
 def repeat_rows(mixed: DataFrame) -> DataFrame:

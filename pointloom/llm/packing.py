@@ -30,7 +30,7 @@ from pointloom.llm.common import WORD, stable, text_or_empty
 
 LENGTHS = (512, 1024, 2048, 4096)
 GROUP_PIECES = 20_000
-GROUP_BYTES = 32 << 20
+GROUP_BYTES = 16 << 20
 #: Tasks at most; beyond, a task takes groups one after the other.
 MAX_TASKS = 100_000
 #: Cost of a sequence of n tokens: n for the linear layers, and n * n / QUADRATIC for attention.

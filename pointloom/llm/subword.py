@@ -18,6 +18,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from pointloom.llm.common import hashed_sample
 from pointloom.llm.words import word_hashes
@@ -134,23 +135,18 @@ def score(docs: DataFrame, model: np.ndarray, text_col: str = "text") -> DataFra
     """
     docs = docs.drop("score", "predicted")
     gains, bias = model[:-1].astype(np.float32), float(model[-1])
-    own = "_text"
-    while own in docs.columns:
-        own += "_"
 
     def run(batches):
         for batch in batches:
             out = np.empty(len(batch))
-            for i, text in enumerate(batch.column(own).to_pylist()):
+            for i, text in enumerate(batch.column(text_col).to_pylist()):
                 total, n = 0.0, 0
                 for t in token_ids(text):
                     total += float(gains[t].sum(dtype=np.float64))
                     n += len(t)
                 out[i] = 1 / (1 + np.exp(-np.clip(total / n + bias, -60, 60)))
-            kept = [c for c in batch.schema.names if c != own]
-            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in kept), pa.array(out)], [*kept, "score"])
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(out)], [*batch.schema.names, "score"])
 
-    marked = docs.withColumn(own, F.col(text_col))
-    schema = docs.schema.add("score", "double")
-    out = marked.mapInArrow(run, schema)
+    schema = T.StructType([*docs.schema.fields, T.StructField("score", T.DoubleType())])
+    out = docs.mapInArrow(run, schema)
     return out.withColumn("predicted", F.when(F.col("score") >= 0.5, 1).otherwise(0))
