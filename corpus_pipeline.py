@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pointloom.llm.common import discard, materialize, read_table
-from pointloom.llm.dedup_blocks import exact_dedup
+from pointloom.llm.dedup_blocks import drop_copies
 from pointloom.llm.mixing import repeat_rows, systematic_mix
 from pointloom.llm.packing import pack
 from pointloom.llm.parity_join import BROADCAST_IDS, jaccard_components
@@ -23,7 +23,7 @@ def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 
 def exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of equal texts the one with the largest id stays."""
-    return exact_dedup(docs.select(*COLUMNS)).where("kept").select(*COLUMNS)
+    return drop_copies(docs.select(*COLUMNS)).select(*COLUMNS)
 
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
