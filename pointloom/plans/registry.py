@@ -580,8 +580,8 @@ def _entries(spark, found: dict[int, np.ndarray], name: str = "cloud") -> DataFr
 
 def _known(name: str, cloud: str, entries: dict[tuple[int, int], str], rest: str = "") -> str:
     """SQL of a transform known by construction; entries that aren't given are those of the identity."""
-    each = ", ".join(f"({i}, {j}, {entries.get((i, j), '1.0' if i == j else '0.0')})" for i in range(3) for j in range(4))
-    return f"SELECT CAST({cloud} AS INT) AS {name}, CAST(i AS INT) AS i, CAST(j AS INT) AS j, {R('v', 'value')} FROM (VALUES {each}) t(i, j, v) {rest}"
+    each = (f"SELECT CAST({cloud} AS INT) AS {name}, CAST({i} AS INT) AS i, CAST({j} AS INT) AS j, {R(entries.get((i, j), '1.0' if i == j else '0.0'), 'value')} {rest}" for i in range(3) for j in range(4))
+    return " UNION ALL ".join(each)
 
 
 @query(_known("cloud", "0", {(1, 1): "cos(0.3)", (1, 2): "-sin(0.3)", (2, 1): "sin(0.3)", (2, 2): "cos(0.3)", (0, 3): "1.0", (1, 3): "2.0", (2, 3): "3.0"}))
@@ -607,7 +607,7 @@ def pick_align(spark, d):
     return _entries(spark, {0: registration.align_by_pairs(clouds, picks, 0, 1, voxel=0.01)})
 
 
-@query(_known("slice", "s", {(0, 0): "cos(0.002 * s)", (0, 1): "-sin(0.002 * s)", (1, 0): "sin(0.002 * s)", (1, 1): "cos(0.002 * s)", (0, 3): "0.01 * s"}, ", range(4) k(s)"))
+@query(_known("slice", "s", {(0, 0): "cos(0.002 * s)", (0, 1): "-sin(0.002 * s)", (1, 0): "sin(0.002 * s)", (1, 1): "cos(0.002 * s)", (0, 3): "0.01 * s"}, "FROM range(4) k(s)"))
 def slice_chain(spark, d):
     """Four slices of one cloud, each moved by a known motion; the last shares too little with the reference
     and is chained again from its neighbour."""
