@@ -94,6 +94,30 @@ def about(center: Sequence[float], r: np.ndarray) -> np.ndarray:
     return rigid(r, c - r @ c)
 
 
+def moved_in_view(m: np.ndarray, right: Sequence[float], forward: Sequence[float], dx: float, dy: float, speed: float, scene: np.ndarray | None = None) -> np.ndarray:
+    """``m`` followed by a shift in the view plane, as a drag by (dx, dy) pixels at a hundredth of the speed each.
+
+    Directions are the camera's; ``scene`` is the rotation it sees the cloud under.
+    """
+    up = np.cross(forward, right)
+    plane = np.stack([-np.asarray(right, float), up / np.linalg.norm(up)])
+    shift = 0.01 * speed * np.array([dx, dy]) @ plane
+    return rigid(np.eye(3), shift if scene is None else scene.T @ shift) @ m
+
+
+def pushed(m: np.ndarray, forward: Sequence[float], speed: float, away: bool = True, scene: np.ndarray | None = None) -> np.ndarray:
+    """``m`` followed by a step of half the speed along the view, away from the camera or towards it."""
+    shift = np.asarray(forward, float) * speed * (0.5 if away else -0.5)
+    return rigid(np.eye(3), shift if scene is None else scene.T @ shift) @ m
+
+
+def turned_in_view(m: np.ndarray, centroid: Sequence[float], right: Sequence[float], yaw: float, pitch: float, scene: np.ndarray | None = None) -> np.ndarray:
+    """``m`` followed by yaw about the vertical and pitch about the camera's right, both through the moved centroid."""
+    back = np.eye(3) if scene is None else scene.T
+    r = axis_angle(back @ np.asarray(right, float), pitch) @ axis_angle(back @ np.array([0.0, 0.0, 1.0]), yaw)
+    return about(m[:3, :3] @ np.asarray(centroid, float) + m[:3, 3], r) @ m
+
+
 def turn(p: Point, axis: str, angle: Column) -> Point:
     """Rotate each point by its own angle; any axis but 'x' and 'y' is z."""
     c, s = F.cos(angle), F.sin(angle)

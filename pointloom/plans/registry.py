@@ -614,7 +614,8 @@ def slice_chain(spark, d):
     p, m = _sparse(spark, d), F.pmod(F.xxhash64("vec_id"), F.lit(100))
     sliced = None
     for s in range(4):
-        own = p.where((m >= 20 * s) & (m < 20 * s + (70 if s == 0 else 60))) if s < 3 else p.where(m >= 64)
+        low, high = ((0, 70), (20, 65), (45, 90), (66, 100))[s]
+        own = p.where((m >= low) & (m < high))
         back = np.linalg.inv(G.rigid(G.rotation("z", 0.002 * s), (0.01 * s, 0, 0)))
         own = registration.transformed(own, back).withColumn("slice", F.lit(s))
         sliced = own if sliced is None else sliced.union(own)
