@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 
 from pointloom.llm.common import broadcast_if_small, materialize, stable, text_or_empty, word_count
 
-BUCKET_ROWS = 2_000
+BUCKET_ROWS = 500
 #: Rows whose five numbers are broadcast at most, which spares the documents a shuffle; beyond, they take one.
 BROADCAST_COPIES = 500_000
 #: Classes of size to each doubling; a long size has 63 doublings, so there are at most 64 times as many.

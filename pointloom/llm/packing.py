@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 from pointloom.llm.common import WORD, stable, text_or_empty
 
 LENGTHS = (512, 1024, 2048, 4096)
-GROUP_PIECES = 20_000
+GROUP_PIECES = 5_000
 GROUP_BYTES = 16 << 20
 #: Tasks at most; beyond, a task takes groups one after the other.
 MAX_TASKS = 100_000
