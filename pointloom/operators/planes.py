@@ -44,7 +44,7 @@ def _planes_through(p: np.ndarray) -> np.ndarray:
     return np.hstack([n, -(n * p[:, 0]).sum(1, keepdims=True)])
 
 
-def _candidates(points: DataFrame, cfg: PlaneConfig, round_: int, count: int) -> np.ndarray:
+def _candidates(points: DataFrame, cfg: PlaneConfig, round_: int, count: int | None = None) -> np.ndarray:
     """``iterations`` planes through seeded random triples; 3 * iterations points come to the driver.
 
     Where the cloud has fewer, or some lie on a line, the points are dealt into triples again. There are
@@ -53,6 +53,7 @@ def _candidates(points: DataFrame, cfg: PlaneConfig, round_: int, count: int) ->
     order, most, parts = F.xxhash64(*doubles(xyz()), F.lit(cfg.seed + round_)), 3 * cfg.iterations, 1 << 30
     few = points.select(*doubles(xyz()), F.pmod(order, F.lit(parts)).alias("_h"))
     # A threshold first, so that about so many points are sorted and sent, however many tasks there are.
+    count = points.count() if count is None else count
     share = (most + 6 * (most**0.5 + 1)) / max(count, 1)
     few = few.where(F.col("_h") < int(share * parts)) if share < 1 else few
     rows = few.orderBy("_h").limit(most).drop("_h").collect()
