@@ -39,7 +39,8 @@ _NEAR = 48
 _UUID = re.compile(r"[0-9a-fA-F]{8}(-[0-9a-fA-F]{4}){3}-[0-9a-fA-F]{12}")
 _LETTERS = re.compile(r"[a-z]{3,}")
 _WORDS = re.compile(r"[a-z]{3,20}")
-DICTIONARY_WORDS = 5_000
+#: The dictionary's words at most, and how often each must occur: a secret that is said once is no word.
+DICTIONARY_WORDS, LEAST_COUNT = 5_000, 5
 FEATURES = ("length", "digits", "upper", "lower", "other", "transitions", "entropy", "hex", "dictionary", "language", "vowels", "longest_word", "cue", "against", "assigned", "quoted", "uuid", "block", "repeats", "test_path")
 
 
@@ -73,7 +74,10 @@ class Language:
 
 
 def learn_language(docs: DataFrame, text_col: str = "text", most: int = DICTIONARY_WORDS) -> Language:
-    """Words of 3 to 20 letters a-z, counted over all texts; ties go by the word. Empty input gives no words."""
+    """Words of 3 to 20 letters a-z that occur ``LEAST_COUNT`` times, counted over all texts; ties go by the word.
+
+    Empty input gives no words.
+    """
 
     def run(batches):
         for batch in batches:
@@ -83,7 +87,7 @@ def learn_language(docs: DataFrame, text_col: str = "text", most: int = DICTIONA
             yield pa.RecordBatch.from_arrays([pa.array(list(counts), pa.string()), pa.array(list(counts.values()), pa.int64())], ["word", "n"])
 
     counts = docs.select(F.col(text_col).alias("text")).mapInArrow(run, "word string, n bigint").groupBy("word").agg(F.sum("n").alias("n"))
-    return Language.of({r["word"]: r["n"] for r in counts.orderBy(F.desc("n"), "word").limit(most).collect()})
+    return Language.of({r["word"]: r["n"] for r in counts.where(F.col("n") >= LEAST_COUNT).orderBy(F.desc("n"), "word").limit(most).collect()})
 
 
 def features(text: str, a: int, b: int, path: str = "", language: Language | None = None) -> list[float]:
