@@ -160,10 +160,33 @@ def op8_secret_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_candidates", "n_secrets", F.array_join(spans, ",").alias("spans"))
 
 
+def op11_winnowing_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from pointloom.llm.winnowing import decontaminate
+
+    found = decontaminate(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "benchmark"))
+    items = F.sha2(F.array_join("items", ","), 256).alias("items_sha256")
+    return found.select("doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), items, "contaminated")
+
+
+OP11_SQL = r"""
+WITH low AS (SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents),
+item AS (SELECT CAST(item_id AS VARCHAR) AS item_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM benchmark),
+item_windows AS (SELECT DISTINCT item_id, t, array_to_string(w[i:i + t - 1], ' ') AS win
+                 FROM (SELECT item_id, w, least(10, len(w)) AS t, unnest(generate_series(1, len(w) - least(10, len(w)) + 1)) AS i FROM item WHERE len(w) > 0)),
+doc_windows AS (SELECT r, i, t, array_to_string(w[i:i + t - 1], ' ') AS win
+                FROM (SELECT r, w, t, unnest(generate_series(1, len(w) - t + 1)) AS i FROM low, (SELECT DISTINCT t FROM item_windows) WHERE len(w) >= t)),
+met AS (SELECT r, i, d.t AS t, item_id FROM doc_windows d JOIN item_windows USING (win)),
+words AS (SELECT r, count(DISTINCT p) AS n_hit FROM (SELECT r, unnest(generate_series(i, i + t - 1)) AS p FROM (SELECT DISTINCT r, i, t FROM met)) GROUP BY r),
+items AS (SELECT r, count(DISTINCT item_id) AS n_items, string_agg(DISTINCT item_id, ',' ORDER BY item_id) AS ids FROM met GROUP BY r)
+SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items, sha256(coalesce(ids, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
+FROM low LEFT JOIN words USING (r) LEFT JOIN items USING (r)
+"""
+
+
 def queries() -> dict[str, Query]:
     found = {k: v for k, v in globals().items() if k.startswith("op") and callable(v)}
     return dict(sorted(found.items(), key=lambda x: int(x[0][2:].split("_")[0])))
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_block_naming_dedup": OP2_SQL, "op3_preference_formatting": OP3_SQL, "op6_parity_sketch_join": OP6_SQL}
+    return {"op2_block_naming_dedup": OP2_SQL, "op3_preference_formatting": OP3_SQL, "op6_parity_sketch_join": OP6_SQL, "op11_winnowing_decontamination": OP11_SQL}
