@@ -183,6 +183,13 @@ FROM low LEFT JOIN words USING (r) LEFT JOIN items USING (r)
 """
 
 
+def op12_cross_tokenizer_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from pointloom.llm.cross_tokens import TOKENIZERS, align_tokenizers, read_file
+
+    a, b = (read_file(f"{TOKENIZERS}/{name}") for name in ("byte_bpe_50k.json", "piece_bpe_32k.model"))
+    return align_tokenizers(read_table(spark, sf_dir, "documents"), a, b)
+
+
 def queries() -> dict[str, Query]:
     found = {k: v for k, v in globals().items() if k.startswith("op") and callable(v)}
     return dict(sorted(found.items(), key=lambda x: int(x[0][2:].split("_")[0])))
