@@ -190,10 +190,72 @@ def op12_cross_tokenizer_alignment(spark: SparkSession, sf_dir: str) -> DataFram
     return align_tokenizers(read_table(spark, sf_dir, "documents"), a, b)
 
 
+def op13_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from pointloom.llm.conversation_repair import damaged, repair
+
+    return repair(damaged(read_table(spark, sf_dir, "conversations")))
+
+
+def _op13_sql() -> str:
+    """The least (cost, audit) of each state of the role grammar, row by row; a state is one sortable text."""
+
+    def ext(x: str, cost: str, letters: str, *lines: str) -> str:
+        said = "".join(f" || chr(10) || {line}" for line in lines)
+        end = f"instr({x}, chr(31))"
+        return f"(lpad(CAST(CAST(left({x}, 8) AS INT) + {cost} AS VARCHAR), 8, '0') || substr({x}, 9, {end} - 9) || '{letters}' || substr({x}, {end}){said})"
+
+    def to(role: str, sources: str, before: str, inserted: str) -> list[str]:
+        """Ways to end in ``role``: from states that it may follow, or from those where another goes in first."""
+        kept, changed, other = "role || ':' || text", f"'{role}:' || text", f"'{inserted}:'"
+        on = f"CASE WHEN NOT gone AND initial = '{role[0]}' THEN"
+        out = []
+        for x in sources:
+            out += [f"{on} {ext(x, 'cut', 'K', kept)} END", f"CASE WHEN NOT gone THEN {ext(x, '2 + cut', 'R', changed)} END"]
+        for x in before:
+            out += [f"{on} {ext(x, '2 + cut', 'IK', other, kept)} END", f"CASE WHEN NOT gone THEN {ext(x, '4 + cut', 'IR', other, changed)} END"]
+        return out
+
+    drop = lambda x: ext(x, "3", "D")
+    least = lambda *ways: f"least({', '.join(ways)})"
+    system = f"CASE WHEN NOT gone AND initial = 's' THEN {ext('n', 'cut', 'K', """role || ':' || text""")} END"
+    last = least("n", "p", ext("o", "2", "I", "'assistant:'"), ext("h", "4", "II", "'user:'", "'assistant:'"))
+    return rf"""
+WITH RECURSIVE named AS (SELECT row_number() OVER () AS c, conv_id FROM (SELECT DISTINCT conv_id FROM conversations)),
+said AS (SELECT c, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text, coalesce(CAST(t.conv_id AS VARCHAR), ' ') || ':' || coalesce(CAST(turn AS VARCHAR), ' ') AS k
+         FROM conversations t JOIN named ON t.conv_id IS NOT DISTINCT FROM named.conv_id),
+crc AS (SELECT DISTINCT k, 0 AS i, CAST(4294967295 AS BIGINT) AS v FROM said
+        UNION ALL SELECT k, i + 1, list_reduce([xor(v, CAST(ascii(substr(k, CAST(i + 1 AS BIGINT), 1)) AS BIGINT)), 0, 0, 0, 0, 0, 0, 0, 0], lambda x, y: xor(x >> 1, (x & 1) * 3988292384)) FROM crc WHERE i < length(k)),
+codes AS (SELECT k, xor(v, 4294967295) % 20 AS code FROM crc WHERE i = length(k)),
+damaged AS (SELECT c, turn, CASE WHEN code = 4 THEN 'user' ELSE role END AS role, CASE code WHEN 1 THEN '' WHEN 2 THEN regexp_replace(text, '[.!?]', '', 'g') ELSE text END AS text,
+                   unnest(CASE WHEN code = 3 THEN [1, 2] ELSE [1] END) AS copy FROM said JOIN codes USING (k) WHERE code <> 0),
+sorted AS (SELECT *, left(role, 1) AS initial, row_number() OVER (PARTITION BY c ORDER BY turn NULLS FIRST, role, text, copy) AS i FROM damaged),
+again AS (SELECT *, row_number() OVER (PARTITION BY c, role, text ORDER BY i) > 1 AS twice, lag(initial) OVER (PARTITION BY c ORDER BY i) AS before FROM sorted),
+faults AS (SELECT *, CASE WHEN NOT regexp_matches(text, '[^ 	-
+]') THEN 'blank' WHEN twice THEN 'duplicate' WHEN NOT regexp_matches(text, '[.!?][ 	-
+]*$') THEN 'truncated' ELSE '' END AS fault FROM again),
+rows AS (SELECT *, fault IN ('blank', 'duplicate') AS gone, CAST(fault = 'truncated' AS INT) AS cut FROM faults),
+parsed AS (SELECT c, CAST(0 AS BIGINT) AS i, '00000000' || chr(31) AS n, CAST(NULL AS VARCHAR) AS h, CAST(NULL AS VARCHAR) AS o, CAST(NULL AS VARCHAR) AS p FROM named
+           UNION ALL
+           SELECT c, rows.i, {drop('n')}, {least(drop('h'), system)},
+                  {least(drop('o'), *to('user', 'nhp', 'o', 'assistant'))},
+                  {least(drop('p'), *to('assistant', 'o', 'nhp', 'user'))}
+           FROM parsed JOIN rows USING (c) WHERE rows.i = parsed.i + 1),
+ended AS (SELECT c, {last} AS best FROM (SELECT *, row_number() OVER (PARTITION BY c ORDER BY i DESC) AS z FROM parsed) WHERE z = 1),
+counts AS (SELECT c, max(turn) - min(turn) + 1 - count(DISTINCT turn) AS gaps, count(*) FILTER (fault = 'blank') AS blank, count(*) FILTER (fault = 'duplicate') AS duplicate, count(*) FILTER (fault = 'truncated') AS truncated,
+                  count(*) FILTER (before IS NOT NULL AND before || initial NOT IN ('su', 'ua', 'au')) AS illegal FROM rows GROUP BY c)
+SELECT conv_id, coalesce(gaps, 0) AS gaps, coalesce(blank, 0) AS blank, coalesce(duplicate, 0) AS duplicate, coalesce(truncated, 0) AS truncated, coalesce(illegal, 0) AS illegal,
+       CAST(left(best, 8) AS BIGINT) AS cost, substr(best, 9, instr(best, chr(31)) - 9) AS audit, sha256(substr(best, instr(best, chr(31)) + 2)) AS repaired_sha256
+FROM named JOIN ended USING (c) LEFT JOIN counts USING (c)
+"""
+
+
+OP13_SQL = _op13_sql()
+
+
 def queries() -> dict[str, Query]:
     found = {k: v for k, v in globals().items() if k.startswith("op") and callable(v)}
     return dict(sorted(found.items(), key=lambda x: int(x[0][2:].split("_")[0])))
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_block_naming_dedup": OP2_SQL, "op3_preference_formatting": OP3_SQL, "op6_parity_sketch_join": OP6_SQL, "op11_winnowing_decontamination": OP11_SQL}
+    return {"op2_block_naming_dedup": OP2_SQL, "op3_preference_formatting": OP3_SQL, "op6_parity_sketch_join": OP6_SQL, "op11_winnowing_decontamination": OP11_SQL, "op13_conversation_repair": OP13_SQL}
