@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import re
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -20,19 +18,13 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-#: What a plan may consist of if its rows come in the same order each time.
-_PLAIN_NODES = frozenset({"Project", "Filter", "Relation", "LogicalRelation", "LocalRelation", "SubqueryAlias", "Range"})
-
-
-def stable(docs: DataFrame) -> DataFrame:
-    """``docs`` as a source whose rows come in the same order each time it is read.
+def numbered(docs: DataFrame, name: str = "numbered") -> DataFrame:
+    """``docs``, written once with a number ``_row`` for each row, which holds however often it is read.
 
-    A plain scan with deterministic expressions is one already; anything else (shuffles, limits, samples,
-    Python, random numbers) is written first, so that row ids taken in two reads of it agree.
+    A place of reading must not name rows: it follows the splits of a scan, and those follow the executors at
+    hand, so two jobs over one table may number its rows differently.
     """
-    plan = docs._jdf.queryExecution().optimizedPlan()
-    nodes = {m[1] for line in plan.toString().splitlines() if (m := re.match(r"[\s:+|!*-]*([A-Za-z]+)", line))}
-    return docs if nodes <= _PLAIN_NODES and plan.deterministic() else materialize(docs, "rows")
+    return materialize(docs.withColumn("_row", F.monotonically_increasing_id()), name)
 
 
 def hashed_sample(rows: DataFrame, most: int, *ids: str) -> DataFrame:

@@ -6,9 +6,11 @@ name. Names come from comparing the blocks and pairs themselves, never from a ha
 documents of one length have the same name exactly when their texts are the same.
 
 Scale: texts cross the network once, to be sorted by block; everything later moves integers only.
-A block that very many documents hold is spread over ``SALTS`` sorts, and the few local names it gets
-are joined into one afterwards; which blocks are that frequent is found from counts by block hash, and
-since each has at least one in ``HOT_SHARE`` of all blocks there are at most ``HOT_SHARE`` of them.
+A block that very many documents hold is spread over as many sorts as keep each below ``BLOCK_ROWS``, and the
+local names it gets are joined into one afterwards. Which blocks are that frequent is found from counts by block
+hash; the bound rises with the data only so far that there are at most ``MOST_HOT`` of them.
+
+Rows are written once with their numbers, and everything after reads those.
 """
 
 from __future__ import annotations
@@ -16,11 +18,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from pointloom.llm.common import broadcast_if_small, discard, materialize, stable, text_or_empty
+from pointloom.llm.common import broadcast_if_small, discard, materialize, numbered, text_or_empty
 
 BLOCK_CHARS = 4096
-SALTS = 32
-HOT_SHARE = 512
+#: Equal blocks that are sorted together at most; frequent blocks and their parts that are broadcast at most.
+BLOCK_ROWS, MOST_HOT = 50_000, 100_000
 #: Numbers of dropped rows that are broadcast at most.
 BROADCAST_DROPPED = 1_000_000
 
@@ -36,7 +38,7 @@ def _blocks(docs: DataFrame, block_chars: int) -> DataFrame:
     return docs.select("_row", size.alias("_chars"), F.posexplode(whole).alias("_pos", "_block"))
 
 
-def name_documents(docs: DataFrame, block_chars: int = BLOCK_CHARS, hot_share: int = HOT_SHARE) -> DataFrame:
+def name_documents(docs: DataFrame, block_chars: int = BLOCK_CHARS, block_rows: int = BLOCK_ROWS) -> DataFrame:
     """Name every row of ``docs``: ``(_row, _chars, _name)``; ``docs`` must carry a unique ``_row`` and ``_text``.
 
     Rows have equal texts exactly when ``(_chars, _name)`` agree.
@@ -45,21 +47,25 @@ def name_documents(docs: DataFrame, block_chars: int = BLOCK_CHARS, hot_share: i
     counts = blocks.groupBy(F.xxhash64("_block").alias("_h")).agg(F.count("*").alias("_n"))
     counts = materialize(counts, "block-counts")
     total = counts.agg(F.sum("_n")).first()[0] or 0
-    hot = [r[0] for r in counts.where(F.col("_n") > max(1000, total // hot_share)).select("_h").collect()]
-    is_hot = F.xxhash64("_block").isin(hot) if hot else F.lit(False)
+    most = max(block_rows, total // MOST_HOT)
+    hot = counts.where(F.col("_n") > most).select("_h", F.ceil(F.col("_n") / most).cast("int").alias("_salts"))
+    any_hot = not hot.isEmpty()
+    # Broadcast: each has more than one in MOST_HOT of all blocks.
+    blocks = blocks.withColumn("_h", F.xxhash64("_block")).join(F.broadcast(hot), "_h", "left") if any_hot else blocks.withColumn("_salts", F.lit(None).cast("int"))
+    is_hot = F.col("_salts").isNotNull()
     # Each block row has an integer of its own; the least among equal blocks, sorted together, names them all.
     sort = Window.partitionBy("_block", "_salt").orderBy("_id")
     named = (
         blocks.withColumn("_id", F.monotonically_increasing_id())
-        .withColumn("_salt", F.when(is_hot, F.pmod(F.hash("_row"), F.lit(SALTS))).otherwise(F.lit(0)))
+        .withColumn("_salt", F.when(is_hot, F.pmod(F.hash("_row"), F.col("_salts"))).otherwise(F.lit(0)))
         .withColumn("_name", F.first("_id").over(sort))
         .select("_row", "_chars", "_pos", "_name", F.when(is_hot & (F.col("_name") == F.col("_id")), F.col("_block")).alias("_seen"))
     )
     named = materialize(named, "block-names")
-    if hot:
+    if any_hot:
         one = Window.partitionBy("_seen")
         local = named.where("_seen is not null").select("_name", F.min("_name").over(one).alias("_to"))
-        # Broadcast: at most hot_share blocks times SALTS rows of two integers.
+        # Broadcast: a row of two integers for each part, twice MOST_HOT at most.
         named = named.join(F.broadcast(local), "_name", "left").withColumn("_name", F.coalesce("_to", "_name"))
     named = named.select("_row", "_chars", "_pos", "_name")
     done = named.where(F.col("_chars") <= block_chars).select("_row", "_chars", "_name")
@@ -99,7 +105,7 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     that start with an underscore as used here, are replaced. Empty input gives an empty result.
     """
     docs = docs.drop("keep_id", "group_size", "kept", "_row", "_text")
-    rows = stable(docs).withColumn("_row", F.monotonically_increasing_id())
+    rows = numbered(docs)
     return rows.join(materialize(_marks(rows, id_col, text_col, block_chars), "document-marks"), "_row").drop("_row")
 
 
@@ -109,6 +115,6 @@ def drop_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     Only the numbers of dropped rows are joined: up to ``BROADCAST_DROPPED`` are broadcast, which spares the
     texts a second shuffle; beyond, texts are shuffled once more.
     """
-    rows = stable(docs.drop("_row", "_text")).withColumn("_row", F.monotonically_increasing_id())
+    rows = numbered(docs.drop("_row", "_text"))
     dropped = _marks(rows, id_col, text_col, block_chars).where("NOT kept").select("_row")
     return rows.join(broadcast_if_small(dropped, BROADCAST_DROPPED), "_row", "left_anti").drop("_row")

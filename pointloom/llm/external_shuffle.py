@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from pointloom.llm.common import materialize, stable, text_or_empty
+from pointloom.llm.common import materialize, text_or_empty
 
 BUCKET_BYTES = 32 << 20
 #: Tasks of the second pass at most; beyond, a task takes buckets one after the other.
@@ -46,8 +46,9 @@ def external_shuffle(docs: DataFrame, path: str, shards: int = 8, seed: int = 29
     Adds ``bucket``, ``shard`` and ``slot`` (the place within the shard, gapless from 0); such columns
     of ``docs`` are replaced. Rows with null ids or texts are kept. Rows of one id go by a hash of all their
     columns (maps apart), so reruns agree up to rows that are the same. Empty input writes an empty table.
+    ``docs`` is read more than once and must give the same rows each time, in any order, as tables do.
     """
-    docs = stable(docs.drop("bucket", "shard", "slot", "_bucket", "_place", "_tie"))
+    docs = docs.drop("bucket", "shard", "slot", "_bucket", "_place", "_tie")
     size = F.octet_length(text_or_empty(text_col)) + 1
     total = docs.agg(F.sum(size), F.count("*")).first()
     buckets, rows = max(1, -(-(total[0] or 0) // bucket_bytes)), total[1]

@@ -16,7 +16,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from pointloom.llm.common import broadcast_if_small, materialize, stable, text_or_empty, word_count
+from pointloom.llm.common import broadcast_if_small, materialize, numbered, text_or_empty, word_count
 
 BUCKET_ROWS = 500
 #: Rows whose five numbers are broadcast at most, which spares the documents a shuffle; beyond, they take one.
@@ -58,7 +58,7 @@ def systematic_mix(docs: DataFrame, seed: int = 17, id_col: str = "doc_id", sour
     too; empty input gives no rows.
     """
     docs = docs.drop("size", "source_size", "target", "copies", "_row")
-    rows = stable(docs).withColumn("_row", F.monotonically_increasing_id())
+    rows = numbered(docs)
     size = word_count(text_or_empty()) if size is None else size
     slim = rows.select("_row", F.col(source_col).alias("source"), size.cast("long").alias("size"), F.xxhash64(F.lit(seed), F.col(id_col)).alias("_h"))
     slim = slim.withColumn("_class", F.floor(F.log2(F.col("size") + 1) * CLASSES).cast("int"))

@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from pointloom.llm.common import WORD, stable, text_or_empty
+from pointloom.llm.common import WORD, text_or_empty
 
 LENGTHS = (512, 1024, 2048, 4096)
 GROUP_PIECES = 5_000
@@ -126,17 +126,16 @@ def pack(docs: DataFrame, permitted: tuple[int, ...] = LENGTHS, id_col: str = "d
     """
     permitted = tuple(sorted(set(permitted)))
     top = permitted[-1]
-    rows = stable(docs)
     kind = dict(docs.dtypes)[id_col]
     row = F.monotonically_increasing_id().alias("row")
     if size is None:
         text = text_or_empty(text_col)
-        whole = rows.select(F.col(id_col).alias("doc_id"), row, text.alias("text"))
+        whole = docs.select(F.col(id_col).alias("doc_id"), row, text.alias("text"))
         pieces = whole.mapInArrow(_cut(top), f"doc_id {kind}, row bigint, start bigint, size bigint, text string")
         # A piece has a whole document or the words of some bytes, so both bound a group's pieces.
-        total = rows.agg(F.count("*"), F.sum(F.octet_length(text))).first()
+        total = docs.agg(F.count("*"), F.sum(F.octet_length(text))).first()
     else:
-        sized = rows.select(F.col(id_col).alias("doc_id"), row, size.cast("long").alias("n")).where("n > 0")
+        sized = docs.select(F.col(id_col).alias("doc_id"), row, size.cast("long").alias("n")).where("n > 0")
         pieces = sized.withColumn("start", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n") - 1, F.lit(top).cast("long"))))
         pieces = pieces.select("doc_id", "row", "start", F.least(F.col("n") - F.col("start"), F.lit(top)).alias("size"), F.lit(None).cast("string").alias("text"))
         total = sized.agg(F.sum(F.ceil(F.col("n") / top)), F.lit(0)).first()

@@ -79,7 +79,7 @@ def op10_subword_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     fold = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 3
     model = fit(docs, read_table(spark, sf_dir, "labels").where(fold != 1))
     # The text goes through the scorer only as its input.
-    scored = score(docs.select("doc_id", (fold == 1).alias("held_out"), "text"), model)
+    scored = score(docs.select("doc_id", F.coalesce(fold == 1, F.lit(False)).alias("held_out"), "text"), model)
     return scored.select("doc_id", "held_out", "score", "predicted")
 
 

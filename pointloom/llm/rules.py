@@ -156,11 +156,13 @@ def learn_rules(x: dict[str, np.ndarray], bad: np.ndarray, max_rules: int = 16,
 def fit_rules(statistics: DataFrame, labels: DataFrame, id_col: str = "doc_id", label_col: str = "quality", max_labelled: int = MAX_LABELLED) -> list[Rule]:
     """Rules from the statistics of labelled rows (label 0 is bad); rows with a null label are left out.
 
-    A document with several labels counts once, by the least of them.
+    A document with several labels counts once, by the least of them; of several rows of an id the one with
+    the least statistics counts.
     """
     known = labels.where(F.col(label_col).isNotNull() & F.col(id_col).isNotNull()).groupBy(id_col).agg(F.min(label_col).alias("_label"))
     chosen = hashed_sample(known, max_labelled, id_col)
-    rows = statistics.select(id_col, *FEATURES).join(F.broadcast(chosen), id_col).collect()  # max_labelled ids at most
+    own = statistics.select(id_col, F.struct(*FEATURES).alias("_s")).join(F.broadcast(chosen), id_col)  # max_labelled ids at most
+    rows = own.groupBy(id_col).agg(F.min("_s").alias("_s"), F.first("_label").alias("_label")).select(id_col, "_s.*", "_label").collect()
     rows.sort(key=lambda r: (crc32(repr(r[id_col]).encode()), tuple(r)))
     x = {f: np.array([r[f] for r in rows], float) for f in FEATURES}
     return learn_rules(x, np.array([r["_label"] == 0 for r in rows], bool))

@@ -16,11 +16,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from pointloom.llm.common import hashed_sample
+from pointloom.llm.common import hashed_sample, materialize
 from pointloom.llm.words import word_hashes
 
 BUCKETS = 1 << 16
@@ -28,6 +28,8 @@ DIM = 8
 SIZES = (3, 4)
 #: Labelled rows that the model is learned from at most, taken in order of a hash of the id.
 MAX_TRAIN = 3000
+#: And of their features, which the driver takes.
+MAX_BYTES = 256 << 20
 EPOCHS = 8
 RATE = 0.5
 _CHUNK = 1 << 20
@@ -113,18 +115,22 @@ def train(rows: list[tuple[np.ndarray, np.ndarray, int]], epochs: int = EPOCHS,
     return np.append(vectors @ (layer[:, 1] - layer[:, 0]), bias[1] - bias[0]).astype(np.float64)
 
 
-def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", max_train: int = MAX_TRAIN) -> np.ndarray:
-    """A model from the labelled rows of ``docs``; rows whose label is null or absent are not used.
+def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", max_train: int = MAX_TRAIN, max_bytes: int = MAX_BYTES) -> np.ndarray:
+    """A model from the labelled rows of ``docs``; rows whose label or id is null or absent are not used.
 
-    A document with both labels counts as class 0.
+    A document with both labels counts as class 0; of several rows of an id the one with the least text counts.
+    At most ``max_train`` documents are sampled, and of them as many as have features of ``max_bytes`` together.
     """
     known = labels.where(F.col(label_col).isin(0, 1)).groupBy(F.col(id_col).alias("id")).agg(F.min(label_col).cast("int").alias("label"))
     known = hashed_sample(known.where("id is not null"), max_train, "id")
     texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-    chosen = texts.join(F.broadcast(known), "id").select("id", "text", "label")  # max_train ids at most
+    chosen = texts.join(F.broadcast(known), "id").groupBy("id", "label").agg(F.min("text").alias("text")).select("id", "text", "label")  # max_train ids at most
     schema = f"id {dict(docs.dtypes)[id_col]}, label int, index binary, weight binary"
     # Packed, since lists of Python numbers would take the driver twenty times the memory.
-    rows = sorted(chosen.mapInArrow(_featurise, schema).collect())
+    packed = materialize(chosen.mapInArrow(_featurise, schema), "features")
+    before = Window.orderBy(F.xxhash64("id"), "id").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    sized = packed.select("id", F.sum(F.octet_length("index") + F.octet_length("weight")).over(before).alias("_bytes"))  # max_train ids at most
+    rows = sorted(packed.join(F.broadcast(sized.where(F.col("_bytes") <= max_bytes).select("id")), "id").collect())
     return train([(np.frombuffer(r["index"], np.int32), np.frombuffer(r["weight"], np.float32), r["label"]) for r in rows])
 
 

@@ -8,8 +8,9 @@ from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from pointloom.llm.common import word_count
-from pointloom.llm.dedup_blocks import exact_dedup
+from pointloom.llm import dedup_blocks, mixing
+from pointloom.llm.common import materialize, word_count
+from pointloom.llm.dedup_blocks import drop_copies, exact_dedup, name_documents
 from pointloom.llm.external_shuffle import external_shuffle
 from pointloom.llm.mixing import repeat_rows, source_targets, systematic_mix
 
@@ -37,6 +38,7 @@ def test_dedup_is_brute_force(spark, block):
 
 
 def test_hot_blocks_are_joined_again(spark, monkeypatch):
+    monkeypatch.setattr(name_documents, "__defaults__", (4096, 100))
     rows = [(i, "same text" if i % 3 else f"other {i}", "s", None) for i in range(3200)]
     got = exact_dedup(docs(spark, rows), block_chars=4)
     assert {r.doc_id: (r.keep_id, r.group_size, r.kept) for r in got.collect()} == brute(rows)
@@ -126,3 +128,44 @@ def test_shuffle_is_whole_balanced_and_repeats(spark, tmp_path):
     order = [r.doc_id for r in sorted(runs[0], key=lambda r: (r.shard, r.slot))]
     assert sum(a is not None and b is not None and abs(a - b) == 1 for a, b in zip(order, order[1:], strict=False)) < 20
     assert external_shuffle(docs(spark, []), str(tmp_path / "none")).count() == 0
+
+
+def reading_anew(monkeypatch, spark, module):
+    """Every write is followed by another number of splits, as when executors come and go."""
+    from pointloom.llm import common
+
+    calls = []
+
+    def write(df, name):
+        out = materialize(df, name)
+        calls.append(name)
+        spark.conf.set("spark.sql.leafNodeDefaultParallelism", str(3 + 5 * len(calls) % 13))
+        return out
+
+    for m in (module, common):
+        monkeypatch.setattr(m, "materialize", write)
+    return calls
+
+
+@pytest.fixture
+def in_files(spark, tmp_path):
+    rows = [(i, f"text {i // 3 if i % 2 else i} " * (1 + i % 7), f"s{i % 3}", None) for i in range(900)]
+    docs(spark, rows).repartition(6).write.parquet(str(tmp_path / "docs"))
+    yield spark.read.parquet(str(tmp_path / "docs")), rows
+    spark.conf.unset("spark.sql.leafNodeDefaultParallelism")
+
+
+def test_dedup_holds_when_splits_change(spark, monkeypatch, in_files):
+    table, rows = in_files
+    calls = reading_anew(monkeypatch, spark, dedup_blocks)
+    assert {r.doc_id: (r.keep_id, r.group_size, r.kept) for r in exact_dedup(table, block_chars=8).collect()} == brute(rows)
+    assert sorted(r.doc_id for r in drop_copies(table, block_chars=8).collect()) == sorted(i for i, v in brute(rows).items() if v[2])
+    assert len(calls) > 5
+
+
+def test_mix_holds_when_splits_change(spark, monkeypatch, in_files):
+    table, rows = in_files
+    calls = reading_anew(monkeypatch, spark, mixing)
+    got = systematic_mix(table).collect()
+    assert sorted(r.doc_id for r in got) == list(range(900)) and len(calls) > 2
+    assert all(r.size == len(r.text.split()) for r in got)
