@@ -16,7 +16,7 @@ COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 
 
 def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the classifier rejects go."""
+    """Documents that the classifier rejects go; it learns from all labels, of whatever fold."""
     model = fit(docs, read_table(spark, sf_dir, "labels"))
     return score(docs.select(*COLUMNS), model).where("predicted = 1").select(*COLUMNS)
 
