@@ -33,6 +33,9 @@ _B_BITS = 20
 BROADCAST_PAIRS = 1_000_000
 _ROWS = 256
 
+#: How byte-level tokenizers part a text before they merge; a fixed value.
+BYTE_LEVEL = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
+
 Encode = Callable[[str], list[int]]
 
 
@@ -43,17 +46,35 @@ def _byte_chars() -> dict[str, int]:
     return {chr(b): b for b in own} | {chr(256 + i): b for i, b in enumerate(rest)}
 
 
+def _in_merge_order(spec: dict, pieces: list[bytes], chars: dict[str, int]) -> bool:
+    """Whether ids follow from merges alone, as ranks do: single bytes first, then what each merge makes."""
+    if spec.get("normalizer") or spec["pre_tokenizer"] != {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": True}:
+        return False
+    pairs = [m.split(" ") if isinstance(m, str) else m for m in spec["model"]["merges"]]
+    made = [bytes(chars[c] for c in a + b) for a, b in pairs]
+    return sorted(pieces[:256]) == [bytes([b]) for b in range(256)] and pieces[256 : 256 + len(made)] == made
+
+
 def byte_level(file: bytes) -> tuple[Encode, list[bytes]]:
-    """A byte-level BPE from its JSON: encoder of one space and a text, bytes of each id."""
-    from tokenizers import Tokenizer
+    """A byte-level BPE from its JSON: encoder of one space and a text, bytes of each id.
 
+    Where ids are ranks of merges, an encoder by ranks gives the same tokens in a quarter of the time.
+    """
     spec = json.loads(file)
-    own = Tokenizer.from_str(json.dumps(spec | {"added_tokens": []}))  # strings of special tokens are plain text
     chars, vocabulary = _byte_chars(), spec["model"]["vocab"]
     pieces = [b""] * (max(vocabulary.values(), default=-1) + 1)
     for piece, i in vocabulary.items():
         pieces[i] = bytes(chars[c] for c in piece) if all(c in chars for c in piece) else piece.encode()
-    return lambda text: own.encode(" " + text, add_special_tokens=False).ids, pieces
+    if _in_merge_order(spec, pieces, chars):
+        from tiktoken import Encoding
+
+        ranks = {p: i for i, p in enumerate(pieces[: 256 + len(spec["model"]["merges"])])}
+        own = Encoding("ranks", pat_str=BYTE_LEVEL, mergeable_ranks=ranks, special_tokens={})
+        return lambda text: own.encode_ordinary(" " + text), pieces
+    from tokenizers import Tokenizer
+
+    slow = Tokenizer.from_str(json.dumps(spec | {"added_tokens": []}))  # strings of special tokens are plain text
+    return lambda text: slow.encode(" " + text, add_special_tokens=False).ids, pieces
 
 
 def piece_level(file: bytes) -> tuple[Encode, list[bytes]]:
@@ -74,6 +95,7 @@ class Transducer:
         self.states = [(0, b"")]
         self.steps: list[dict[int, int]] = [{}]
         self.a_leads = [False]
+        self.closed: dict[int, str] = {}  # pairs of one token each that close a group, and the group
 
     def _state(self, lead: int, residual: bytes) -> int:
         key = (lead, residual) if residual else (0, b"")
@@ -98,11 +120,18 @@ class Transducer:
 
     def align(self, a: list[int], b: list[int]) -> tuple[list[str], list[int]]:
         """Closed groups as ``a1,a2|b1`` and the links as pairs, of two tokenizations of the same bytes."""
-        groups, links, steps, a_leads = [], [], self.steps, self.a_leads
+        groups, links, steps, a_leads, closed = [], [], self.steps, self.a_leads, self.closed
         i = j = 0
         while i < len(a):
+            x = a[i]
+            pair = x << _B_BITS | b[j]
+            if pair in closed:  # both transitions are known
+                groups.append(closed[pair])
+                links.append(pair)
+                i += 1
+                j += 1
+                continue
             i0, j0 = i, j
-            x, y = a[i], b[j]
             state = steps[0].get(x) or self.step(0, x)
             i += 1
             while state:
@@ -116,10 +145,9 @@ class Transducer:
                 token = y if a_leads[state] else x
                 to = steps[state].get(token)
                 state = self.step(state, token) if to is None else to
+            groups.append(f"{','.join(map(str, a[i0:i]))}|{','.join(map(str, b[j0:j]))}")
             if i - i0 == 1 and j - j0 == 1:
-                groups.append(f"{x}|{y}")
-            else:
-                groups.append(f"{','.join(map(str, a[i0:i]))}|{','.join(map(str, b[j0:j]))}")
+                closed[pair] = groups[-1]
         return groups, links
 
 
@@ -172,14 +200,19 @@ def align_tokenizers(docs: DataFrame, a_file: bytes, b_file: bytes, id_col: str
         loaded = _load(*files.value)
         for batch in batches:
             for at in range(0, batch.num_rows, _ROWS):
-                part, rows = batch.slice(at, _ROWS), []
+                part, rows, pairs, times, ends = batch.slice(at, _ROWS), [], [], [], [0]
                 for text in part.column("_text"):
                     n_a, n_b, groups, links = align_text(loaded, text.as_py())
                     joined = ";".join(groups)
                     digest = hashlib.sha256(joined.encode()).hexdigest() if groups else ""
-                    pairs = [{"pair": p, "n": n} for p, n in Counter(links).items()]
-                    rows.append((n_a, n_b, len(groups), len(links), digest, joined if keep_groups else None, pairs))
-                cols = [pa.array([r[i] for r in rows], f.type) for i, f in enumerate(_OWN)]
+                    counts = Counter(links)
+                    pairs += counts.keys()
+                    times += counts.values()
+                    ends.append(len(pairs))
+                    rows.append((n_a, n_b, len(groups), len(links), digest, joined if keep_groups else None))
+                cols = [pa.array([r[i] for r in rows], f.type) for i, f in enumerate(_OWN) if f.name != "pairs"]
+                both = pa.StructArray.from_arrays([pa.array(pairs, pa.int64()), pa.array(times, pa.int64())], ["pair", "n"])
+                cols.append(pa.ListArray.from_arrays(pa.array(ends, pa.int32()), both))
                 yield pa.RecordBatch.from_arrays([part.column("_row"), part.column("_id"), *cols], ["_row", "_id", *_OWN.names])
 
     slim = docs.select(F.monotonically_increasing_id().alias("_row"), F.col(id_col).alias("_id"), F.col(text_col).alias("_text"))

@@ -80,6 +80,19 @@ def test_strings_of_special_tokens_are_text(files):
     assert not {0, 1, 2} & set(piece_level(files[1])[0]("<s> </s> <unk>"))
 
 
+def test_an_encoder_by_ranks_gives_the_same_tokens(files):
+    from tokenizers import Tokenizer
+
+    own = Tokenizer.from_str(files[0].decode())
+    own.encode_special_tokens = True
+    rng = random.Random(9)
+    parts = ["don't", " 12³", "\r\n\t ", "  ", "ｆｕｌｌ", "\u2028", "e\u0301", "𝔘", "<|endoftext|>", "'LL", "…", "a" * 900, "\x00"]
+    encode = byte_level(files[0])[0]
+    for _ in range(300):
+        text = "".join(rng.choice(parts) for _ in range(rng.randint(1, 30)))
+        assert encode(text) == own.encode(" " + text, add_special_tokens=False).ids
+
+
 def test_transitions_are_remembered():
     t = Transducer([b" ab", b"c", b"cd"], [b" a", b"bc", b"b", b"cd"])
     assert t.align([0, 1], [0, 1]) == (["0,1|0,1"], [0, 1, (1 << 20) | 1])
