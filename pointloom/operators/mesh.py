@@ -10,14 +10,12 @@ from __future__ import annotations
 import heapq
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from pointloom.functions.geometry import doubles, xyz
 from pointloom.functions.grid import Grid
-from pointloom.operators.neighbors import knn_within
 from pointloom.operators.outliers import sample_points
 
 MAX_SAMPLES, MAX_DEPTH = 500_000, 8
@@ -154,23 +152,3 @@ def build_mesh(points: DataFrame, depth: int = 7, radius: float = 0.15, samples:
     # As Arrow tables, since rows of Python numbers would take the driver many times the memory.
     vertices = spark.createDataFrame(pa.table([pa.array(np.ascontiguousarray(c), k) for c, k in zip(columns, kinds, strict=True)], names))
     return vertices, spark.createDataFrame(pa.table([pa.array(np.ascontiguousarray(c), pa.int64()) for c in t.reshape(-1, 3).T], ["a", "b", "c"]))
-
-
-def estimate_normals(points: DataFrame, key: tuple[str, ...], radius: float, k: int = 30) -> DataFrame:
-    """Adds ``nx, ny, nz`` from each point's neighbours' covariance, by a neighbour join.
-
-    The 3 x 3 eigenproblem of six sums per point is solved in Arrow batches; (0, 0, 1) for few neighbours.
-    """
-    near = knn_within(points, k, radius, key)
-    t = [F.col(f"t_{c}") for c in "xyz"]
-    sums = near.groupBy(*key).agg(F.count("*").alias("n"), *(F.avg(c).alias(f"m{i}") for i, c in enumerate(t)), *(F.covar_pop(t[i], t[j]).alias(f"c{i}{j}") for i in range(3) for j in range(i, 3)))
-
-    @F.pandas_udf("struct<nx double, ny double, nz double>")
-    def smallest(n: pd.Series, a: pd.Series, b: pd.Series, c: pd.Series, d: pd.Series, e: pd.Series, f: pd.Series) -> pd.DataFrame:
-        m = np.stack([a, b, c, b, d, e, c, e, f], 1).astype(float).reshape(-1, 3, 3)
-        v = np.linalg.eigh(np.nan_to_num(m))[1][:, :, 0]
-        v[n.to_numpy() < 3] = (0.0, 0.0, 1.0)
-        return pd.DataFrame(v, columns=["nx", "ny", "nz"])
-
-    found = sums.select(*key, smallest("n", "c00", "c01", "c02", "c11", "c12", "c22").alias("_v")).select(*key, "_v.*")
-    return points.join(found, list(key))

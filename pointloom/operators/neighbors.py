@@ -1,64 +1,201 @@
-"""Neighbour joins on a grid of cells: equi-joins, no nested loops.
+"""Neighbour search in blocks of cells: one shuffle, exact, no pairs of rows in Spark.
 
-One side is copied to the 27 cells around its own, the other stays in its cell, so points within the
-cell width meet. What a join costs follows the points per cell: thin dense clouds by voxels first. A search
-without a radius chooses its cells by each group's density.
+Space is cut into cells as wide as the search radius and cells into blocks. A source point goes to its
+block, a target also to the blocks that its cell borders on, so each block finds its own neighbours: with
+blocks of eight cells a target has about two copies. Within a block, ranges of sorted cells give the candidates
+in numpy, in pieces of a bounded number of pairs. What a search costs follows the points per cell: thin
+dense clouds by voxels first. A search without a radius chooses its cells by each group's density.
 """
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 from functools import reduce
-from operator import and_
+from operator import and_, or_
 
-from pyspark.sql import Column, DataFrame, Window
+import numpy as np
+import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from pointloom.functions.geometry import doubles, xyz
+from pointloom.functions.geometry import doubles, finite, xyz
 from pointloom.functions.storage import broadcast_if_small, discard, materialize
 
 CELLS = ("cx", "cy", "cz")
+_BLOCKS = ("_bx", "_by", "_bz")
+#: Cells along a block's edge, a power of two; with the cells around it, local coordinates run from 0 to EDGE + 1.
+EDGE_BITS = 3
+EDGE = 1 << EDGE_BITS
+_SPAN = EDGE + 2
+#: Rows that a task gathers before it searches whole blocks, and pairs that it looks at together.
+_ROWS, _PAIRS = 100_000, 2_000_000
+_AROUND = np.array([(i * _SPAN + j) * _SPAN for i in (-1, 0, 1) for j in (-1, 0, 1)])
+
+
+def _named(columns: Sequence[str], prefix: str = "") -> str:
+    return "named_struct(" + ", ".join(f"'{prefix}{c}', `{c}`" for c in columns) + ")" if columns else "named_struct('_none', 0)"
+
+
+def _placed(df: DataFrame, radius: float | str, by: Sequence[str], rest: str) -> DataFrame:
+    """``by``, ``rest``, coordinates, the squared radius, block and cell of each point that can take part."""
+    usable = " AND ".join([*(f"abs(CAST({c} AS DOUBLE)) < DOUBLE('Infinity')" for c in "xyz"), *(f"`{b}` IS NOT NULL" for b in by)])
+    groups = [f"`{b}`" for b in by]
+    df = df.where(usable).selectExpr(*groups, rest, *(f"CAST({c} AS DOUBLE) AS _{c}" for c in "xyz"), f"CAST({radius} AS DOUBLE) AS _h")
+    df = df.selectExpr(*groups, "_p", "_x", "_y", "_z", "_h * _h AS _r2", *(f"floor(_{n} / _h) AS {c}" for n, c in zip("xyz", CELLS, strict=True)))
+    return df.selectExpr(*groups, "_p", "_x", "_y", "_z", "_r2", *(f"shiftright({c}, {EDGE_BITS}) AS {b}" for b, c in zip(_BLOCKS, CELLS, strict=True)), *(f"CAST({c} & {EDGE - 1} AS INT) + 1 AS {c}" for c in CELLS))
+
+
+_PLACE = f"CAST((cx * {_SPAN} + cy) * {_SPAN} + cz AS BIGINT) AS _cell"
+
+
+def in_blocks(target: DataFrame, radius: float | str, key: Sequence[str], by: Sequence[str] = (), extra: Sequence[str] = ()) -> DataFrame:
+    """Targets as ``neighbours`` meets them, each in its block and in those that its cell borders on."""
+    groups = [f"`{b}`" for b in by]
+    df = _placed(target, radius, by, f"{_named([*key, *extra], 't_')} AS _p")
+    for b, c in zip(_BLOCKS, CELLS, strict=True):
+        df = df.selectExpr("*", f"explode(CASE {c} WHEN 1 THEN array(0, -1) WHEN {EDGE} THEN array(0, 1) ELSE array(0) END) AS _o{c}")
+    moved = [f"{b} + _o{c} AS {b}" for b, c in zip(_BLOCKS, CELLS, strict=True)] + [f"{c} - _o{c} * {EDGE} AS {c}" for c in CELLS]
+    return df.selectExpr(*groups, "_p AS _t", "_x", "_y", "_z", *moved).selectExpr(*groups, *_BLOCKS, _PLACE, "_x", "_y", "_z", "_t")
+
+
+def _first_k(who: np.ndarray, at: np.ndarray, d2: np.ndarray, order: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """Of pairs in order of ``who`` the ``k`` with least (d2, order[at]) of each, and their ranks from 1."""
+    if k == 1 and len(who):
+        first = np.flatnonzero(np.diff(who, prepend=-1))
+        least = np.repeat(np.minimum.reduceat(d2, first), np.diff(np.append(first, len(who))))
+        on = np.flatnonzero(d2 == least)
+        on = on[np.lexsort((order[at[on]], who[on]))]
+    else:
+        on = np.lexsort((order[at], d2, who))
+    first = np.flatnonzero(np.diff(who[on], prepend=-1))
+    rank = np.arange(len(on)) - np.repeat(first, np.diff(np.append(first, len(on))))
+    return on[rank < k], rank[rank < k] + 1
+
+
+def _starts(table: pa.Table, columns: Sequence[str]) -> np.ndarray:
+    """Where a row differs from the one before it."""
+    if len(table) < 2:
+        return np.ones(len(table), bool)
+    new = (pc.not_equal(table[c].slice(1), table[c].slice(0, len(table) - 1)).combine_chunks() for c in columns)
+    return np.concatenate(([True], reduce(or_, (n.to_numpy(zero_copy_only=False) for n in new))))
+
+
+def _search(table: pa.Table, groups: Sequence[str], keys: Sequence[str], k: int) -> Iterator[tuple[np.ndarray, ...]]:
+    """(row of source, row of target, d2, rank, number found), for rows of whole blocks in their order."""
+    own = table["_target"].combine_chunks().to_numpy(zero_copy_only=False)
+    cell = (np.cumsum(_starts(table, groups)) - 1) * _SPAN**3 + table["_cell"].to_numpy()
+    p = np.stack([table[c].to_numpy() for c in ("_x", "_y", "_z")], 1)
+    s, t = np.flatnonzero(~own), np.flatnonzero(own)
+    if not len(s) or not len(t):
+        return
+    named = pa.Table.from_struct_array(table["_t"].combine_chunks().take(pa.array(t)))
+    order = np.empty(len(t), np.int64)
+    order[pc.sort_indices(named, sort_keys=[(f"t_{n}", "ascending") for n in keys]).to_numpy()] = np.arange(len(t))
+    by = np.lexsort((order, cell[t]))
+    t, order = t[by], order[by]
+    at_cell, r2 = cell[t], table["_r2"].to_numpy()
+    around = cell[s][:, None] + _AROUND
+    lo, hi = np.searchsorted(at_cell, around - 1, "left"), np.searchsorted(at_cell, around + 1, "right")
+    many = np.cumsum((hi - lo).sum(1))
+    a = 0
+    while a < len(s):
+        z = max(a + 1, int(np.searchsorted(many, (many[a - 1] if a else 0) + _PAIRS, "right")))
+        n, low = (hi[a:z] - lo[a:z]).ravel(), lo[a:z].ravel()
+        who = np.repeat(np.repeat(np.arange(a, z), len(_AROUND)), n)
+        at = np.repeat(low, n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+        d2 = ((p[s[who]] - p[t[at]]) ** 2).sum(1)
+        on = d2 <= r2[s[who]]
+        who, at, d2 = who[on], at[on], d2[on]
+        best, rank = _first_k(who, at, d2, order, k)
+        found = np.minimum(np.bincount(who - a, minlength=z - a), k)
+        yield s[who[best]], t[at[best]], d2[best], rank, found[who[best] - a]
+        a = z
+
+
+def neighbours(source: DataFrame, target: DataFrame, radius: float | str, k: int, key: Sequence[str], target_key: Sequence[str], by: Sequence[str] = (), extra: Sequence[str] = (), own: Sequence[str] = (), placed: bool = False) -> DataFrame:
+    """Each source point's up to ``k`` nearest targets within ``radius``, of equal distances the least target key.
+
+    Columns: ``by``, ``key``, ``own``, the source's ``s_x`` to ``s_z``, ``d2``, ``rank`` from 1, ``n_found``; of the
+    target its key, coordinates and ``extra``, their names with ``t_`` before. A radius that is an expression is of
+    columns that both sides have, the same within each group of ``by``. Points without a group or without
+    finite coordinates take no part. A block's points pass through one task together. ``placed`` targets are those
+    of ``in_blocks`` for this radius, written once for several searches.
+    """
+    groups = [*by, *_BLOCKS]
+    t = target if placed else in_blocks(target, radius, target_key, by, extra)
+    s = _placed(source, radius, by, f"{_named([*key, *own])} AS _p")
+    names_of = [f"`{b}`" for b in by]
+    of_t, of_s = (df.schema[c].dataType.simpleString() for df, c in ((t, "_t"), (s, "_p")))
+    a = s.selectExpr(*names_of, *_BLOCKS, _PLACE, "false AS _target", "_x", "_y", "_z", "_r2", "_p AS _s", f"CAST(NULL AS {of_t}) AS _t")
+    b = t.selectExpr(*names_of, *_BLOCKS, "_cell", "true AS _target", "_x", "_y", "_z", "0D AS _r2", f"CAST(NULL AS {of_s}) AS _s", "_t")
+    both = a.union(b)
+    names = [*by, "_s", "s_x", "s_y", "s_z", "d2", "rank", "n_found", "_t", "t_x", "t_y", "t_z"]
+    fields = {**{f.name: f.dataType for f in both.schema}, **dict.fromkeys(("s_x", "s_y", "s_z", "d2", "t_x", "t_y", "t_z"), T.DoubleType()), "rank": T.IntegerType(), "n_found": T.IntegerType()}
+    schema = T.StructType([T.StructField(n, fields[n]) for n in names])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def done(table: pa.Table) -> Iterator[pa.RecordBatch]:
+            table = table.combine_chunks()
+            for i, j, d2, rank, found in _search(table, groups, target_key, k):
+                i, j = pa.array(i), pa.array(j)
+                cols = [table[c].take(i) for c in (*by, "_s", "_x", "_y", "_z")]
+                cols += [pa.array(d2), pa.array(rank.astype(np.int32)), pa.array(found.astype(np.int32))]
+                cols += [table[c].take(j) for c in ("_t", "_x", "_y", "_z")]
+                yield from pa.table(cols, names).to_batches()
+
+        held, rows, enough = [], 0, _ROWS
+        for batch in batches:
+            held.append(batch)
+            rows += batch.num_rows
+            if rows >= enough:
+                table = pa.Table.from_batches(held)
+                last = int(np.flatnonzero(_starts(table, groups))[-1])
+                if last:
+                    yield from done(table.slice(0, last))
+                held, rows = table.slice(last).to_batches(), rows - last
+                enough = max(_ROWS, 2 * rows)
+        if rows:
+            yield from done(pa.Table.from_batches(held))
+
+    found = both.repartition(*groups).sortWithinPartitions(*groups).mapInArrow(run, schema)
+    return found.selectExpr(*names_of, *(f"_s.`{c}`" for c in (*key, *own)), "s_x", "s_y", "s_z", "d2", "rank", "n_found", *(f"_t.`t_{c}`" for c in target_key), "t_x", "t_y", "t_z", *(f"_t.`t_{c}`" for c in extra))
 
 
-def _around() -> Column:
-    return F.explode(F.array(*(F.struct(*(F.lit(v).alias(c) for c, v in zip(CELLS, (i, j, k), strict=True))) for i in (-1, 0, 1) for j in (-1, 0, 1) for k in (-1, 0, 1))))
+def nearest_within(source: DataFrame, target: DataFrame, radius: float, key: Sequence[str], target_key: Sequence[str], by: Sequence[str] = (), extra: Sequence[str] = ()) -> DataFrame:
+    """Each source point's nearest target within ``radius``; of equal distances the least target key."""
+    return neighbours(source, target, radius, 1, key, target_key, by, extra).drop("rank", "n_found")
 
 
-def _cells(df: DataFrame, h: float | Column, prefix: str = "") -> DataFrame:
-    return df.withColumns({c: F.floor(p / h) for c, p in zip(CELLS, doubles(xyz(prefix)), strict=True)})
+def knn_within(points: DataFrame, k: int, radius: float, key: Sequence[str], by: Sequence[str] = ()) -> DataFrame:
+    """Each point's up to ``k`` nearest within ``radius``, itself included, with ``rank`` from 1."""
+    return neighbours(points, points, radius, k, key, key, by).drop("n_found")
 
 
-def near_pairs(source: DataFrame, target: DataFrame, radius: float | Column, key: Sequence[str], target_key: Sequence[str], by: Sequence[str] = (), extra: Sequence[str] = (), own: Sequence[str] = ()) -> DataFrame:
-    """Pairs within ``radius``: the source's key, ``t_``-named target key and coordinates, ``d2``.
+def estimate_normals(points: DataFrame, key: Sequence[str], radius: float, k: int = 30, by: Sequence[str] = ()) -> DataFrame:
+    """Adds ``nx, ny, nz`` from the covariance of each point's up to ``k`` neighbours within ``radius``.
 
-    A radius that is a column is made of ``own``, columns that both sides have, the same within each group.
+    The 3 x 3 eigenproblem of six sums per point is solved in Arrow batches; (0, 0, 1) for fewer than three.
     """
-    s = source.select(*by, *own, *key, *(c.alias(f"s_{n}") for c, n in zip(doubles(xyz()), "xyz", strict=True)))
-    t = target.select(*by, *own, *(F.col(k).alias(f"t_{k}") for k in target_key), *(c.alias(f"t_{n}") for c, n in zip(doubles(xyz()), "xyz", strict=True)), *(F.col(e).alias(f"t_{e}") for e in extra))
-    spread = _cells(s, radius, "s_").withColumn("_o", _around())
-    spread = spread.withColumns({c: F.col(c) + F.col(f"_o.{c}") for c in CELLS}).drop("_o")
-    met = spread.join(_cells(t, radius, "t_").drop(*own), [*by, *CELLS]).drop(*CELLS)
-    d2 = sum((F.col(f"s_{n}") - F.col(f"t_{n}")) ** 2 for n in "xyz")
-    return met.withColumn("d2", d2).where(F.col("d2") <= radius * radius).drop(*own)
+    near = knn_within(points, k, radius, key, by)
+    t = [F.col(f"t_{c}") for c in "xyz"]
+    sums = near.groupBy(*by, *key).agg(F.count("*").alias("n"), *(F.covar_pop(t[i], t[j]).alias(f"c{i}{j}") for i in range(3) for j in range(i, 3)))
 
+    @F.pandas_udf("struct<nx double, ny double, nz double>")
+    def smallest(n: pd.Series, a: pd.Series, b: pd.Series, c: pd.Series, d: pd.Series, e: pd.Series, f: pd.Series) -> pd.DataFrame:
+        m = np.stack([a, b, c, b, d, e, c, e, f], 1).astype(float).reshape(-1, 3, 3)
+        v = np.linalg.eigh(np.nan_to_num(m))[1][:, :, 0]
+        v[n.to_numpy() < 3] = (0.0, 0.0, 1.0)
+        return pd.DataFrame(v, columns=["nx", "ny", "nz"])
 
-def nearest_within(source: DataFrame, target: DataFrame, radius: float, key: Sequence[str], target_key: Sequence[str], by: Sequence[str] = (), extra: Sequence[str] = ()) -> DataFrame:
-    """Each source point's nearest target within ``radius``; of equal distances the least target key."""
-    pairs = near_pairs(source, target, radius, key, target_key, by, extra)
-    rest = ["d2", *(f"t_{k}" for k in target_key), *(f"t_{n}" for n in "xyz"), *(f"t_{e}" for e in extra)]
-    own = [*by, *key, *(f"s_{n}" for n in "xyz")]
-    return pairs.groupBy(*own).agg(F.min(F.struct(*rest)).alias("_n")).select(*own, "_n.*")
-
-
-def knn_within(points: DataFrame, k: int, radius: float, key: Sequence[str], by: Sequence[str] = ()) -> DataFrame:
-    """Each point's up to ``k`` nearest within ``radius``, itself included, with ``rank`` from 1."""
-    pairs = near_pairs(points, points, radius, key, key, by)
-    w = Window.partitionBy(*by, *key).orderBy("d2", *(f"t_{c}" for c in key))
-    return pairs.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
+    found = sums.select(*by, *key, smallest("n", "c00", "c01", "c02", "c11", "c12", "c22").alias("_v")).select(*by, *key, "_v.*")
+    return points.join(found, [*by, *key])
 
 
 #: Points that a cell should hold for a search of k neighbours, times k; widths tried, halves of the extent.
-CELL_SHARE, LEVELS = 0.25, 14
+CELL_SHARE, LEVELS = 1.0, 14
 
 
 def cell_widths(points: DataFrame, k: int, by: Sequence[str] = ()) -> DataFrame:
@@ -87,8 +224,7 @@ def knn(points: DataFrame, k: int, key: Sequence[str], start: float | None = Non
     The first radius is ``start``, or suits the density of each group. Points without a group or without
     finite coordinates take no part.
     """
-    finite = [F.abs(c) < float("inf") for c in doubles(xyz())]
-    points = points.where(reduce(and_, [*finite, *(F.col(b).isNotNull() for b in by)])).select(*by, *key, "x", "y", "z")
+    points = points.where(reduce(and_, [finite(*xyz()), *(F.col(b).isNotNull() for b in by)])).select(*by, *key, "x", "y", "z")
     # What a point can find is up to its own group: a small one must not end the search of the others.
     groups = cell_widths(points, k, by)
     groups = groups.withColumn("_h", F.lit(float(start))) if start else groups
@@ -96,14 +232,12 @@ def knn(points: DataFrame, k: int, key: Sequence[str], start: float | None = Non
     points = materialize(points.join(groups, list(by)) if by else points.crossJoin(groups), "points")
     scale, left, done = 1.0, points, None
     while True:
-        pairs = near_pairs(left, points, F.col("_h") * scale, key, key, [*by, "_want"], own=["_h"])
-        w = Window.partitionBy(*by, *key).orderBy("d2", *(f"t_{c}" for c in key))
-        ranked = pairs.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k).withColumn("_n", F.count("*").over(Window.partitionBy(*by, *key)))
-        full = materialize(ranked.where(F.col("_n") >= F.col("_want")).drop("_n", "_want"), "neighbours")
+        near = neighbours(left, points, f"_h * {scale}", k, key, key, by, own=["_want"])
+        full = materialize(near.where(F.col("n_found") >= F.col("_want")).drop("n_found", "_want"), "neighbours")
         done = full if done is None else done.union(full)
         before, left = left, materialize(left.join(full.where("rank = 1").select(*by, *key), [*by, *key], "left_anti"), "open-points")
         if scale > 1:
             discard(before)
-        if left.limit(1).count() == 0:
+        if left.isEmpty():
             return done
         scale *= growth

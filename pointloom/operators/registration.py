@@ -1,8 +1,7 @@
 """Rigid registration: correspondences and normal equations as joins and sums, small solves on the driver.
 
-Two ways: ``icp`` iterates a distributed nearest-neighbour join and brings one row of sums to the driver
-each time, for clouds of any size; ``pairwise_icp`` thins clouds by voxels and aligns many pairs of them at
-once, each pair in one task, for slices and viewers' clouds, whose size is then bounded by their extent.
+``icp`` iterates a distributed nearest-neighbour search and brings one row of sums to the driver each time;
+``pairwise_icp`` thins clouds by voxels and does so for many pairs of clouds in one search, keyed by pair.
 """
 
 from __future__ import annotations
@@ -10,15 +9,17 @@ from __future__ import annotations
 from collections.abc import Iterable, Sequence
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 from pointloom.config import IcpConfig, SliceConfig
 from pointloom.functions.geometry import apply_rigid, doubles, xyz
-from pointloom.functions.grid import Grid, kabsch_from_sums, local_icp, step_from_normal_equations
-from pointloom.operators.neighbors import nearest_within
-from pointloom.operators.voxel import voxel_centroid
+from pointloom.functions.grid import kabsch_from_sums, step_from_normal_equations
+from pointloom.functions.storage import discard, materialize
+from pointloom.operators.neighbors import estimate_normals, in_blocks, nearest_within, neighbours
+from pointloom.operators.voxel import KEYS, voxel_centroid
 
 
 def transformed(points: DataFrame, m: np.ndarray) -> DataFrame:
@@ -79,10 +80,10 @@ def icp(source: DataFrame, target: DataFrame, distance: float, key: Sequence[str
     """Distributed ICP: transform, fitness, inlier RMSE.
 
     Each iteration moves the original source by the transform so far, so plans don't grow; the target is
-    kept between iterations. With ``normals`` the target has nx, ny, nz and distances are to planes.
+    written once. With ``normals`` the target has nx, ny, nz and distances are to planes.
     """
     extra = ["nx", "ny", "nz"] if normals else []
-    target, source = target.persist(), source.persist()
+    target, source = materialize(target.select(*key, "x", "y", "z", *extra), "icp-target"), materialize(source.select(*key, "x", "y", "z"), "icp-source")
     total = source.count()
     t, before = np.eye(4) if init is None else init, (0.0, 0.0)
     for i in range(iterations + 1):
@@ -94,8 +95,7 @@ def icp(source: DataFrame, target: DataFrame, distance: float, key: Sequence[str
             break
         before = now
         t = _solve(row, normals) @ t
-    target.unpersist()
-    source.unpersist()
+    discard(target, source)
     return t, *now
 
 
@@ -110,44 +110,74 @@ def _solve(row, normals: bool) -> np.ndarray:
     return step_from_normal_equations(jtj, np.array([row[f"b{a}"] for a in range(6)]))
 
 
-_RESULT = "pair long, fitness double, inlier_rmse double, m array<double>"
+def _pair_table(source: DataFrame, live: list[int], ends: dict[int, tuple], t: dict[int, np.ndarray]) -> DataFrame:
+    """The driver's row of each pair: its number, its clouds, its transform."""
+    kind = to_arrow_type(source.schema["cloud"].dataType)
+    cols = [pa.array(live, pa.int64()), pa.array([ends[p][0] for p in live], kind), pa.array([ends[p][1] for p in live], kind), pa.array([t[p].ravel().tolist() for p in live], pa.list_(pa.float64()))]
+    return source.sparkSession.createDataFrame(pa.table(cols, ["pair", "cloud", "to", "m"]))
 
 
-def _align_pair(voxel: float, cfg: IcpConfig, fine_only: float | None, normal_radius: float | None = None):
-    """Coarse to fine, or with ``fine_only`` (a distance) the plane stage alone."""
+def _iterate(source: DataFrame, target: DataFrame, transforms: dict[int, np.ndarray], ends: dict[int, tuple], totals: dict, distance: float, iterations: int, normals: bool, tolerance: float) -> dict[int, tuple[np.ndarray, float, float]]:
+    """ICP of all pairs at once: the transform, fitness and inlier RMSE of each.
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        first = pdf.iloc[0]
-        init = np.array(first["init"], float).reshape(4, 4)
-        src, tgt = (pdf.loc[pdf["side"] == s, ["x", "y", "z"]].to_numpy(float) for s in ("source", "target"))
-        src, tgt = (p[np.lexsort(p.T[::-1])] for p in (src, tgt))  # rows come in any order
-        if not len(src) or not len(tgt):
-            return pd.DataFrame([(first["pair"], 0.0, 0.0, init.ravel().tolist())], columns=["pair", "fitness", "inlier_rmse", "m"])
-        normals = Grid(tgt, r := normal_radius or cfg.normal_radius * voxel).normals(r, cfg.max_neighbors)
-        if fine_only is None:
-            far = cfg.coarse_distance * voxel
-            init, _, _ = local_icp(src, Grid(tgt, far), far, cfg.coarse_iterations, init, None, cfg.tolerance)
-        near = cfg.fine_distance * voxel if fine_only is None else fine_only
-        t, fitness, rmse = local_icp(src, Grid(tgt, near), near, cfg.fine_iterations, init, normals, cfg.tolerance)
-        return pd.DataFrame([(first["pair"], fitness, rmse, t.ravel().tolist())], columns=["pair", "fitness", "inlier_rmse", "m"])
-
-    return run
+    ``ends`` has the clouds of each pair. A round moves every source by its pair's transform so far, finds
+    nearest targets in one search for all pairs and sums them up by pair; 16 or 27 sums a pair come to the
+    driver. Pairs leave as they converge.
+    """
+    t, before, out = dict(transforms), {}, {}
+    sums, extra = (_plane_sums(), ["nx", "ny", "nz"]) if normals else (_product_sums(), [])
+    sums += [F.count("*").alias("matched"), F.sqrt(F.avg("d2")).alias("rmse")]
+    placed = materialize(in_blocks(target, distance, KEYS, ["cloud"], extra), "placed-targets")
+    move = [f"m[{4 * i}] * x + m[{4 * i + 1}] * y + m[{4 * i + 2}] * z + m[{4 * i + 3}] AS {c}" for i, c in enumerate("xyz")]
+    for i in range(iterations + 1):
+        live = [p for p in t if p not in out]
+        if not live:
+            break
+        moved = source.join(F.broadcast(_pair_table(source, live, ends, t)), "cloud").selectExpr("pair", "to AS cloud", *KEYS, *move)
+        met = neighbours(moved, placed, distance, 1, ["pair", *KEYS], KEYS, ["cloud"], extra, placed=True)
+        found = {r["pair"]: r for r in met.groupBy("pair").agg(*sums).collect()}
+        for p in live:
+            row = found.get(p)
+            matched = row["matched"] if row else 0
+            now = (matched / max(totals.get(ends[p][0], 0), 1), row["rmse"] if row else 0.0)
+            was = before.get(p)
+            if i == iterations or matched < 3 or (was and abs(now[0] - was[0]) < tolerance and abs(now[1] - was[1]) < tolerance):
+                out[p] = (t[p], *now)
+                continue
+            before[p] = now
+            t[p] = _solve(row, normals) @ t[p]
+    discard(placed)
+    return out
 
 
 def pairwise_icp(clouds: DataFrame, pairs: Iterable[tuple], cloud: str = "slice", cfg: IcpConfig = IcpConfig(), fine_only: float | None = None, normal_radius: float | None = None) -> dict[int, tuple[np.ndarray, float, float]]:
-    """Aligns cloud a to cloud b for each (a, b, init), all at once; results by position in ``pairs``."""
+    """Aligns cloud a to cloud b for each (a, b, init), all at once; results by position in ``pairs``.
+
+    Clouds are thinned by voxels and targets get normals; then point to point with a wide distance, then to
+    planes with a narrow one, or with ``fine_only`` (a distance) the second alone. No task holds a cloud, and the
+    driver only transforms and sums of pairs. A pair without points in one cloud keeps its start, with fitness 0.
+    """
     pairs = list(pairs)
     if not pairs:
         return {}
-    spark = clouds.sparkSession
-    kind = dict(clouds.dtypes)[cloud]
-    rows = [(i, side, c, np.asarray(init, float).ravel().tolist()) for i, (a, b, init) in enumerate(pairs) for side, c in (("source", a), ("target", b))]
-    wanted = spark.createDataFrame(rows, f"pair long, side string, {cloud} {kind}, init array<double>")
-    used = sorted({c for _, _, c, _ in rows})
-    thin = clouds.where(F.col(cloud).isin(used)).select(cloud, *(c.alias(n) for c, n in zip(doubles(xyz()), "xyz", strict=True)))
-    both = voxel_centroid(thin, cfg.voxel, [cloud]).select(cloud, "x", "y", "z").join(F.broadcast(wanted), cloud)  # two of the driver's rows per pair
-    found = both.groupBy("pair").applyInPandas(_align_pair(cfg.voxel, cfg, fine_only, normal_radius), _RESULT).collect()
-    return {r["pair"]: (np.array(r["m"]).reshape(4, 4), r["fitness"], r["inlier_rmse"]) for r in found}
+    ends = {i: (a, b) for i, (a, b, _) in enumerate(pairs)}
+    start = {i: np.asarray(init, float).reshape(4, 4) for i, (_, _, init) in enumerate(pairs)}
+    named = clouds.select(F.col(cloud).alias("cloud"), *(c.alias(n) for c, n in zip(doubles(xyz()), "xyz", strict=True)))
+    used = sorted({c for e in ends.values() for c in e})
+    thin = voxel_centroid(named.where(F.col("cloud").isin(used)), cfg.voxel, ["cloud"])
+    if cfg.voxel <= 0:  # every point stays and needs a key of its own
+        thin = thin.withColumns(dict(zip(KEYS, (F.monotonically_increasing_id(), F.lit(0), F.lit(0)), strict=True)))
+    thin = materialize(thin.select("cloud", *KEYS, "x", "y", "z"), "thinned")
+    totals = {r["cloud"]: r["n"] for r in thin.groupBy("cloud").agg(F.count("*").alias("n")).collect()}  # a row per cloud
+    goals = thin.where(F.col("cloud").isin(sorted({b for _, b in ends.values()})))
+    goals = materialize(estimate_normals(goals, KEYS, normal_radius or cfg.normal_radius * cfg.voxel, cfg.max_neighbors, ["cloud"]), "with-normals")
+    if fine_only is None:
+        coarse = _iterate(thin, goals, start, ends, totals, cfg.coarse_distance * cfg.voxel, cfg.coarse_iterations, False, cfg.tolerance)
+        start = {p: m for p, (m, _, _) in coarse.items()}
+    near = cfg.fine_distance * cfg.voxel if fine_only is None else fine_only
+    found = _iterate(thin, goals, start, ends, totals, near, cfg.fine_iterations, True, cfg.tolerance)
+    discard(thin, goals)
+    return found
 
 
 def align_slices(sliced: DataFrame, cfg: SliceConfig = SliceConfig(), icp_cfg: IcpConfig = IcpConfig()) -> tuple[dict[int, np.ndarray], list[int]]:

@@ -567,7 +567,7 @@ def ransac_plane(spark, d):
 
 @query()
 def normals(spark, d):
-    from pointloom.operators.mesh import estimate_normals
+    from pointloom.operators.neighbors import estimate_normals
 
     return estimate_normals(_all(spark, d), ("id",), 0.05)
 

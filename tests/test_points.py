@@ -181,7 +181,7 @@ def test_mesh_of_a_sphere(spark):
 
 def test_normals_of_a_plane(spark):
     p = np.random.default_rng(9).uniform(0, 1, (300, 3)) * [1, 1, 0]
-    n = mesh.estimate_normals(cloud(spark, p), ("id",), 0.2)
+    n = neighbors.estimate_normals(cloud(spark, p), ("id",), 0.2)
     assert all(abs(abs(r.nz) - 1) < 1e-6 for r in n.collect())
 
 
