@@ -632,6 +632,75 @@ def repeatability(spark, d):
     return table.select("source", "target", r("fitness", "fitness"), r("inlier_rmse", "inlier_rmse"), r(F.col("transformation")[11], "dz"), "verdict")
 
 
+SCENE_VOXEL = 0.25
+#: The motion of slice s: a turn about z and a shift, so small against the points' distances that neighbours stay so.
+_TURN, _SHIFT = 2e-5, (2e-4, -1e-4, 1e-4)
+
+
+def _slice_motion(s: int) -> np.ndarray:
+    return G.rigid(G.rotation("z", _TURN * s), [v * s for v in _SHIFT])
+
+
+def _seen_scene(spark, d, lost: tuple[int, ...] = ()) -> DataFrame:
+    """Raw scans of a turning sensor that sees one scene, as if each angular slice had moved by its motion.
+
+    A frame has the points of one vector, ten times the size; those of slices in ``lost`` are far off.
+    """
+    frames = slicing.with_phase(_theta(spark, d))
+    scene = min(S.table(spark, d, "embeddings").count(), S.frames(spark, d).count() // 16)
+    seen = slicing.angular_slices(frames, 12, 1.0).where("is_core").select("event_id", "t_ns", "theta", "slice", (F.col("event_id") % scene).alias("vec_id"))
+    p = seen.join(S.points(spark, d), "vec_id")
+    back = F.array(*(F.array(*(F.lit(float(v)) for v in np.linalg.inv(_slice_motion(s)).ravel())) for s in range(12)))
+    far = F.when(F.col("slice").isin(*lost), 50.0).otherwise(0.0) if lost else F.lit(0.0)
+    x, y, z = G.apply_rigid_column(tuple((F.col(c).cast("double") * 10) for c in "xyz"), back[F.col("slice")])
+    x = x + far
+    turned = (x, y * F.cos("theta") - z * F.sin("theta"), y * F.sin("theta") + z * F.cos("theta"))
+    return p.select(F.col("event_id").alias("frame_id"), F.col("p").alias("pt_idx"), F.col("t_ns").alias("stamp_ns"), *(c.alias(n) for c, n in zip(turned, "xyz", strict=True)))
+
+
+_PLAIN_MOUNT = DeskewConfig(rotation_center=(0.0, 0.0, 0.0), mount_rpy_deg=(0.0, 0.0, 0.0))
+_a, _t = f"({_TURN} * {{0}})", [f"({v} * {{0}})" for v in _SHIFT]
+_BACK = [
+    f"cos({_a}) * ({{1}} - {_t[0]}) + sin({_a}) * ({{2}} - {_t[1]})",
+    f"cos({_a}) * ({{2}} - {_t[1]}) - sin({_a}) * ({{1}} - {_t[0]})",
+    f"{{3}} - {_t[2]}",
+]
+_FORTH = [f"cos({_a}) * {{1}} - sin({_a}) * {{2}} + {_t[0]}", f"sin({_a}) * {{1}} + cos({_a}) * {{2}} + {_t[1]}", f"{{3}} + {_t[2]}"]
+SCENE = f"""{SLICED}, {PTS}, n AS (SELECT least((SELECT count(*) FROM embeddings), (SELECT count(*) FROM frames) // 16) AS scene),
+core AS (SELECT event_id, slice, event_id % scene AS vec_id FROM sd, n WHERE off < {TP} / 24),
+whole AS (SELECT slice, {', '.join(f'CAST({c} AS DOUBLE) * 10 AS {c}' for c in 'xyz')} FROM core JOIN pts USING (vec_id)),
+moved AS (SELECT slice, {', '.join(f'CAST({e.format("slice", "x", "y", "z")} AS FLOAT) AS {c}' for e, c in zip(_BACK, 'xyz', strict=True))} FROM whole),
+near AS (SELECT * FROM moved WHERE {SIZE} > 0.5 AND {SIZE} < 80),
+ref AS (SELECT slice AS ref FROM near GROUP BY slice ORDER BY count(*) DESC, slice LIMIT 1),
+true_ AS (SELECT slice, ref, {', '.join(f'{e.format("slice", DX, DY, DZ)} AS {c}' for e, c in zip(_FORTH, 'xyz', strict=True))} FROM near, ref),
+merged AS (SELECT slice, {', '.join(f'{e.format("ref", "x", "y", "z")} AS {c}' for e, c in zip(_BACK, 'xyz', strict=True))} FROM true_)"""
+
+
+@query(f"{SCENE}, " + _centroid_sql("merged", SCENE_VOXEL, 4))
+def slice_and_merge(spark, d):
+    """From raw scans and encoder to one cloud: slices are aligned by all their points, and their motion undone."""
+    cfg = SliceConfig(overlap=1.0, map_voxel=SCENE_VOXEL)
+    merged, _, _ = pipelines.slice_and_merge(_seen_scene(spark, d), S.encoder(spark, d), cfg, IcpConfig(voxel=0.001), _PLAIN_MOUNT)
+    return merged.select("kx", "ky", "kz", *rounded(digits=4), "n")
+
+
+@query(
+    f"""{SCENE}, good AS (SELECT slice, slice NOT IN (3, 7) AS kept, count(*) AS n FROM near GROUP BY slice)
+SELECT CAST(g.slice AS INT) AS slice, kept, CASE WHEN kept THEN n ELSE 0 END AS n, {', '.join(f"CASE WHEN kept THEN {R(f'sum(m.{c}) / n', c, 4).removesuffix(f' AS {c}')} END AS {c}" for c in 'xyz')}
+FROM good g JOIN merged m USING (slice) GROUP BY g.slice, kept, n"""
+)
+def slice_direct(spark, d):
+    """Slices aligned to the reference alone; two that are far off are rejected and not in the result."""
+    points = _seen_scene(spark, d, lost=(3, 7))
+    cfg = SliceConfig(overlap=1.0, chain=False)
+    sliced = pipelines.sliced(points, S.encoder(spark, d), cfg, _PLAIN_MOUNT)
+    found, rejected = registration.align_slices(sliced, cfg, IcpConfig(voxel=0.001))
+    merged = slicing.merge_slices(sliced.where("is_core"), registration.transforms_table(spark, found))
+    rows = merged.groupBy("slice").agg(F.count("*").alias("n"), *(r(F.avg(c), c, 4) for c in "xyz"))
+    every = spark.createDataFrame([(int(s), s not in rejected) for s in sorted({*found, *rejected})], "slice int, kept boolean")
+    return every.join(rows, "slice", "left").select("slice", "kept", F.coalesce("n", F.lit(0)).alias("n"), "x", "y", "z")
+
+
 def _written(spark, points: DataFrame, fmt: str) -> DataFrame:
     from pointloom.functions.storage import shared_path
     from pointloom.sources.points import read_points, write_points
