@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from contextlib import contextmanager
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -27,6 +30,18 @@ def numbered(docs: DataFrame, name: str = "numbered") -> DataFrame:
     return materialize(docs.withColumn("_row", F.monotonically_increasing_id()), name)
 
 
+@contextmanager
+def arrow_batches(spark: SparkSession, rows: int) -> Iterator[None]:
+    """Arrow batches of at most ``rows`` rows in the jobs that run inside, for rows of whole texts."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(name)
+    spark.conf.set(name, rows)
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
+
+
 def hashed_sample(rows: DataFrame, most: int, *ids: str) -> DataFrame:
     """At most ``most`` of ``rows``, those first in order of a hash of ``ids``.
 

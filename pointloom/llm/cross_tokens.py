@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from pointloom.llm.common import materialize
+from pointloom.llm.common import arrow_batches, materialize
 
 TOKENIZERS = "/opt/tokenizers"
 #: A pair is ``a * 2^20 + b``; vocabularies are below that.
@@ -218,7 +218,8 @@ def align_tokenizers(docs: DataFrame, a_file: bytes, b_file: bytes, id_col: str
     slim = docs.select(F.monotonically_increasing_id().alias("_row"), F.col(id_col).alias("_id"), F.col(text_col).alias("_text"))
     kind = slim.schema["_id"].dataType.simpleString()
     # Numbered, encoded and written in one job, so the numbers hold from here on.
-    each = materialize(slim.mapInArrow(run, f"_row bigint, _id {kind}, {_OWN_DDL}"), "token-links")
+    with arrow_batches(spark, _ROWS):
+        each = materialize(slim.mapInArrow(run, f"_row bigint, _id {kind}, {_OWN_DDL}"), "token-links")
     own = each.select("_row", F.explode("pairs").alias("p")).select("_row", "p.*")
     totals = own.groupBy("pair").agg(F.sum("n").alias("total"))
     of_b = Window.partitionBy(F.col("pair").bitwiseAND(F.lit((1 << _B_BITS) - 1)))  # A's vocabulary at most
