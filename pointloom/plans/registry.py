@@ -565,6 +565,25 @@ def ransac_plane(spark, d):
     return planes.find_planes(S.points(spark, d), PlaneConfig(min_points=500))
 
 
+_FLAT = {"z": ("l_quantity + 10", "l_extendedprice / 1000 + 10", "0.0"), "x": ("-5.0", "l_extendedprice / 1000 + 10", "l_quantity + 1"), "y": ("l_quantity + 10", "-7.0", "l_extendedprice / 1000 + 1")}
+#: Half of the rows lie on the floor, a quarter on each of two walls; each plane is far from the points of the others.
+_FLAT_ROWS = {"z": "l_orderkey % 4 < 2", "x": "l_orderkey % 4 = 2", "y": "l_orderkey % 4 = 3"}
+_FLAT_CASE = [f"CAST(CASE {' '.join(f'WHEN {_FLAT_ROWS[k]} THEN {_FLAT[k][i]}' for k in _FLAT)} END AS DOUBLE)" for i in range(3)]
+
+
+@query(
+    f"""WITH f AS (SELECT l_linestatus AS cloud, l_orderkey % 4 AS part, {', '.join(f'{e} AS {c}' for e, c in zip(_FLAT_CASE, 'xyz', strict=True))} FROM lineitem),
+lo AS (SELECT cloud, min(x) AS lx, min(y) AS ly, min(z) AS lz FROM f GROUP BY cloud),
+cells AS (SELECT DISTINCT cloud, greatest(part, 1) AS part, {', '.join(f'CAST(floor(({c} - (l{c} - 0.005 / 2)) / 0.005) AS BIGINT) AS k{c}' for c in 'xyz')} FROM f JOIN lo USING (cloud))
+SELECT cloud, CASE part WHEN 1 THEN 'пол/потолок' WHEN 2 THEN 'стена X' ELSE 'стена Y' END AS type, {R('0', 'rms')}, {R('0', 'p95')}, count(*) AS n_pts FROM cells GROUP BY cloud, part HAVING count(*) >= 5000"""
+)
+def plane_report(spark, d):
+    """Three planes in each of two clouds, found with the default number of candidates and points."""
+    p = S.table(spark, d, "lineitem").selectExpr("l_linestatus AS cloud", *(f"{e} AS {c}" for e, c in zip(_FLAT_CASE, "xyz", strict=True)))
+    found = planes.find_planes(p, PlaneConfig(), "cloud")
+    return found.select("cloud", "type", r("rms", "rms"), r("p95", "p95"), "n_pts")
+
+
 @query()
 def normals(spark, d):
     from pointloom.operators.neighbors import estimate_normals
