@@ -42,8 +42,8 @@ def lzf_decompress(data: bytes, size: int) -> bytes:
     return bytes(out)
 
 
-def decode_pcd(data: bytes) -> np.ndarray:
-    """PCD 0.7: ascii, binary or binary_compressed, any fields of which x, y, z are taken."""
+def pcd_head(data: bytes) -> tuple[dict[str, list[str]], int]:
+    """The header's lines by their first word, and where the points begin."""
     head, at = {}, 0
     while "DATA" not in head:
         end = data.find(b"\n", at)
@@ -54,6 +54,12 @@ def decode_pcd(data: bytes) -> np.ndarray:
         if line and not line.startswith("#"):
             key, _, value = line.partition(" ")
             head[key.upper()] = value.split()
+    return head, at
+
+
+def decode_pcd(data: bytes) -> np.ndarray:
+    """PCD 0.7: ascii, binary or binary_compressed, any fields of which x, y, z are taken."""
+    head, at = pcd_head(data)
     names, n = head["FIELDS"], int(head["POINTS"][0])
     counts = [int(c) for c in head.get("COUNT", ["1"] * len(names))]
     kinds = [_PCD_TYPES[t, int(s)] for t, s in zip(head["TYPE"], head["SIZE"], strict=True)]
@@ -140,8 +146,8 @@ def decode_npz(data: bytes) -> np.ndarray:
 _PLY_TYPES = {"char": "i1", "int8": "i1", "uchar": "u1", "uint8": "u1", "short": "i2", "int16": "i2", "ushort": "u2", "uint16": "u2", "int": "i4", "int32": "i4", "uint": "u4", "uint32": "u4", "float": "f4", "float32": "f4", "double": "f8", "float64": "f8"}
 
 
-def decode_ply(data: bytes) -> np.ndarray:
-    """The vertices of a PLY file whose first element they are."""
+def ply_head(data: bytes) -> tuple[str, int, list[str], list[str], int]:
+    """Kind, number of vertices, names and types of their properties, and where they begin."""
     end = data.index(b"end_header")
     at = data.index(b"\n", end) + 1
     lines = [x.split() for x in data[:end].decode("ascii").splitlines()]
@@ -153,17 +159,22 @@ def decode_ply(data: bytes) -> np.ndarray:
     props = [x for x in lines[elements[0] + 1 : elements[1] if len(elements) > 1 else None] if x[0] == "property"]
     if any(p[1] == "list" for p in props):
         raise ValueError("vertices with lists are not supported")
-    names = [p[2] for p in props]
+    return kind, n, [p[2] for p in props], [p[1] for p in props], at
+
+
+def decode_ply(data: bytes) -> np.ndarray:
+    """The vertices of a PLY file whose first element they are."""
+    kind, n, names, types, at = ply_head(data)
     if kind == "ascii":
         rows = np.array([x.split() for x in data[at:].decode("ascii").splitlines()[:n]], float).reshape(n, len(names))
         return np.stack([rows[:, names.index(c)] for c in "xyz"], 1)
     order = "<" if "little" in kind else ">"
-    rows = np.frombuffer(data, np.dtype([(p[2], order + _PLY_TYPES[p[1]]) for p in props]), n, at)
+    rows = np.frombuffer(data, np.dtype([(m, order + _PLY_TYPES[t]) for m, t in zip(names, types, strict=True)]), n, at)
     return np.stack([rows[c] for c in "xyz"], 1)
 
 
-def decode_las(data: bytes) -> np.ndarray:
-    """LAS 1.0 to 1.4, uncompressed."""
+def las_layout(data: bytes) -> tuple[int, int, int, np.ndarray, np.ndarray]:
+    """Where points begin, bytes of one, their number, scale and offset; LAS 1.0 to 1.4, uncompressed."""
     if data[:4] != b"LASF":
         raise ValueError("not a LAS file")
     minor = data[25]
@@ -174,6 +185,12 @@ def decode_las(data: bytes) -> np.ndarray:
     if minor >= 4:
         n = struct.unpack_from("<Q", data, 247)[0] or n
     scale, shift = np.array(struct.unpack_from("<3d", data, 131)), np.array(struct.unpack_from("<3d", data, 155))
+    return offset, size, n, scale, shift
+
+
+def decode_las(data: bytes) -> np.ndarray:
+    """LAS 1.0 to 1.4, uncompressed."""
+    offset, size, n, scale, shift = las_layout(data)
     raw = np.frombuffer(data, np.dtype({"names": ["p"], "formats": ["(3,)<i4"], "offsets": [0], "itemsize": size}), n, offset)["p"]
     return raw * scale + shift
 
@@ -259,6 +276,36 @@ class E57Stream:
         body = struct.pack("<H3H", 3, *(len(s) for s in streams)) + b"".join(streams)
         return struct.pack("<BBH", 1, 0, len(body) + 3) + body
 
+    #: Points of the next packet that a page may begin with, at most.
+    AHEAD = _DATA // 8
+
+    @property
+    def size(self) -> int:
+        """Bytes of the whole file."""
+        return struct.unpack_from("<Q", self._start, 16)[0]
+
+    def pages_of(self, first: int, points: np.ndarray, after: np.ndarray) -> tuple[int, bytes]:
+        """Where the pages begin that ``points``, number ``first`` on and of whole packets, begin, and their bytes.
+
+        ``after`` are the ``AHEAD`` points that follow, or as many as there are: the last page needs some.
+        The first of all pages begin with the head, the last end with the description.
+        """
+        whole = 4 + 8 + 24 * _PACKET
+        packets = b"".join(self._packet(points[a : a + _PACKET]) for a in range(0, max(1, len(points)), _PACKET))
+        at = 0 if first == 0 else len(self._start) + first // _PACKET * whole
+        data, end = (self._start if first == 0 else b"") + packets, first + len(points)
+        if end >= self.count:
+            data += self._xml
+        else:
+            rest = min(_PACKET, self.count - end)
+            next_ = struct.pack("<BBH", 1, 0, 8 + 24 * rest + 3) + struct.pack("<H3H", 3, *[8 * rest] * 3)
+            few = np.zeros((rest, 3))
+            few[: len(after)] = after[:rest]
+            next_ += b"".join(np.ascontiguousarray(few[:, i], "<f8").tobytes() for i in range(3))
+            data += next_[: -(at + len(data)) % _DATA]
+        skip = -at % _DATA
+        return (at + skip) // _DATA * _PAGE, to_pages(data[skip:])
+
     def head(self) -> bytes:
         return self._pages(self._start)
 

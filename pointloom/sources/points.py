@@ -1,8 +1,8 @@
 """Reading and writing point-cloud files with Spark's own file systems.
 
-Files are read by Spark's binary source, one file a row, and decoded in Arrow batches. One output file is
-one stream of bytes: tasks encode pieces, which are written to a folder beside it first, and the driver
-passes them on in order, one partition at a time.
+Files that executors can open are read in ranges by many tasks (``ranges``) and written by many tasks at the
+points' places (``in_place``). Elsewhere, and in formats without either, a file is a row of Spark's binary source,
+and one output file a stream that the driver passes on in order, one partition at a time.
 """
 
 from __future__ import annotations
@@ -20,6 +20,8 @@ from pyspark.sql import functions as F
 from pointloom.functions.geometry import doubles, xyz
 from pointloom.operators.outliers import bounds, sample_points
 from pointloom.sources.codecs import DECODERS, ENCODERS, E57Stream, encode_frames, encode_npz, encode_obj, encode_stl, npz_frames, read_npz
+from pointloom.sources.in_place import mounted, write_in_place
+from pointloom.sources.ranges import read_ranges
 
 SCHEMA = "cloud string, pt_idx bigint, x double, y double, z double"
 _BATCH = 1 << 16
@@ -51,8 +53,11 @@ def read_points(spark: SparkSession, paths: str | Sequence[str]) -> DataFrame:
     for p in paths:
         if (s := _suffix(p)) and s not in DECODERS:
             raise ValueError(f"unsupported point file {p}: known are {', '.join(sorted(DECODERS))}")
-    files = spark.read.format("binaryFile").load(paths).select("path", "content")
-    return files.mapInArrow(_decode, SCHEMA)
+    points, others = read_ranges(spark, find_files(spark, paths), SCHEMA)
+    if not others:
+        return points
+    files = spark.read.format("binaryFile").load(others).select("path", "content")
+    return points.union(files.mapInArrow(_decode, SCHEMA))
 
 
 def find_files(spark: SparkSession, paths: Sequence[str] = (), suffix: str = "e57", default: str = ".") -> list[str]:
@@ -192,6 +197,11 @@ def write_points(points: DataFrame, path: str, fmt: str | None = None, order: Se
     p = p.persist()
     narrow = p.select(*(F.col(c).cast("float").cast("double").alias(c) for c in "xyz")) if fmt == "las" else p
     s = bounds(narrow).first().asDict()
+    place = mounted(spark, path)
+    if place and fmt != "dxf":
+        write_in_place(p, place, fmt, s)
+        p.unpersist()
+        return path
     # Packets of an E57 file run through, so that its pieces are put together on the driver, one at a time.
     stream = E57Stream(s["n"]) if fmt == "e57" else None
     body = (lambda q, _: np.ascontiguousarray(q, float).tobytes()) if stream else ENCODERS[fmt].body
