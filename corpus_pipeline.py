@@ -13,10 +13,18 @@ from pointloom.llm.parity_join import BROADCAST_IDS, jaccard_components
 from pointloom.llm.subword import fit, score
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
+#: Rows of an Arrow batch in the stages that run Python: rows are whole texts, and a worker holds a few batches.
+ARROW_ROWS = 1_000
+
+
+def _small_batches(spark: SparkSession) -> None:
+    """For the session from here on, since a stage's rows are computed when they are written."""
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", ARROW_ROWS)
 
 
 def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the classifier rejects go; it learns from all labels, of whatever fold."""
+    _small_batches(spark)
     model = fit(docs, read_table(spark, sf_dir, "labels"))
     return score(docs.select(*COLUMNS), model).where("predicted = 1").select(*COLUMNS)
 
@@ -28,6 +36,7 @@ def exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group that links of five-word shingles connect, the one with the smallest id stays."""
+    _small_batches(spark)
     found = jaccard_components(docs, k=5, percent=80)
     dropped = materialize(found.where("component_id <> doc_id").select("doc_id"), "near-copies")
     # Few enough ids are broadcast, which spares the texts a shuffle.
@@ -42,6 +51,7 @@ def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Sequences of permitted lengths."""
+    _small_batches(spark)
     return pack(docs)
 
 
