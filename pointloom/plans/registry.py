@@ -553,10 +553,10 @@ def icp_align(spark, d):
 
 @query()
 def icp_slices(spark, d):
-    """All labels against label 0, one task a pair."""
+    """All labels against label 0 at once. They are different clouds, which need not settle: 15 rounds a stage at most."""
     clouds = S.points(spark, d).select(F.col("label").alias("slice"), "x", "y", "z")
     labels = [x[0] for x in clouds.select("slice").distinct().orderBy("slice").collect()]  # a row per slice
-    found = registration.pairwise_icp(clouds, [(k, labels[0], np.eye(4)) for k in labels[1:]])
+    found = registration.pairwise_icp(clouds, [(k, labels[0], np.eye(4)) for k in labels[1:]], cfg=IcpConfig(coarse_iterations=15, fine_iterations=15))
     return spark.createDataFrame([(labels[k + 1], f, e, m.ravel().tolist()) for k, (m, f, e) in found.items()], "slice int, fitness double, inlier_rmse double, transformation array<double>")
 
 
