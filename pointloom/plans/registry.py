@@ -92,6 +92,31 @@ def world_map(spark, d, gate_ns: int = GATE_NS):
     return pipelines.world_map(S.scan(spark, d), S.encoder(spark, d), cfg).select("kx", "ky", "kz", "frame_id", "pt_idx", *rounded(digits=4))
 
 
+#: Gravity of the surrogate samples, axes exchanged so that the platform leans clearly; see ``_leaning``.
+_GRAVITY = f"""{IMU}, few AS (SELECT ay AS ax, ax / 50 AS ay, az FROM imu ORDER BY t_ns, event_id LIMIT 500),
+mean_ AS (SELECT avg(ax) AS mx, avg(ay) AS my, avg(az) AS mz FROM few), grav AS (SELECT mx / s AS gx, my / s AS gy, mz / s AS gz FROM (SELECT *, sqrt(mx*mx + my*my + mz*mz) AS s FROM mean_))"""
+
+
+def _leaning(spark, d) -> DataFrame:
+    return S.imu(spark, d).select("event_id", "t_ns", F.col("ay").alias("ax"), (F.col("ax") / 50).alias("ay"), "az")
+
+
+@query(
+    f"""WITH {ENC}, {SCAN}, {theta('scan')}, {DESKEWED}, {_GRAVITY},
+gate AS (SELECT f.event_id FROM frames f JOIN uenc e ON e.t_ns BETWEEN f.t_ns - {GATE_NS} AND f.t_ns GROUP BY f.event_id HAVING count(*) >= 5),
+kept AS (SELECT * FROM dsk, grav WHERE sqrt(x*x + y*y + z*z) BETWEEN 0.3 AND 20 AND frame_id IN (SELECT event_id FROM gate)),
+near AS (SELECT frame_id, pt_idx, CAST(gx*x + gy*y + gz*z AS FLOAT) AS x, CAST(y - gy*x - gy*(gy*y + gz*z)/(1 + gx) AS FLOAT) AS y, CAST(z - gz*x - gz*(gy*y + gz*z)/(1 + gx) AS FLOAT) AS z FROM kept),
+cells AS (SELECT *, {", ".join(f"CAST(floor({c} / CAST({MAP_VOXEL} AS FLOAT)) AS BIGINT) AS k{c}" for c in "xyz")} FROM near),
+firsts AS (SELECT *, row_number() OVER (PARTITION BY kx, ky, kz ORDER BY frame_id, pt_idx) AS rn FROM cells)
+SELECT kx, ky, kz, frame_id, pt_idx, {", ".join(R(c, c, 4) for c in "xyz")} FROM firsts WHERE rn = 1"""
+)
+def world_map_tilted(spark, d):
+    """The map set upright by gravity."""
+    tilt = imu.tilt_matrix(_leaning(spark, d), ("t_ns", "event_id"))
+    cfg = MapConfig(voxel=float(MAP_VOXEL), gate_ns=GATE_NS)
+    return pipelines.world_map(S.scan(spark, d), S.encoder(spark, d), cfg, tilt=tilt).select("kx", "ky", "kz", "frame_id", "pt_idx", *rounded(digits=4))
+
+
 def _turned(axis: str, invert: bool) -> str:
     a = "theta" if invert else "-theta"
     a = f"({a} - radians(30))"
