@@ -80,7 +80,10 @@ def interpolate(queries: DataFrame, samples: DataFrame, t: str = "t", sample_t:
     seg = seg.join(width, list(by)) if by else seg.crossJoin(F.broadcast(width))
     seg = seg.withColumn("_bk", F.explode(F.sequence(bucket(F.col("_a")), bucket(F.col("_z")))))
     q = queries.join(ends, list(by)) if by else queries.crossJoin(F.broadcast(ends))  # one row
-    q = q.where("_n > 0").withColumn("_q", F.greatest(F.col("_t0"), F.least(F.col("_t1"), F.col(t)))).withColumn("_bk", bucket(F.col("_q")))
+    # Times at or beyond an end meet no segment; they are spread by their hash, not gathered in the end's bucket.
+    inside = (F.col(t) > F.col("_t0")) & (F.col(t) < F.col("_t1"))
+    at = F.when(inside, bucket(F.col(t))).otherwise(-1 - F.pmod(F.xxhash64(t), F.lit(4096)))
+    q = q.where("_n > 0").withColumn("_q", F.greatest(F.col("_t0"), F.least(F.col("_t1"), F.col(t)))).withColumn("_bk", at)
     # At most one segment holds a time, so the outer join keeps each query once.
     seg = seg.select(*(F.col(c).alias(f"_s{c}") for c in [*by, "_bk"]), "_a", "_va", "_z", "_vz")
     same = [q[c] == seg[f"_s{c}"] for c in [*by, "_bk"]]

@@ -65,3 +65,12 @@ def test_clock_regression(spark):
     log = 10**18 + (np.arange(100) * 10**7 * 1.000007).astype(np.int64)
     row = series.clock_regression(spark.createDataFrame([(int(a), int(b)) for a, b in zip(d, log, strict=True)], "stamp_ns long, log_time_ns long")).first()
     assert abs(row.slope - 1.000007) < 1e-9 and row.rms < 4 and row.n == 100
+
+
+def test_times_beyond_the_ends_are_held_and_spread(spark):
+    """Most queries lie past the end, which must not gather them in one key."""
+    samples = [(1000 * i, float(i % 7)) for i in range(50)]
+    queries = [(t,) for t in [*range(-500, 50_000, 331), *range(49_000, 500_000, 97)]]
+    out = series.interpolate(spark.createDataFrame(queries, "t long"), spark.createDataFrame(samples, "t_ns long, angle double")).collect()
+    want = dict(zip([q[0] for q in queries], np.interp([q[0] for q in queries], *zip(*samples)), strict=True))
+    assert len(out) == len(queries) and all(abs(r.theta - want[r.t]) < 1e-9 for r in out)
