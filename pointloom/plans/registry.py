@@ -724,7 +724,7 @@ merged AS (SELECT slice, {', '.join(f'{e.format("ref", "x", "y", "z")} AS {c}' f
 def slice_and_merge(spark, d):
     """From raw scans and encoder to one cloud: slices are aligned by all their points, and their motion undone."""
     cfg = SliceConfig(overlap=1.0, map_voxel=SCENE_VOXEL)
-    merged, _, _ = pipelines.slice_and_merge(_seen_scene(spark, d), S.encoder(spark, d), cfg, IcpConfig(voxel=0.001), _PLAIN_MOUNT)
+    merged, _, _ = pipelines.slice_and_merge(_seen_scene(spark, d), S.encoder(spark, d), cfg, IcpConfig(voxel=0.001), _PLAIN_MOUNT, ties=["event_id"])
     return merged.select("kx", "ky", "kz", *rounded(digits=4), "n")
 
 
@@ -737,7 +737,7 @@ def slice_direct(spark, d):
     """Slices aligned to the reference alone; two that are far off are rejected and not in the result."""
     points = _seen_scene(spark, d, lost=(3, 7))
     cfg = SliceConfig(overlap=1.0, chain=False)
-    sliced = pipelines.sliced(points, S.encoder(spark, d), cfg, _PLAIN_MOUNT)
+    sliced = pipelines.sliced(points, S.encoder(spark, d), cfg, _PLAIN_MOUNT, ties=["event_id"])
     found, rejected = registration.align_slices(sliced, cfg, IcpConfig(voxel=0.001))
     merged = slicing.merge_slices(sliced.where("is_core"), registration.transforms_table(spark, found))
     rows = merged.groupBy("slice").agg(F.count("*").alias("n"), *(r(F.avg(c), c, 4) for c in "xyz"))
