@@ -1,52 +1,77 @@
 """Surface reconstruction from a bounded sample: oriented normals, a grid Poisson solve, tetrahedra.
 
-The sample (``MAX_SAMPLES`` points at most) comes to the driver. The Poisson equation is solved by FFT on
+The sample (``MAX_SAMPLES`` points at most) comes to the driver with its normals and nearest neighbours, which
+Spark searches. The Poisson equation is solved by FFT on
 a regular grid of 2**depth cells a side, which bounds ``depth`` at 8 (7 by default); a larger one is an error. The level set is cut out of the
 grid by marching tetrahedra.
 """
 
 from __future__ import annotations
 
-import heapq
-
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pointloom.functions.geometry import doubles, xyz
+from pointloom.functions.geometry import doubles, finite, xyz
 from pointloom.functions.grid import Grid
+from pointloom.functions.storage import discard, materialize
+from pointloom.operators.neighbors import estimate_normals, knn_within
 from pointloom.operators.outliers import sample_points
 
 MAX_SAMPLES, MAX_DEPTH = 500_000, 8
 
 
+#: Points whose neighbours are searched together.
+_POINTS = 250
+
+
 def orient_normals(points: np.ndarray, normals: np.ndarray, radius: float, k: int = 10) -> np.ndarray:
-    """Flip normals to agree along a minimum spanning tree of neighbours, most parallel first.
+    """``orient_along`` each point's ``k`` nearest within ``radius``, searched in pieces."""
+    grid, ends = Grid(points, radius), []
+    for low in range(0, len(points), _POINTS):
+        who, near, _ = grid.pairs(points[low : low + _POINTS], radius)
+        first = np.searchsorted(who, np.arange(len(points[low : low + _POINTS])))
+        on = np.arange(len(who)) - first[who] <= k
+        ends.append(np.stack([who[on] + low, near[on]]))
+    return orient_along(points, normals, *(np.concatenate(ends, 1) if ends else np.zeros((2, 0), int)))
+
+
+def orient_along(points: np.ndarray, normals: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Flip normals to agree along a minimum spanning tree of the edges from ``a`` to ``b``, most parallel first.
 
-    Each tree starts at its highest point, whose normal is made to point up.
+    The highest point of each tree is made to point up. Trees grow together by their best edges (Boruvka), with
+    the turn of each point against its tree's root, so that memory is a few numbers an edge.
     """
-    grid, out = Grid(points, radius), normals.copy()
-    who, near, _ = grid.pairs(points, radius)
-    first = np.searchsorted(who, np.arange(len(points) + 1))
-    done = np.zeros(len(points), bool)
-    for root in np.argsort(-points[:, 2], kind="stable"):
-        if done[root]:
-            continue
-        if out[root, 2] < 0:
-            out[root] *= -1
-        heap = [(0.0, int(root), int(root))]
-        while heap:
-            _, i, parent = heapq.heappop(heap)
-            if done[i]:
-                continue
-            done[i] = True
-            if out[i] @ out[parent] < 0:
-                out[i] *= -1
-            for j in near[first[i] : min(first[i] + k + 1, first[i + 1])]:
-                if not done[j]:
-                    heapq.heappush(heap, (1 - abs(float(out[i] @ out[j])), int(j), i))
-    return out
+    # In pieces, since products of all edges' normals would take six numbers an edge.
+    dot = np.concatenate([np.zeros(0), *(np.einsum("ij,ij->i", normals[a[i : i + 10**6]], normals[b[i : i + 10**6]]) for i in range(0, len(a), 10**6))])
+    by = np.argsort(-np.abs(dot), kind="stable")
+    a, b, turned = a[by].astype(np.int32), b[by].astype(np.int32), dot[by] < 0
+    tree, turn = np.arange(len(points)), np.zeros(len(points), bool)
+    while True:
+        ta, tb = tree[a], tree[b]
+        live = ta != tb
+        a, b, turned, ta, tb = a[live], b[live], turned[live], ta[live], tb[live]
+        if not len(a):
+            break
+        best = np.full(len(points), len(a))
+        np.minimum.at(best, ta, np.arange(len(a)))
+        np.minimum.at(best, tb, np.arange(len(a)))
+        root = np.flatnonzero(best < len(a))
+        e = best[root]
+        up, flip = np.arange(len(points)), np.zeros(len(points), bool)
+        up[root] = ta[e] + tb[e] - root
+        flip[root] = turned[e] ^ turn[a[e]] ^ turn[b[e]]
+        both = root[(up[up[root]] == root) & (root < up[root])]  # two trees with the same best edge
+        up[both], flip[both] = both, False
+        while (up != up[up]).any():
+            flip, up = flip ^ flip[up], up[up]
+        tree, turn = up[tree], turn ^ flip[tree]
+    high = np.argsort(-points[:, 2], kind="stable")
+    roots, first = np.unique(tree[high], return_index=True)
+    top, down = high[first], np.zeros(len(points), bool)
+    down[roots] = (normals[top, 2] < 0) ^ turn[top]
+    return np.where((turn ^ down[tree])[:, None], -normals, normals)
 
 
 def poisson_field(points: np.ndarray, normals: np.ndarray, depth: int) -> tuple[np.ndarray, np.ndarray, float, float, np.ndarray]:
@@ -105,7 +130,8 @@ def marching_tetrahedra(f: np.ndarray, level: float) -> tuple[np.ndarray, np.nda
             for face in faces:
                 edges.append(np.stack([np.sort(on[:, e], 1) for e in face], 1))
     edges = np.concatenate(edges) if edges else np.zeros((0, 3, 2), np.int64)
-    unique, where = np.unique(edges.reshape(-1, 2), axis=0, return_inverse=True)
+    unique, where = np.unique(edges[..., 0].ravel() * f.size + edges[..., 1].ravel(), return_inverse=True)
+    unique = np.stack(np.divmod(unique, f.size), 1)
     a, b = flat[unique[:, 0]], flat[unique[:, 1]]
     p, q = (np.stack(np.unravel_index(unique[:, i], n), 1).astype(float) for i in (0, 1))
     share = np.divide(level - a, b - a, out=np.full(len(a), 0.5), where=a != b)
@@ -120,11 +146,14 @@ def marching_tetrahedra(f: np.ndarray, level: float) -> tuple[np.ndarray, np.nda
     return vertices, triangles
 
 
-def reconstruct(points: np.ndarray, depth: int = 7, radius: float = 0.15, k: int = 30, orient_k: int = 10, cut: float = 0.10) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Vertices, their normals, triangles; the ``cut`` share of vertices with least density is trimmed."""
+def reconstruct(points: np.ndarray, depth: int = 7, radius: float = 0.15, k: int = 30, orient_k: int = 10, cut: float = 0.10, oriented: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Vertices, their normals, triangles; the ``cut`` share of vertices with least density is trimmed.
+
+    ``oriented`` are the points' normals if they are known.
+    """
     if depth > MAX_DEPTH:
         raise ValueError(f"depth {depth} is above {MAX_DEPTH}, which the grid bounds")
-    normals = orient_normals(points, Grid(points, radius).normals(radius, k), radius, orient_k)
+    normals = orient_normals(points, Grid(points, radius).normals(radius, k), radius, orient_k) if oriented is None else oriented
     chi, origin, step, level, density = poisson_field(points, -normals, depth)
     v, t = marching_tetrahedra(chi, level)
     if not len(v):
@@ -143,10 +172,22 @@ def reconstruct(points: np.ndarray, depth: int = 7, radius: float = 0.15, k: int
 
 def build_mesh(points: DataFrame, depth: int = 7, radius: float = 0.15, samples: int = MAX_SAMPLES, seed: int = 0) -> tuple[DataFrame, DataFrame]:
     """``vertices(vid, x, y, z, nx, ny, nz)`` and ``triangles(a, b, c)`` of the surface."""
+    if depth > MAX_DEPTH:
+        raise ValueError(f"depth {depth} is above {MAX_DEPTH}, which the grid bounds")
     spark = points.sparkSession
-    rows = sample_points(points.select(*(c.alias(n) for c, n in zip(doubles(xyz()), "xyz", strict=True))), min(samples, MAX_SAMPLES), seed).toArrow()
-    p = np.stack([rows.column(c).to_numpy() for c in "xyz"], 1)
-    v, n, t = reconstruct(p, depth, radius)
+    few = sample_points(points.where(finite(*xyz())).select(*(c.alias(n) for c, n in zip(doubles(xyz()), "xyz", strict=True))), min(samples, MAX_SAMPLES), seed)
+    few = materialize(few.withColumn("id", F.monotonically_increasing_id()), "mesh-sample")
+    # Normals and neighbours are searched by Spark; the driver gets three numbers more a point, and two an edge.
+    rows = estimate_normals(few, ["id"], radius).orderBy("id").toArrow()
+    ids = rows.column("id").to_numpy()
+    p, normals = (np.stack([rows.column(c).to_numpy() for c in names], 1).reshape(-1, 3) for names in ("xyz", ("nx", "ny", "nz")))
+    near = knn_within(few, 11, radius, ["id"]).where("id <> t_id").select("id", "t_id").toArrow()
+    ends = [np.searchsorted(ids, near.column(c).to_numpy()).astype(np.int32) for c in ("id", "t_id")]
+    del rows, near
+    by = np.lexsort(ends[::-1])  # the same order in each run
+    normals = orient_along(p, normals, *(e[by] for e in ends))
+    discard(few)
+    v, n, t = reconstruct(p, depth, radius, oriented=normals)
     names, columns = ["vid", "x", "y", "z", "nx", "ny", "nz"], [np.arange(len(v)), *v.T, *n.T]
     kinds = [pa.int64(), *[pa.float64()] * 6]
     # As Arrow tables, since rows of Python numbers would take the driver many times the memory.
