@@ -697,6 +697,9 @@ def _seen_scene(spark, d, lost: tuple[int, ...] = ()) -> DataFrame:
     back = F.array(*(F.array(*(F.lit(float(v)) for v in np.linalg.inv(_slice_motion(s)).ravel())) for s in range(12)))
     far = F.when(F.col("slice").isin(*lost), 50.0).otherwise(0.0) if lost else F.lit(0.0)
     x, y, z = G.apply_rigid_column(tuple((F.col(c).cast("double") * 10) for c in "xyz"), back[F.col("slice")])
+    if lost:  # they have the points that they would have in place, so that the reference is the same slice
+        p = filters.range_strict(p.withColumns(dict(zip("xyz", (x, y, z), strict=True))))
+        x, y, z = G.xyz()
     x = x + far
     turned = (x, y * F.cos("theta") - z * F.sin("theta"), y * F.sin("theta") + z * F.cos("theta"))
     return p.select(F.col("event_id").alias("frame_id"), F.col("p").alias("pt_idx"), F.col("t_ns").alias("stamp_ns"), *(c.alias(n) for c, n in zip(turned, "xyz", strict=True)))
@@ -739,7 +742,7 @@ def slice_direct(spark, d):
     cfg = SliceConfig(overlap=1.0, chain=False)
     sliced = pipelines.sliced(points, S.encoder(spark, d), cfg, _PLAIN_MOUNT, ties=["event_id"])
     found, rejected = registration.align_slices(sliced, cfg, IcpConfig(voxel=0.001))
-    merged = slicing.merge_slices(sliced.where("is_core"), registration.transforms_table(spark, found))
+    merged = slicing.merge_slices(pipelines.narrowed(sliced.where("is_core")), registration.transforms_table(spark, found))
     rows = merged.groupBy("slice").agg(F.count("*").alias("n"), *(r(F.avg(c), c, 4) for c in "xyz"))
     every = spark.createDataFrame([(int(s), s not in rejected) for s in sorted({*found, *rejected})], "slice int, kept boolean")
     return every.join(rows, "slice", "left").select("slice", "kept", F.coalesce("n", F.lit(0)).alias("n"), "x", "y", "z")
